@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytesops import Words, blocks, column_bytes, mix64, multipliers, shingles
-from .store import Scratch
+from .store import Scratch, narrow
 
 WIDTH = 5
 BANDS = 32
@@ -235,7 +235,7 @@ def _grow(scratch: Scratch, links: DataFrame | None, more: DataFrame) -> tuple[D
 def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: int = 75) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, kept."""
     scratch = Scratch(spark, "neardup")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = narrow(docs)
     found = scratch.table(docs.mapInArrow(_features, "doc_id long, n_shingles long, node binary, buckets array<long>"))
     sized = found.where("n_shingles > 0")
     classes = scratch.table(sized.groupBy("node").agg(F.min("doc_id").alias("low"), F.min("buckets").alias("buckets")))

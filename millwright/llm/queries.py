@@ -2,21 +2,74 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .neardup import near_duplicates
+from . import ann, bpe, langid, licenses, mixing, neardup, pii, quality, rules, urls
 
+#: Key of the pseudonyms; a deployment sets its own.
+PII_KEY = b"millwright demonstration key"
+#: Target weights of the mix over the domains that documents.lang labels.
+TARGETS = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 
 
+def tokenizer_path() -> str:
+    """The byte-level BPE file of the installed tokenizer files."""
+    return importlib.import_module("public_tokenizers").path("byte_bpe_50k.json")
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(_table(spark, sf_dir, "documents"))
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(_table(spark, sf_dir, "documents"), PII_KEY)
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark, _table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(spark, _table(spark, sf_dir, "documents"))
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"))
+
+
+def labelled_domains(docs: DataFrame) -> DataFrame:
+    """The labelled table of the mix: documents whose lang is known."""
+    return docs.select("doc_id", "text", F.col("lang").alias("domain"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return mixing.mix(spark, docs, labelled_domains(docs), TARGETS)
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(spark, _table(spark, sf_dir, "documents"))
+
+
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark, _table(spark, sf_dir, "embeddings"))
 
 
 OP4_SQL = f"""
@@ -36,10 +89,9 @@ FROM k LEFT JOIN n ON n.doc_id = k.doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op4_minhash_near_dedup": op4_minhash_near_dedup,
-    }
+    found = (op1_quality_rules, op2_pii, op3_bpe, op4_minhash_near_dedup, op5_url_filters, op6_mixing, op7_quality_classifier, op8_license_scans, op9_language_id, op10_nearest_neighbours)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_minhash_near_dedup": OP4_SQL}
+    return {"op1_quality_rules": rules.sql(), "op4_minhash_near_dedup": OP4_SQL, "op5_url_filters": urls.sql(), "op8_license_scans": licenses.sql()}

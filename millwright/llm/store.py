@@ -6,8 +6,12 @@ import shutil
 import tempfile
 import uuid
 import weakref
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -45,3 +49,20 @@ class Scratch:
         for t in tables:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(t._scratch_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def narrow(docs: DataFrame) -> DataFrame:
+    """doc_id and text only."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def with_columns(df: DataFrame, of: Callable[[pa.RecordBatch], list[pa.Array]], fields: str) -> DataFrame:
+    """df and, after its columns, those that `of` gives for each Arrow batch."""
+    more = _parse_datatype_string(fields)
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, *of(batch)], names=[*batch.schema.names, *names])
+
+    names = more.names
+    return df.mapInArrow(run, StructType([*df.schema.fields, *more.fields]))
