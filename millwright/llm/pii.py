@@ -146,7 +146,8 @@ def pseudonym(kind: str, text: str, key: bytes) -> str | None:
         return ".".join(str(b) for b in new.to_bytes(4, "big"))
     if kind == "date":
         return _date(text, key)
-    return _permuted(text, key, "secret")
+    new = feistel(int(text, 16), 1 << (4 * len(text)), key, "secret")
+    return f"{new:0{len(text)}X}" if text.upper() == text else f"{new:0{len(text)}x}"
 
 
 def _cached(key: bytes):

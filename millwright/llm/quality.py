@@ -10,7 +10,8 @@ The n-grams are byte 4-grams, and pairs of word forms (first and last
 character class, length, capitals, same as the word before), both hashed.
 
 How many are drawn follows from the labelled table: as many as have at least
-the log ratio that all but a small share of the good labelled texts reach.
+the log ratio that all but a small share of the good labelled texts reach, less
+a part of its distance to the poor ones.
 
 Defined results: null or empty text has log ratio 0; without labelled good
 texts every ratio is 0 and all are kept; rows that repeat a doc_id and text
@@ -32,10 +33,16 @@ from .store import Scratch, narrow, with_columns
 
 #: Buckets of each family of n-grams.
 BUCKETS = 1 << 14
-#: About so many good labelled texts are learnt from, chosen by a hash of doc_id.
+#: About so many labelled texts are learnt from, chosen by a hash of doc_id.
 SAMPLE = 6000
+#: Occurrences by which a bucket is smoothed.
+PRIOR = 10.0
+#: N-grams that a longer document's evidence is scaled down to, so that length alone decides nothing.
+EVIDENCE = 200.0
 #: Share of good labelled texts that the cut may lose.
-LOSS = 0.002
+LOSS = 0.0005
+#: How far the cut moves from there towards the poor labelled texts.
+SLACK = 0.25
 
 _FIRST = np.full(256, 4, np.int64)
 _FIRST[65:91], _FIRST[97:123], _FIRST[48:58], _FIRST[128:] = 0, 1, 2, 3
@@ -84,13 +91,18 @@ def counts(texts: DataFrame) -> np.ndarray:
 
 
 def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """Log of the two models' probabilities of each bucket, smoothed by one occurrence."""
+    """Log of the two models' probabilities of each bucket.
+
+    The target model is smoothed towards the raw one by PRIOR occurrences a
+    bucket, so a bucket that the sample could hardly show says nothing.
+    """
     out = np.zeros(2 * BUCKETS)
     if not target.sum():
         return out
     for family in (slice(0, BUCKETS), slice(BUCKETS, 2 * BUCKETS)):
-        t, r = target[family] + 1.0, raw[family] + 1.0
-        out[family] = np.log(t / t.sum()) - np.log(r / r.sum())
+        t, r = target[family], raw[family]
+        expected = t.sum() * r / max(1.0, r.sum())
+        out[family] = np.log((t + PRIOR) / (expected + PRIOR))
     return out
 
 
@@ -98,11 +110,12 @@ def _weights(table):
     def run(batch):
         ratio = table.value
         data, offsets, _ = column_bytes(batch.column("text"))
-        out = np.zeros(batch.num_rows)
+        out, n = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
         for a, b in blocks(offsets):
             for bucket, doc in grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
                 out[a:b] += sums(ratio[bucket], doc, b - a)
-        return [pa.array(np.round(out, 6))]
+                n[a:b] += np.bincount(doc, minlength=b - a)
+        return [pa.array(np.round(out * np.minimum(1.0, EVIDENCE / np.maximum(n, 1)), 6))]
 
     return run
 
@@ -151,16 +164,19 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
     """Both models and the cut; labels has doc_id and quality (1 good)."""
     docs = narrow(docs)
     labels = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    good = labels.where("quality = 1").select("doc_id")
-    share = min(1.0, sample / max(1, good.count()))
-    chosen = good.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30) < share)  # about `sample` ids
-    ratio = log_ratio(counts(docs.join(F.broadcast(chosen), "doc_id", "left_semi")), counts(docs))
-    scratch = Scratch(spark, "quality")
-    scored = scratch.table(weigh(spark, docs, ratio, seed).drop("text"))
-    known = sorted(r[0] for r in scored.join(F.broadcast(chosen), "doc_id").select("log_weight").collect())
-    if not known:
+    share = min(1.0, sample / max(1, labels.count()))
+    chosen = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30) < share)  # about `sample` ids
+    good = F.broadcast(chosen.where("quality = 1").select("doc_id"))
+    ratio = log_ratio(counts(docs.join(good, "doc_id", "left_semi")), counts(docs))
+    scored = Scratch(spark, "quality").table(weigh(spark, docs, ratio, seed).drop("text"))
+    known = scored.join(F.broadcast(chosen), "doc_id").select("log_weight", (F.col("quality") == 1).alias("good")).toArrow()
+    weight, is_good = known.column("log_weight").to_numpy(), known.column("good").to_numpy()
+    if not is_good.any():
         return Model(ratio, float("-inf"), seed)
-    total, k = scored.agg(F.count(F.lit(1)), F.count_if(F.col("log_weight") >= known[int(loss * len(known))])).first()
+    cut = np.quantile(weight[is_good], loss)
+    if not is_good.all():
+        cut -= SLACK * max(0.0, cut - np.quantile(weight[~is_good], 0.95))
+    total, k = scored.agg(F.count(F.lit(1)), F.count_if(F.col("log_weight") >= float(cut))).first()
     return Model(ratio, float("-inf") if k >= total else kth_largest(scored, "gumbel_key", k), seed)
 
 

@@ -38,13 +38,13 @@ class Rule:
     min_words: int = 0
 
 
-#: The threshold table. Measures: mean_word, symbol_ratio, stop_ratio, dup_line_ratio, symbol_words.
+#: The threshold table. Measures: mean_word, symbol_ratio, stop_ratio, dup_line_ratio.
 RULES = (
     Rule("word_length_low", "mean_word", ">=", 2.0),
     Rule("word_length_high", "mean_word", "<=", 24.0),
     Rule("symbols", "symbol_ratio", "<=", 0.1),
     Rule("stop_words", "stop_ratio", ">=", 0.02, 40),
-    Rule("repeated_lines", "dup_line_ratio", "<=", 0.3),
+    Rule("repeated_lines", "dup_line_ratio", "<=", 0.5),
 )
 
 
