@@ -34,3 +34,6 @@ def oracle_sql() -> dict[str, str]:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _QUERIES["flagship_cleaning_plan"](spark, sf_dir)
+
+
+from . import corpus_text, features, integration, knowledge, preparation, profiles, streams  # noqa: E402,F401  (they register their queries)
