@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .bytesops import column_bytes, worker_cache
-from .store import narrow
+from .store import narrow, small_batches
 
 ROUNDS = 10
 KINDS = ("email", "card", "iban", "ssn", "phone", "ipv4", "date", "secret")
@@ -201,6 +201,7 @@ def _replaced(key: bytes, at: int):
 
 def replaced(docs: DataFrame, key: bytes) -> DataFrame:
     """docs with pseudonyms in text, and after its columns a count n_<kind> for each kind."""
+    small_batches(docs.sparkSession)
     fields = [*docs.schema.fields, *(StructField(f"n_{k}", LongType()) for k in KINDS)]
     return docs.mapInArrow(_replaced(key, docs.columns.index("text")), StructType(fields))
 

@@ -51,13 +51,27 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows and bytes of an Arrow batch of texts, which bound what a Python worker and the JVM beside it hold at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to sizes that suit texts; lower settings stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def narrow(docs: DataFrame) -> DataFrame:
     """doc_id and text only."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def with_columns(df: DataFrame, of: Callable[[pa.RecordBatch], list[pa.Array]], fields: str) -> DataFrame:
     """df and, after its columns, those that `of` gives for each Arrow batch."""
+    small_batches(df.sparkSession)
     more = _parse_datatype_string(fields)
 
     def run(batches):
