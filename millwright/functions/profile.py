@@ -96,9 +96,9 @@ def similarity(a: Column, b: Column, kind: str = "cosine") -> Column:
     if kind == "cosine":
         return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
     if kind == "pearson":
-        mean = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size(v)
-        centred = lambda v: F.transform(v, lambda x: x.cast("double") - mean(v))
-        return similarity(centred(a), centred(b))
+        total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double"))
+        n, sa, sb = F.size(a), total(a), total(b)
+        return F.try_divide(dot(a, b) - sa * sb / n, F.sqrt(dot(a, a) - sa * sa / n) * F.sqrt(dot(b, b) - sb * sb / n))
     gap = F.zip_with(a, b, lambda x, y: x.cast("double") - y.cast("double"))
     if kind == "euclidean":
         return 1 / (1 + F.sqrt(F.aggregate(gap, F.lit(0.0), lambda s, x: s + x * x)))
@@ -161,7 +161,7 @@ def quartile_report(df: DataFrame, column: str) -> list[float | None]:
 
 def summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """(name, n, missing, distinct, mean, std, skew, kurtosis): all columns from one aggregation."""
-    got = df.agg(*(F.struct(F.lit(c).alias("name"), F.count(c).alias("n"), F.count_if(F.col(c).isNull()).alias("missing"), F.count_distinct(c).alias("n_distinct"), F.round(F.avg(c), 6).alias("mean"), F.round(F.stddev_pop(c), 6).alias("std"), F.round(F.skewness(c), 4).alias("skew"), F.round(F.kurtosis(c), 4).alias("kurtosis")).alias(f"s{i}") for i, c in enumerate(columns)))
+    got = df.agg(*(F.struct(F.lit(c).alias("name"), F.count(c).alias("n"), F.count_if(F.col(c).isNull()).alias("missing"), F.count_distinct(c).alias("n_distinct"), F.round(F.avg(c), 5).alias("mean"), F.round(F.stddev_pop(c), 5).alias("std"), F.round(F.skewness(c), 4).alias("skew"), F.round(F.kurtosis(c), 4).alias("kurtosis")).alias(f"s{i}") for i, c in enumerate(columns)))
     return got.select(F.explode(F.array(*(F.col(f"s{i}") for i in range(len(columns))))).alias("s")).select("s.*")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .text import runs_of
+
 
 def tokens(c: str | Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda t: t != ""))
@@ -12,8 +14,8 @@ def tokens(c: str | Column) -> Column:
 
 def qgrams(c: str | Column, q: int) -> Column:
     """All q-grams but the last of the lower-cased text."""
-    s = F.lower(c)
-    return F.when(F.length(s) > q, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - q), lambda i: F.substr(s, i, F.lit(q))))).otherwise(F.array().cast("array<string>"))
+    every = runs_of(F.filter(F.split(F.lower(c), ""), lambda x: x != ""), q, "")
+    return F.array_distinct(F.slice(every, F.lit(1), F.greatest(F.size(every) - 1, F.lit(0))))
 
 
 def blocks(df: DataFrame, key: str, column: str, q: int = 0) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -150,9 +152,7 @@ def dbscan(df: DataFrame, key: str, columns: list[str], eps: float, least: int)
     """
     cells = [F.floor(F.col(c) / eps).cast("long") for c in columns]
     rows = df.select(F.col(key).alias("id"), *(F.col(c).cast("double").alias(c) for c in columns), F.array(*cells).alias("_cell")).dropna(subset=columns)
-    around = F.array(F.col("_cell"))
-    for i in range(len(columns)):
-        around = F.flatten(F.transform(around, lambda a, i=i: F.array(*(F.transform(a, lambda x, j, i=i, d=d: F.when(j == i, x + d).otherwise(x)) for d in (-1, 0, 1)))))
+    around = F.array(*(F.array(*(F.get("_cell", F.lit(i)) + step for i, step in enumerate(way))) for way in itertools.product((-1, 0, 1), repeat=len(columns))))
     a = rows.select(F.col("id").alias("a"), *(F.col(c).alias(f"_a{i}") for i, c in enumerate(columns)), F.explode(around).alias("_cell"))
     b = rows.select(F.col("id").alias("b"), *(F.col(c).alias(f"_b{i}") for i, c in enumerate(columns)), "_cell")
     square = sum(((F.col(f"_a{i}") - F.col(f"_b{i}")) ** 2 for i in range(len(columns))), F.lit(0.0))
@@ -163,10 +163,10 @@ def dbscan(df: DataFrame, key: str, columns: list[str], eps: float, least: int)
     label = core.select(F.col("core").alias("id"), F.col("core").alias("cluster"))
     while True:
         low = inner.join(label, F.col("a") == F.col("id")).groupBy(F.col("b").alias("id")).agg(F.min("cluster").alias("low"))
-        new = label.join(low, "id").select("id", F.least("cluster", "low").alias("cluster")).checkpoint(True) if df.sparkSession.sparkContext.getCheckpointDir() else label.join(low, "id").select("id", F.least("cluster", "low").alias("cluster")).cache()
-        changed = new.join(label.withColumnRenamed("cluster", "old"), "id").where("cluster <> old").isEmpty()
-        label = new
-        if changed:
+        new = label.join(low, "id").select("id", F.least("cluster", "low").alias("cluster"))
+        new = new.checkpoint(True) if df.sparkSession.sparkContext.getCheckpointDir() else new.cache()
+        if new.join(label.withColumnRenamed("cluster", "old"), "id").where("cluster <> old").isEmpty():
             break
+        label = new
     border = links.join(label, F.col("a") == F.col("id")).groupBy(F.col("b").alias("id")).agg(F.min("cluster").alias("cluster"))
     return rows.select("id").join(border, "id", "left").select(F.col("id").alias(key), F.coalesce("cluster", F.lit(-1)).alias("cluster"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import STOP_WORDS, collapse_runs, no_punctuation, squeeze, tfidf, words
+from .text import STOP_WORDS, collapse_runs, no_punctuation, runs_of, squeeze, tfidf, words
 
 
 def normalise(c: str, strategy: str = "none") -> Column:
@@ -19,17 +19,20 @@ def normalise(c: str, strategy: str = "none") -> Column:
 def word_terms(c: str) -> Column:
     """Words of two or more characters without stop words, and their neighbouring pairs."""
     w = F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda x: ~x.isin(*STOP_WORDS))
-    two = F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1)))).otherwise(F.array().cast("array<string>"))
-    return F.concat(w, two)
+    return F.concat(w, runs_of(w, 2, " "))
 
 
 def char_terms(c: str, low: int = 3, high: int = 5) -> Column:
     """Character n-grams within words, each word between spaces."""
     padded = F.transform(words(F.lower(c)), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
-    def grams(w: Column, n: int) -> Column:
-        return F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substr(w, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
-    return F.flatten(F.concat(*(F.transform(padded, lambda w, n=n: grams(w, n)) for n in range(low, high + 1))))
+    def grams(n: int) -> Column:
+        def of(w: Column) -> Column:
+            return F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substr(w, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+        return F.flatten(F.transform(padded, of))
+
+    return F.concat(*(grams(n) for n in range(low, high + 1)))
 
 
 TERMS = {"bm25": word_terms, "dense": char_terms}

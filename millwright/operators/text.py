@@ -98,14 +98,21 @@ def plain(c: str | Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", " "))
 
 
+def runs_of(items: Column, n: int, join: str) -> Column:
+    """Every n neighbouring items, joined; shifted copies are zipped, so the items are computed n times and not once an item."""
+    size = F.greatest(F.size(items) - (n - 1), F.lit(0))
+    out = F.slice(items, F.lit(1), size)
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(items, F.lit(k + 1), size), lambda a, b: F.concat(a, F.lit(join), b))
+    return out
+
+
 def word_ngrams(c: str | Column, n: int) -> Column:
-    w = F.filter(F.split(plain(c), " "), lambda x: x != "")
-    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), "_"))).otherwise(F.array().cast("array<string>"))
+    return runs_of(F.filter(F.split(plain(c), " "), lambda x: x != ""), n, "_")
 
 
 def char_ngrams(c: str | Column, n: int) -> Column:
-    s = F.replace(plain(c), F.lit(" "), F.lit(""))
-    return F.when(F.length(s) >= n, F.transform(F.sequence(F.lit(1), F.length(s) - n + 1), lambda i: F.substr(s, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return runs_of(F.filter(F.split(F.replace(plain(c), F.lit(" "), F.lit("")), ""), lambda x: x != ""), n, "")
 
 
 @step("ngram_extractor", "word", "char")
@@ -256,7 +263,11 @@ def detect_language(df: DataFrame, roles: Roles = Roles(), strategy: str = "ld",
     if strategy == "none":
         return Fitted(lambda d: d)
     w = F.split(F.lower(column), r"[^\p{L}]+")
-    votes = F.array(*(F.struct((-F.size(F.filter(w, lambda x, m=m: x.isin(*m)))).alias("n"), F.lit(k).alias("lang")) for k, m in sorted(markers.items())))
+
+    def vote(lang: str, own: tuple[str, ...]) -> Column:
+        return F.struct((-F.size(F.filter(w, lambda x: x.isin(*own)))).alias("n"), F.lit(lang).alias("lang"))
+
+    votes = F.array(*(vote(k, m) for k, m in sorted(markers.items())))
     best = F.array_min(votes)
     return Fitted(columnwise({f"{column}__lang": F.when(best["n"] < 0, best["lang"])}))
 

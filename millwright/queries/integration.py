@@ -1 +1,191 @@
-"""Placeholder."""
+"""Queries of sources and entity resolution, each beside its SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..data import table
+from ..operators import entities as E
+from ..sources import readers
+from .registry import query
+
+
+@query("read_roles", "SELECT o_orderkey, o_custkey, o_totalprice, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label FROM orders")
+def _(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("label"))
+
+
+@query("encode_union", "WITH v AS (SELECT x, CAST(row_number() OVER (ORDER BY x) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT c_mktsegment AS x FROM customer)) SELECT c_custkey, v.code AS c_mktsegment FROM customer JOIN v ON v.x = c_mktsegment WHERE c_custkey % 3 = 0")
+def _(spark, d):
+    df = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    return readers.encode_union(df.where("c_custkey % 3 <> 0"), df.where("c_custkey % 3 = 0"))[1]
+
+
+@query("explode_dates", """SELECT o_orderkey, (epoch_us(o_orderdate) - epoch_us(TIMESTAMP '2017-01-01 00:00:00')) / 1e6 AS "o_orderdate_TIMESTAMP", CAST(year(o_orderdate) AS DOUBLE) AS "o_orderdate_YEAR", CAST(month(o_orderdate) AS DOUBLE) AS "o_orderdate_MONTH", CAST(day(o_orderdate) AS DOUBLE) AS "o_orderdate_DAY", CAST(isodow(o_orderdate) - 1 AS DOUBLE) AS "o_orderdate_DAYOFWEEK", hour(o_orderdate) + minute(o_orderdate) / 60.0 + second(o_orderdate) / 3600.0 AS "o_orderdate_HOUR" FROM orders""")
+def _(spark, d):
+    return readers.explode_dates(table(spark, d, "orders").select("o_orderkey", "o_orderdate"))
+
+
+@query("explode_lists", "SELECT vec_id, " + ", ".join(f'CAST(embedding[{i + 1}] AS DOUBLE) AS "embedding_item{i}"' for i in range(64)) + " FROM embeddings")
+def _(spark, d):
+    return readers.explode_lists(table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")))
+
+
+@query("drop_sparse", "SELECT l_orderkey, CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE l_discount END AS b FROM lineitem")
+def _(spark, d):
+    return readers.drop_sparse(table(spark, d, "lineitem").selectExpr("l_orderkey", "CASE WHEN l_orderkey % 2 = 0 THEN l_quantity END AS a", "CASE WHEN l_orderkey % 5 <> 0 THEN l_discount END AS b"))
+
+
+@query("passages", "WITH t AS (SELECT item_id AS q FROM benchmark) SELECT t.q AS query_id, d.doc_id AS docid, d.source AS title, d.text, CASE WHEN d.doc_id % 2 = 0 THEN 1 ELSE 0 END AS relevance FROM t JOIN documents d ON d.doc_id % 40 = t.q % 40")
+def _(spark, d):
+    docs = table(spark, d, "documents").withColumn("k", F.col("doc_id") % 40)
+    p = F.struct(F.col("doc_id").alias("docid"), F.col("source").alias("title"), "text")
+    lists = docs.groupBy("k").agg(F.collect_list(F.when(F.col("doc_id") % 2 == 0, p)).alias("positive_passages"), F.collect_list(F.when(F.col("doc_id") % 2 == 1, p)).alias("negative_passages"))
+    topics = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 40).alias("k")).join(lists, "k")
+    return readers.passages(topics)
+
+
+@query("first_rows", "SELECT event_id, ts, value FROM events ORDER BY ts, event_id LIMIT 200")
+def _(spark, d):
+    return readers.first_rows(table(spark, d, "events").select("event_id", "ts", "value"), 200, "ts", "event_id")
+
+
+@query("json_field", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def _(spark, d):
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@query("good_bad_counts", "WITH r AS (SELECT l_returnflag AS flag, l_linestatus AS status, l_quantity > 25 AS ok FROM lineitem), u AS (SELECT 'flag' AS param, flag AS value, ok FROM r UNION ALL SELECT 'status', status, ok FROM r) SELECT param, value, CAST(count(*) FILTER (WHERE ok) AS BIGINT) AS good, CAST(count(*) FILTER (WHERE NOT ok) AS BIGINT) AS bad FROM u GROUP BY param, value")
+def _(spark, d):
+    runs = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), (F.col("l_quantity") > 25).alias("result"))
+    return readers.good_bad_counts(runs, ["flag", "status"])
+
+
+def _title(spark, d):
+    # p_name alone has few distinct words; the key's tail makes a title's own tokens
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", F.concat(F.lit("k"), (F.col("p_partkey") % 97).cast("string")), F.concat(F.lit("m"), (F.col("p_partkey") % 89).cast("string"))).alias("title"), "p_brand", "p_type")
+
+
+_T = "SELECT p_partkey AS id, p_name || ' k' || CAST(p_partkey % 97 AS VARCHAR) || ' m' || CAST(p_partkey % 89 AS VARCHAR) AS title, p_brand, p_type FROM part"
+_BLK = f"SELECT DISTINCT id AS rid, t AS token FROM (SELECT id, unnest(string_split_regex(lower(title), '\\s+')) AS t FROM ({_T})) WHERE t <> ''"
+
+
+def _members(spark, d):
+    return E.blocks(_title(spark, d), "id", "title")
+
+
+@query("block_token", _BLK)
+def _(spark, d):
+    return _members(spark, d)
+
+
+@query("block_qgram", f"SELECT DISTINCT id AS rid, substr(s, CAST(i AS INTEGER), 4) AS token FROM (SELECT id, s, unnest(range(1, length(s) - 3)) AS i FROM (SELECT id, lower(title) AS s FROM ({_T})))")
+def _(spark, d):
+    return E.blocks(_title(spark, d), "id", "title", q=4)
+
+
+_PURGE = f"s AS (SELECT token, count(*) * count(*) AS size FROM b GROUP BY token), k AS (SELECT token, size FROM s ORDER BY size, token LIMIT (SELECT CAST(floor(0.8 * count(*)) AS BIGINT) FROM s))"
+
+
+@query("block_purge", f"WITH b AS ({_BLK}), {_PURGE} SELECT token, size FROM k")
+def _(spark, d):
+    return E.purge(E.block_sizes(_members(spark, d)), 0.2)
+
+
+_FILTER = "fs AS (SELECT token, count(*) AS size FROM b GROUP BY token), fr AS (SELECT b.rid, b.token, row_number() OVER (PARTITION BY b.rid ORDER BY size, b.token) AS r, count(*) OVER (PARTITION BY b.rid) AS n FROM b JOIN fs ON fs.token = b.token), fk AS (SELECT rid, token FROM fr WHERE r - 1 <= n * 0.5), f AS (SELECT rid, token FROM fk WHERE token IN (SELECT token FROM fk GROUP BY token HAVING count(*) > 1))"
+
+
+@query("block_filter", f"WITH b AS ({_BLK}), {_FILTER} SELECT rid, token FROM f")
+def _(spark, d):
+    return E.filter_blocks(_members(spark, d), 0.5)
+
+
+_KEPT = f"b AS ({_BLK}), {_PURGE}, m AS (SELECT b.rid, b.token FROM b JOIN k ON k.token = b.token)"
+_PAIR = "p AS (SELECT x.rid AS id1, y.rid AS id2, count(*) AS common FROM m x JOIN m y ON x.token = y.token AND x.rid < y.rid GROUP BY 1, 2)"
+
+
+def _kept(spark, d):
+    members = _members(spark, d)
+    return members.join(E.purge(E.block_sizes(members), 0.2).select("token"), "token", "left_semi")
+
+
+@query("block_pairs", f"WITH {_KEPT}, {_PAIR} SELECT * FROM p")
+def _(spark, d):
+    return E.pairs(_kept(spark, d))
+
+
+@query("block_pairs_two_tables", f"WITH {_KEPT}, l AS (SELECT * FROM m WHERE rid % 2 = 0), r AS (SELECT * FROM m WHERE rid % 2 = 1) SELECT l.rid AS id1, r.rid AS id2, count(*) AS common FROM l JOIN r ON l.token = r.token GROUP BY 1, 2")
+def _(spark, d):
+    m = _kept(spark, d)
+    return E.pairs(m.where("rid % 2 = 0"), m.where("rid % 2 = 1"))
+
+
+_DEG = "g AS (SELECT rid, count(*) AS b FROM m GROUP BY rid), t AS (SELECT CAST(count(DISTINCT token) AS DOUBLE) AS n FROM m)"
+_WEIGHT = {
+    "cbs": f"WITH {_KEPT}, {_PAIR} SELECT id1, id2, CAST(common AS DOUBLE) AS weight FROM p",
+    "arcs": f"WITH {_KEPT}, z AS (SELECT token, count(*) * count(*) AS size FROM m GROUP BY token) SELECT x.rid AS id1, y.rid AS id2, round(sum(1.0 / z.size), 9) AS weight FROM m x JOIN m y ON x.token = y.token AND x.rid < y.rid JOIN z ON z.token = x.token GROUP BY 1, 2",
+    "ecbs": f"WITH {_KEPT}, {_PAIR}, {_DEG} SELECT id1, id2, round(common * log2(t.n / a.b) * log2(t.n / c.b), 6) AS weight FROM t, p JOIN g a ON a.rid = id1 JOIN g c ON c.rid = id2",
+    "js": f"WITH {_KEPT}, {_PAIR}, {_DEG} SELECT id1, id2, round(common / CAST(a.b + c.b - common AS DOUBLE), 9) AS weight FROM p JOIN g a ON a.rid = id1 JOIN g c ON c.rid = id2",
+}
+for _s, _sql in _WEIGHT.items():
+
+    @query(f"weight_{_s}", _sql)
+    def _(spark, d, s=_s):
+        return E.weights(_kept(spark, d), s).withColumn("weight", F.round("weight", 6 if s == "ecbs" else 9))
+
+
+@query("wep_prune", f"WITH w AS ({_WEIGHT['cbs']}) SELECT * FROM w WHERE round(weight, 5) >= (SELECT round(avg(weight), 5) FROM w)")
+def _(spark, d):
+    return E.prune_edges(E.weights(_kept(spark, d), "cbs"))
+
+
+_SET = "list_distinct(list_filter(string_split_regex(replace(lower({}), ',', ''), '\\s+'), lambda t: t <> ''))"
+_SIM = f"c AS (SELECT w.* FROM ({_WEIGHT['cbs']}) w WHERE weight >= 1), z AS (SELECT id, {_SET.format('title')} AS a, {_SET.format('p_brand')} AS b, {_SET.format('p_type')} AS t FROM ({_T})), sim AS (SELECT id1, id2, (" + " + ".join(f"len(list_intersect(x.{v}, y.{v})) / CAST(len(x.{v}) + len(y.{v}) - len(list_intersect(x.{v}, y.{v})) AS DOUBLE)" for v in "abt") + ") / 3 AS sim FROM c JOIN z x ON x.id = id1 JOIN z y ON y.id = id2)"
+
+
+def _scored(spark, d):
+    df = _title(spark, d)
+    cand = E.weights(_kept(spark, d), "cbs").select("id1", "id2")
+    return E.similarities(cand, df, df, "id", "id", [("title", "title"), ("p_brand", "p_brand"), ("p_type", "p_type")])
+
+
+@query("match_jaccard", f"WITH {_SIM} SELECT id1, id2, round(sim, 6) AS sim FROM sim WHERE sim >= 0.45")
+def _(spark, d):
+    return E.match(_scored(spark, d), 0.45).withColumn("sim", F.round("sim", 6))
+
+
+_TRUTH = "truth AS (SELECT a.p_partkey AS id1, b.p_partkey AS id2 FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND a.p_name = b.p_name AND a.p_brand = b.p_brand)"
+
+
+def _truth(spark, d):
+    p = table(spark, d, "part")
+    a, b = p.select(F.col("p_partkey").alias("id1"), "p_name", "p_brand"), p.select(F.col("p_partkey").alias("id2"), "p_name", "p_brand")
+    return a.join(b, ["p_name", "p_brand"]).where("id1 < id2").select("id1", "id2")
+
+
+@query("match_perfect", f"WITH {_SIM}, {_TRUTH} SELECT sim.id1, sim.id2 FROM sim JOIN truth ON truth.id1 = sim.id1 AND truth.id2 = sim.id2")
+def _(spark, d):
+    return E.perfect_match(_scored(spark, d).select("id1", "id2"), _truth(spark, d))
+
+
+_COUNT = f"WITH {_SIM}, {_TRUTH}, j AS (SELECT coalesce(sim.sim, -1) AS s, truth.id1 IS NOT NULL AS y FROM sim FULL JOIN truth ON truth.id1 = sim.id1 AND truth.id2 = sim.id2), th AS (SELECT unnest([{{}}]) AS theta), n AS (SELECT CAST(theta AS DOUBLE) AS theta, count(*) FILTER (WHERE s >= theta AND y) AS tp, count(*) FILTER (WHERE s >= theta AND NOT y) AS fp, count(*) FILTER (WHERE s < theta AND NOT y) AS tn, count(*) FILTER (WHERE s < theta AND y) AS fn FROM j, th GROUP BY theta) SELECT theta, tp, fp, tn, fn, round(coalesce(tp / CAST(nullif(tp + fp, 0) AS DOUBLE), 0), 5) AS precision, round(coalesce(tp / CAST(nullif(tp + fn, 0) AS DOUBLE), 0), 5) AS recall, round(coalesce(2 * tp / CAST(nullif(2 * tp + fp + fn, 0) AS DOUBLE), 0), 5) AS f, round((tp + tn) / CAST(tp + fp + tn + fn AS DOUBLE), 5) AS accuracy FROM n"
+
+
+@query("er_confusion", _COUNT.format("0.75"))
+def _(spark, d):
+    return E.confusion(_scored(spark, d), _truth(spark, d), [0.75])
+
+
+@query("er_threshold_sweep", _COUNT.format("0.33, 0.43, 0.53, 0.63, 0.73"))
+def _(spark, d):
+    return E.confusion(_scored(spark, d), _truth(spark, d), [0.33, 0.43, 0.53, 0.63, 0.73])
+
+
+@query("cluster_k_center")
+def _(spark, d):
+    return E.k_center(_title(spark, d), "id", E.word_set("title"), 8)
+
+
+@query("cluster_pair_precision", "WITH c AS (SELECT p_brand AS c, p_type AS t, count(*) AS n FROM part GROUP BY 1, 2), g AS (SELECT c, sum(n) AS n FROM c GROUP BY c), a AS (SELECT CAST(sum(n * (n - 1) / 2) AS BIGINT) AS tp FROM c), b AS (SELECT CAST(sum(n * (n - 1) / 2) AS BIGINT) AS pairs FROM g) SELECT tp, pairs, round(tp / CAST(pairs AS DOUBLE), 5) AS precision FROM a, b")
+def _(spark, d):
+    return E.cluster_precision(table(spark, d, "part"), "p_partkey", "p_brand", "p_type")

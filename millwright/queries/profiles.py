@@ -1 +1,299 @@
-"""Placeholder."""
+"""Queries of associations, drift, similarity, metrics, constraints and models, each beside its SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..data import Roles, table
+from ..functions import profile as P
+from ..functions.quantiles import midpoint
+from ..operators import models
+from ..plans import causes, history
+from ..plans.plan import Executor, Plan
+from ..plans.search import glass_box, interventions, opaque, ranked
+from .preparation import gaps
+from .registry import query
+
+_PRED = "SELECT l_orderkey, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, CASE WHEN l_quantity > 20 AND l_discount < 0.07 THEN 1 ELSE 0 END AS p, CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS s FROM lineitem"
+
+
+def _pred(spark, d):
+    return table(spark, d, "lineitem").selectExpr("CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y", "CASE WHEN l_quantity > 20 AND l_discount < 0.07 THEN 1 ELSE 0 END AS p", "CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS s")
+
+
+@query("missing_share", "WITH g AS (SELECT CASE WHEN l_orderkey % 10 = 3 THEN NULL ELSE l_quantity END AS qty, CASE WHEN l_partkey % 7 = 2 THEN NULL ELSE l_extendedprice END AS price, CASE WHEN l_suppkey % 9 = 1 THEN NULL ELSE l_returnflag END AS flag FROM lineitem) SELECT round(avg(CASE WHEN qty IS NULL THEN 1.0 ELSE 0 END), 6) AS qty, round(avg(CASE WHEN price IS NULL THEN 1.0 ELSE 0 END), 6) AS price, round(avg(CASE WHEN flag IS NULL OR flag = '' THEN 1.0 ELSE 0 END), 6) AS flag FROM g")
+def _(spark, d):
+    return P.missing_share(gaps(spark, d).select("qty", "price", "flag"))
+
+
+@query("assoc_pearson", "SELECT round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem")
+def _(spark, d):
+    return table(spark, d, "lineitem").agg(F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("r"))
+
+
+_CHI = "WITH c AS (SELECT {a} AS a, {b} AS b, CAST(count(*) AS DOUBLE) AS n FROM {t} GROUP BY 1, 2), ra AS (SELECT a, sum(n) AS na FROM c GROUP BY a), rb AS (SELECT b, sum(n) AS nb FROM c GROUP BY b), t AS (SELECT sum(n) AS t FROM c), g AS (SELECT ra.a, rb.b, na * nb / t AS e FROM ra, rb, t), k AS (SELECT abs(coalesce(c.n, 0) - e) AS gap, e FROM g LEFT JOIN c ON c.a = g.a AND c.b = g.b) SELECT round(sum({y} * {y} / e), 6) AS chi2, CAST((SELECT count(*) - 1 FROM ra) * (SELECT count(*) - 1 FROM rb) AS BIGINT) AS dof FROM k"
+
+
+@query("assoc_chi2", _CHI.format(a="l_returnflag", b="l_linestatus", t="lineitem", y="gap"))
+def _(spark, d):
+    return P.chi2(table(spark, d, "lineitem"), "l_returnflag", "l_linestatus", yates=False)
+
+
+@query("assoc_chi2_yates", _CHI.format(a="y", b="s", t=f"({_PRED})", y="(gap - least(0.5, gap))"))
+def _(spark, d):
+    return P.chi2(_pred(spark, d), "y", "s")
+
+
+@query("assoc_f_two_sample", "WITH m AS (SELECT count(l_quantity) AS na, count(l_tax) AS nb, avg(l_quantity) AS ma, avg(l_tax) AS mb, var_pop(l_quantity) AS va, var_pop(l_tax) AS vb FROM lineitem), c AS (SELECT *, (na * ma + nb * mb) / (na + nb) AS m FROM m) SELECT round((na * pow(ma - m, 2) + nb * pow(mb - m, 2)) / ((na * va + nb * vb) / (na + nb - 2)), 2) AS f FROM c")
+def _(spark, d):
+    return P.two_sample_f(table(spark, d, "lineitem"), "l_quantity", "l_tax").select(F.round("f", 2).alias("f"))
+
+
+@query("assoc_anova", "WITH g AS (SELECT l_returnflag, count(*) AS n, avg(l_extendedprice) AS m, var_pop(l_extendedprice) AS v FROM lineitem GROUP BY 1), t AS (SELECT sum(n) AS n, count(*) AS k, sum(n * m) AS s, sum(n * m * m) AS q, sum(n * v) AS w FROM g) SELECT round(((q - s * s / n) / (k - 1)) / (w / (n - k)), 4) AS f, round((q - s * s / n) / (q - s * s / n + w), 6) AS eta2 FROM t")
+def _(spark, d):
+    return P.anova(table(spark, d, "lineitem"), "l_returnflag", "l_extendedprice").select(F.round("f", 4).alias("f"), "eta2")
+
+
+@query("entropy", "WITH c AS (SELECT l_returnflag, CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY 1) SELECT round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS entropy FROM c")
+def _(spark, d):
+    return P.entropy(table(spark, d, "lineitem"), "l_returnflag")
+
+
+@query("entropy_binned", "WITH l AS (SELECT min(l_quantity) AS a, max(l_quantity) AS b FROM lineitem), c AS (SELECT least(CAST(floor((l_quantity - a) / ((b - a) / 10)) AS INTEGER), 9) AS k, CAST(count(*) AS DOUBLE) AS n FROM lineitem, l GROUP BY 1) SELECT round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS entropy FROM c")
+def _(spark, d):
+    return P.entropy(table(spark, d, "lineitem"), "l_quantity", bins=10)
+
+
+@query("kl_drift", "WITH p AS (SELECT value FROM events WHERE event_id % 2 = 0), q AS (SELECT value FROM events WHERE event_id % 2 = 1), l AS (SELECT min(value) AS a, max(value) AS b FROM p), pb AS (SELECT least(CAST(floor((value - a) / ((b - a) / 10)) AS INTEGER), 9) AS k, count(*) AS n FROM p, l GROUP BY 1), qb AS (SELECT least(CAST(floor((value - a) / ((b - a) / 10)) AS INTEGER), 9) AS k, count(*) AS n FROM q, l WHERE value BETWEEN a AND b GROUP BY 1), j AS (SELECT coalesce(pb.n, 0) / (SELECT sum(n) FROM pb) + 1e-10 AS x, coalesce(qb.n, 0) / (SELECT sum(n) FROM qb) + 1e-10 AS y FROM (SELECT unnest(range(10)) AS k) r LEFT JOIN pb ON pb.k = r.k LEFT JOIN qb ON qb.k = r.k) SELECT round(sum(x * ln(x / y)), 6) AS kl FROM j")
+def _(spark, d):
+    e = table(spark, d, "events")
+    return P.kl_drift(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), "value")
+
+
+@query("kl_drift_classes", "WITH p AS (SELECT event_type AS k, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY 1), q AS (SELECT event_type AS k, count(*) AS n FROM events WHERE event_id % 2 = 1 GROUP BY 1), j AS (SELECT coalesce(p.n, 0) / (SELECT sum(n) FROM p) + 1e-10 AS x, coalesce(q.n, 0) / (SELECT sum(n) FROM q) + 1e-10 AS y FROM p FULL JOIN q ON p.k = q.k) SELECT round(sum(x * ln(x / y)), 6) AS kl FROM j")
+def _(spark, d):
+    e = table(spark, d, "events")
+    return P.kl_drift(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), "event_type")
+
+
+_DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))"
+_E, _Q = "e.embedding", "q.embedding"
+_COS = f"{_DOT.format(_E, _Q)} / (sqrt({_DOT.format(_E, _E)}) * sqrt({_DOT.format(_Q, _Q)}))"
+
+
+def _against_first(spark, d):
+    e = table(spark, d, "embeddings")
+    q = e.where("vec_id = 0").select(F.col("embedding").alias("q"))
+    return e.crossJoin(F.broadcast(q))  # one row
+
+
+@query("similarity_cosine", f"SELECT e.vec_id, round({_COS}, 6) AS s FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q")
+def _(spark, d):
+    return _against_first(spark, d).select("vec_id", F.round(P.similarity(F.col("embedding"), F.col("q")), 6).alias("s"))
+
+
+@query("similarity_euclidean", "SELECT e.vec_id, round(1 / (1 + sqrt(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda z: pow(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE), 2))))), 6) AS s FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q")
+def _(spark, d):
+    return _against_first(spark, d).select("vec_id", F.round(P.similarity(F.col("embedding"), F.col("q"), "euclidean"), 6).alias("s"))
+
+
+@query("similarity_manhattan", "SELECT e.vec_id, round(1 / (1 + list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda z: abs(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE))))), 6) AS s FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q")
+def _(spark, d):
+    return _against_first(spark, d).select("vec_id", F.round(P.similarity(F.col("embedding"), F.col("q"), "manhattan"), 6).alias("s"))
+
+
+@query("similarity_pearson", "WITH u AS (SELECT e.vec_id, unnest(e.embedding) AS x, unnest(q.embedding) AS y FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q) SELECT vec_id, round(corr(CAST(x AS DOUBLE), CAST(y AS DOUBLE)), 6) AS s FROM u GROUP BY vec_id")
+def _(spark, d):
+    return _against_first(spark, d).select("vec_id", F.round(P.similarity(F.col("embedding"), F.col("q"), "pearson"), 6).alias("s"))
+
+
+@query("cosine_topk", f"WITH s AS (SELECT e.vec_id, round({_COS}, 6) AS s FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.vec_id <> 0) SELECT vec_id, s FROM s ORDER BY s DESC, vec_id LIMIT 10")
+def _(spark, d):
+    return _against_first(spark, d).where("vec_id <> 0").select("vec_id", F.round(P.similarity(F.col("embedding"), F.col("q")), 6).alias("s")).orderBy(F.desc("s"), "vec_id").limit(10)
+
+
+def _metric(name: str, key: str, sql: str) -> None:
+    @query(name, f"SELECT round({sql}, 6) AS v FROM ({_PRED})")
+    def run(spark, d):
+        return _pred(spark, d).agg(F.round(P.metric(key, "y", "p", "s"), 6).alias("v"))
+
+
+_metric("stat_parity", "sp", "avg(CASE WHEN s = 1 THEN p END) - avg(CASE WHEN s = 0 THEN p END)")
+_metric("accuracy", "accuracy_score", "1 - avg(CASE WHEN y = p THEN 1.0 ELSE 0 END)")
+_metric("f1", "f-1", "1 - 2.0 * count(*) FILTER (WHERE y = 1 AND p = 1) / (2 * count(*) FILTER (WHERE y = 1 AND p = 1) + count(*) FILTER (WHERE y <> p))")
+_metric("mae", "mae", "avg(abs(y - p))")
+_metric("rmse", "rmse", "sqrt(avg((y - p) * (y - p)))")
+_metric("rmse_sqrt", "rmse_sqrt", "pow(avg((y - p) * (y - p)), 0.25)")
+_RATE = "count(*) FILTER (WHERE y = {0} AND s = {1} AND p = {0}) / CAST(count(*) FILTER (WHERE y = {0} AND s = {1}) AS DOUBLE)"
+_metric("equalized_odds", "equalized_odds", f"greatest(abs({_RATE.format(1, 1)} - {_RATE.format(1, 0)}), abs({_RATE.format(0, 1)} - {_RATE.format(0, 0)}))")
+
+
+@query("class_imbalance", "SELECT round(least(count(*) FILTER (WHERE quality = 1), count(*) FILTER (WHERE quality = 0)) / CAST(greatest(count(*) FILTER (WHERE quality = 1), count(*) FILTER (WHERE quality = 0)) AS DOUBLE), 6) AS ratio, round(avg(CASE WHEN toxic = 1 THEN quality END) - avg(CASE WHEN toxic = 0 THEN quality END), 6) AS diff, round(covar_samp(quality, toxic), 6) AS cov FROM labels")
+def _(spark, d):
+    got = P.model_profile(table(spark, d, "labels"), "quality", "toxic")
+    return spark.createDataFrame([(round(got["class_imbalance_ratio"], 6), round(got["diff_sensitive_attr"], 6), round(got["cov"], 6))], "ratio double, diff double, cov double")
+
+
+@query("two_sigma_share", "WITH m AS (SELECT avg(l_extendedprice) AS m, stddev_samp(l_extendedprice) AS s FROM lineitem) SELECT round(avg(CASE WHEN abs(l_extendedprice - m) > 2 * s THEN 1.0 ELSE 0 END), 6) AS l_extendedprice FROM lineitem, m")
+def _(spark, d):
+    return P.two_sigma_share(table(spark, d, "lineitem"), ["l_extendedprice"])
+
+
+_SUM = "SELECT '{c}' AS name, count({c}) AS n, count(*) - count({c}) AS missing, count(DISTINCT {c}) AS n_distinct, round(avg({c}), 5) AS mean, round(stddev_pop({c}), 5) AS std, round(avg(pow({c} - m_{c}, 3)) / pow(var_pop({c}), 1.5), 4) AS skew, round(avg(pow({c} - m_{c}, 4)) / pow(var_pop({c}), 2) - 3, 4) AS kurtosis FROM lineitem, m"
+
+
+@query("summary_stats", "WITH m AS (SELECT avg(l_quantity) AS m_l_quantity, avg(l_discount) AS m_l_discount FROM lineitem) " + " UNION ALL ".join(_SUM.format(c=c) for c in ("l_quantity", "l_discount")))
+def _(spark, d):
+    return P.summary(table(spark, d, "lineitem"), ["l_quantity", "l_discount"])
+
+
+@query("quartiles_midpoint", "WITH v AS (SELECT o_totalprice AS v, row_number() OVER (ORDER BY o_totalprice) - 1 AS r, count(*) OVER () AS n FROM orders), p AS (SELECT unnest([0.25, 0.5, 0.75, 1.0]) AS p) SELECT CAST(p AS DOUBLE) AS p, round((max(CASE WHEN r = floor(p * (n - 1)) THEN v END) + max(CASE WHEN r = ceil(p * (n - 1)) THEN v END)) / 2, 6) AS q FROM v, p GROUP BY p")
+def _(spark, d):
+    probs = [0.25, 0.5, 0.75, 1.0]
+    got = midpoint(table(spark, d, "orders"), "o_totalprice", probs)
+    return spark.createDataFrame([(p, round(q, 6)) for p, q in zip(probs, got, strict=True)], "p double, q double")
+
+
+@query("score_fusion", "WITH l AS (SELECT min(o_totalprice) AS a, max(o_totalprice) AS b, min(o_custkey) AS c, max(o_custkey) AS d FROM orders) SELECT o_orderkey, round(sqrt((o_totalprice - a) / (b - a)) * sqrt(1 - (o_custkey - c) / CAST(d - c AS DOUBLE)), 6) AS fused FROM orders, l")
+def _(spark, d):
+    df = table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.col("o_custkey").cast("double").alias("cost"))
+    return P.fuse_scores(df, "o_totalprice", "cost").select("o_orderkey", "fused")
+
+
+@query("constraints_check", "SELECT 'p_size' AS name, 'min' AS kind, min(p_size) >= 1 AS ok FROM part UNION ALL SELECT 'p_size', 'max', max(p_size) <= 40 FROM part UNION ALL SELECT 'p_brand', 'max_nulls', count(*) - count(p_brand) <= 0 FROM part UNION ALL SELECT 'p_brand', 'max_length', max(length(p_brand)) <= 8 FROM part UNION ALL SELECT 'p_partkey', 'no_duplicates', count(p_partkey) = count(DISTINCT p_partkey) FROM part UNION ALL SELECT 'p_retailprice', 'sign', min(p_retailprice) > 0 FROM part")
+def _(spark, d):
+    rules = [P.Constraint("p_size", min=1, max=40), P.Constraint("p_brand", max_nulls=0, max_length=8), P.Constraint("p_partkey", no_duplicates=True), P.Constraint("p_retailprice", sign="positive")]
+    return P.check(table(spark, d, "part"), rules)
+
+
+@query("constraints_discover", "SELECT 'p_size' AS name, CAST(min(p_size) AS DOUBLE) AS low, CAST(max(p_size) AS DOUBLE) AS high, count(p_size) = count(DISTINCT p_size) AS is_key FROM part UNION ALL SELECT 'p_retailprice', min(p_retailprice), max(p_retailprice), count(p_retailprice) = count(DISTINCT p_retailprice) FROM part")
+def _(spark, d):
+    got = P.discover(table(spark, d, "part"), ["p_size", "p_retailprice"])
+    return spark.createDataFrame([(c.column, c.min, c.max, c.no_duplicates) for c in got], "name string, low double, high double, is_key boolean")
+
+
+@query("pattern_check", "SELECT p_partkey, p_brand FROM part WHERE NOT regexp_matches(p_brand, '^(?:Brand#1[0-9])$') AND NOT regexp_matches(p_brand, '^(?:Brand#2[0-3])$')")
+def _(spark, d):
+    return P.violations(table(spark, d, "part").select("p_partkey", "p_brand"), "p_brand", ["Brand#1[0-9]", "Brand#2[0-3]"])
+
+
+@query("regression_ols", "SELECT round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope FROM lineitem")
+def _(spark, d):
+    b, w = models.least_squares(table(spark, d, "lineitem"), ["l_quantity"], "l_extendedprice")
+    return spark.createDataFrame([(round(b, 4), round(w["l_quantity"], 4))], "intercept double, slope double")
+
+
+def _runs(spark, d):
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("run"), (F.col("o_custkey") % 3 + 1).cast("int").alias("a"), (F.col("o_orderkey") % 4 + 1).cast("int").alias("b"), (F.round("o_totalprice", 2) / 5000).alias("utility_sp"))
+
+
+_RUNS = "SELECT o_orderkey AS run, CAST(o_custkey % 3 + 1 AS INTEGER) AS a, CAST(o_orderkey % 4 + 1 AS INTEGER) AS b, round(o_totalprice, 2) / 5000 AS utility_sp FROM orders"
+
+
+@query("best_passing_run", f"SELECT run, a, b, round(u, 6) AS utility_sp FROM (SELECT *, utility_sp AS u FROM ({_RUNS})) WHERE abs(u) < 0.3 ORDER BY u, run LIMIT 1")
+def _(spark, d):
+    return history.best_passing(_runs(spark, d), "utility_sp", 0.3, "run").withColumn("utility_sp", F.round("utility_sp", 6))
+
+
+@query("utility_lookup", f"SELECT round(utility_sp, 5) AS utility_sp FROM ({_RUNS}) WHERE a = 2 AND b = 3")
+def _(spark, d):
+    return history.lookup(_runs(spark, d), {"a": 2, "b": 3}, "utility_sp")
+
+
+@query("strategy_space", "SELECT CAST(x AS INTEGER) AS a, CAST(y AS INTEGER) AS b, CAST(z AS INTEGER) AS c FROM (SELECT unnest(range(1, 4)) AS x), (SELECT unnest(range(1, 6)) AS y), (SELECT unnest(range(1, 3)) AS z)")
+def _(spark, d):
+    return history.strategy_space(spark, {"a": 3, "b": 5, "c": 2})
+
+
+@query("history_similarity", "WITH e AS (SELECT CAST(vec_id % 10 AS INTEGER) AS k, vec_id, label, embedding FROM embeddings), x AS (SELECT * FROM e WHERE vec_id < 200), y AS (SELECT * FROM e WHERE vec_id >= 200 AND vec_id < 400) SELECT x.k, x.label, round(avg((CAST(x.embedding[1] AS DOUBLE) * y.embedding[1] + CAST(x.embedding[2] AS DOUBLE) * y.embedding[2]) / (sqrt(pow(CAST(x.embedding[1] AS DOUBLE), 2) + pow(CAST(x.embedding[2] AS DOUBLE), 2)) * sqrt(pow(CAST(y.embedding[1] AS DOUBLE), 2) + pow(CAST(y.embedding[2] AS DOUBLE), 2)))), 6) AS similarity FROM x JOIN y ON x.k = y.k AND x.label = y.label GROUP BY x.k, x.label")
+def _(spark, d):
+    e = table(spark, d, "embeddings").select((F.col("vec_id") % 10).cast("int").alias("k"), "vec_id", "label", F.get("embedding", F.lit(0)).cast("double").alias("p"), F.get("embedding", F.lit(1)).cast("double").alias("q"))
+    return history.profile_similarity(e.where("vec_id < 200"), e.where("vec_id >= 200 AND vec_id < 400"), ["k", "label"], ["p", "q"])
+
+
+@query("history_report", "WITH v AS (SELECT CAST(o_custkey % 3 + 1 AS INTEGER) AS a, o_totalprice AS v, row_number() OVER (PARTITION BY o_custkey % 3 ORDER BY o_totalprice) - 1 AS r, count(*) OVER (PARTITION BY o_custkey % 3) AS n FROM orders) SELECT a, round((max(CASE WHEN r = floor(0.25 * (n - 1)) THEN v END) + max(CASE WHEN r = ceil(0.25 * (n - 1)) THEN v END)) / 2, 6) AS q1, round((max(CASE WHEN r = floor(0.5 * (n - 1)) THEN v END) + max(CASE WHEN r = ceil(0.5 * (n - 1)) THEN v END)) / 2, 6) AS median, round((max(CASE WHEN r = floor(0.75 * (n - 1)) THEN v END) + max(CASE WHEN r = ceil(0.75 * (n - 1)) THEN v END)) / 2, 6) AS q3, round(max(v), 6) AS top FROM v GROUP BY a")
+def _(spark, d):
+    df = table(spark, d, "orders").select((F.col("o_custkey") % 3 + 1).cast("int").alias("a"), "o_totalprice")
+    return history.report(df, "a", "o_totalprice").withColumns({c: F.round(c, 6) for c in ("q1", "median", "q3", "top")})
+
+
+@query("minimal_pairs", "WITH r AS (SELECT l_returnflag AS flag, CAST(l_linenumber AS VARCHAR) AS line, NOT (l_returnflag = 'R' OR l_linenumber > 3) AS ok FROM lineitem), u AS (SELECT 'flag' AS param, flag AS value, ok FROM r UNION ALL SELECT 'line', line, ok FROM r) SELECT param, value, CASE WHEN bool_and(ok) THEN 'good' WHEN NOT bool_or(ok) THEN 'bad' ELSE 'mixed' END AS kind FROM u GROUP BY param, value")
+def _(spark, d):
+    runs = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_linenumber").alias("line"), (~((F.col("l_returnflag") == "R") | (F.col("l_linenumber") > 3))).alias("result"))
+    return history.minimal_pairs(runs, ["flag", "line"])
+
+
+@query("column_distances", "SELECT 'price' AS name, round(CAST(max(abs(o_totalprice - round(o_totalprice))) AS DOUBLE), 6) AS distance FROM orders UNION ALL SELECT 'cust', CAST(max(abs(o_custkey - (o_custkey + o_orderkey % 3))) AS DOUBLE) FROM orders")
+def _(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"), F.col("o_custkey").alias("cust"))
+    good = o.select("o_orderkey", F.round("price").alias("price"), (F.col("cust") + F.col("o_orderkey") % 3).alias("cust"))
+    return history.column_distances(o, [good], "o_orderkey", ["price", "cust"])
+
+
+for _f in ("lr", "nb", "rf", "dt", "svm", "nn", "reg", "lasso"):
+
+    @query(f"model_{_f}")
+    def _(spark, d, f=_f):
+        df = table(spark, d, "lineitem").selectExpr("CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y", "l_quantity AS qty", "l_discount AS disc", "l_tax AS tax")
+        return models.predict(df, Roles(target="y"), f).select("y", "prediction")
+
+
+@query("model_lda")
+def _(spark, d):
+    df = table(spark, d, "lineitem").selectExpr("CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y", "l_quantity AS qty", "l_discount AS disc")
+    return models.lda(df, Roles(target="y")).select("y", "prediction")
+
+
+def _points(spark, d):
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("rid"), (F.col("s_acctbal") / 1000).alias("x"), F.col("s_nationkey").cast("double").alias("y"))
+
+
+@query("cluster_kmeans")
+def _(spark, d):
+    return models.kmeans(_points(spark, d), ["x", "y"])[0].select("rid", "cluster")
+
+
+@query("cluster_bisecting")
+def _(spark, d):
+    return models.bisecting(_points(spark, d), ["x", "y"]).select("rid", "cluster")
+
+
+@query(
+    "cluster_dbscan",
+    """WITH RECURSIVE g AS (SELECT s_suppkey AS rid, s_acctbal / 1000 AS x, CAST(s_nationkey AS DOUBLE) AS y FROM supplier),
+    n AS (SELECT a.rid AS a, b.rid AS b FROM g a, g b WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 1.5 * 1.5),
+    c AS (SELECT a FROM n GROUP BY a HAVING count(*) >= 4), l AS (SELECT n.a, n.b FROM n JOIN c ON c.a = n.a),
+    i AS (SELECT l.a, l.b FROM l JOIN c ON c.a = l.b), r(a, b) AS (SELECT a, a FROM c UNION SELECT r.a, i.b FROM r JOIN i ON i.a = r.b),
+    k AS (SELECT a, min(b) AS cluster FROM r GROUP BY a), o AS (SELECT l.b AS rid, min(k.cluster) AS cluster FROM l JOIN k ON k.a = l.a GROUP BY l.b)
+    SELECT g.rid, coalesce(o.cluster, -1) AS cluster FROM g LEFT JOIN o ON o.rid = g.rid""",
+)
+def _(spark, d):
+    return models.dbscan(_points(spark, d), "rid", ["x", "y"], 1.5, 4)
+
+
+@query("repair_glass_box")
+def _(spark, d):
+    df = gaps(spark, d).select("rid", "qty", "price", "disc", F.when(F.col("flag") == "R", 1).otherwise(0).alias("y"))
+    run = Executor(df, Roles(target="y", row_id="rid"))
+    plan = Plan((("missing_value", "mean"), ("normalization", "none"), ("model", "lr")))
+    acts = ranked([a for a in interventions(plan) if a.step == "normalization" or a.strategy in ("median", "drop")], lambda a: 1.0, lambda a: 0.0)
+    got = glass_box(plan, acts, run.utility, goal=0.0, most=3, depth=1)
+    return spark.createDataFrame([(got.evaluations, float(got.utility))], "evaluations long, utility double")
+
+
+@query("repair_opaque")
+def _(spark, d):
+    past = _runs(spark, d)
+    table_ = {(r["a"], r["b"]): r["u"] for r in past.groupBy("a", "b").agg(F.avg("utility_sp").alias("u")).collect()}
+    coef = dict(history.rank_parameters(past, ["a", "b"], "utility_sp"))
+    got = opaque((3, 4), [3, 4], [coef["a"], coef["b"]], lambda v: table_.get(v, 9.0), goal=min(table_.values()))
+    return spark.createDataFrame([(got.evaluations, float(got.utility), got.met)], "evaluations long, utility double, met boolean")
+
+
+@query("repair_causes")
+def _(spark, d):
+    rows = table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", (F.col("l_linenumber") % 4).alias("n")).distinct().collect()
+    space = {"flag": sorted({r[0] for r in rows}), "status": sorted({r[1] for r in rows}), "n": sorted({r[2] for r in rows})}
+    fails = lambda c: not (c["flag"] == "R" and c["n"] >= 2)
+    runs = causes.Runs(space, fails, [({"flag": a, "status": b, "n": n}, fails({"flag": a, "status": b, "n": n})) for a, b, n in rows])
+    return spark.createDataFrame([(" and ".join(f"{c.parameter} {c.op} {c.value}" for c in p),) for p in causes.debugging_trees(runs)], "cause string")

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructType, TimestampType
+from pyspark.sql.types import ArrayType, StringType, StructType, TimestampNTZType, TimestampType
 
 from ..functions.quantiles import quantiles
 from ..operators.features import classes, label_code, missing_ratios
@@ -76,7 +76,7 @@ def explode_lists(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 def date_parts(c: str) -> dict[str, Column]:
     """Seconds since 2017, year, month, day, weekday (Monday 0) and fractional hour, all as doubles."""
-    t = F.col(c)
+    t = F.col(c).cast("timestamp")
     seconds = (F.unix_micros(t) - F.unix_micros(F.lit("2017-01-01 00:00:00").cast("timestamp"))) / 1e6
     hour = F.hour(t) + F.minute(t) / 60 + F.second(t) / 3600
     parts = {"TIMESTAMP": seconds, "YEAR": F.year(t), "MONTH": F.month(t), "DAY": F.day(t), "DAYOFWEEK": F.weekday(t), "HOUR": hour}
@@ -84,7 +84,7 @@ def date_parts(c: str) -> dict[str, Column]:
 
 
 def explode_dates(df: DataFrame) -> DataFrame:
-    for c in [f.name for f in df.schema.fields if isinstance(f.dataType, TimestampType)]:
+    for c in [f.name for f in df.schema.fields if isinstance(f.dataType, (TimestampType, TimestampNTZType))]:
         df = df.withColumns(date_parts(c)).drop(c)
     return df
 
