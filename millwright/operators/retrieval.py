@@ -134,7 +134,7 @@ def query_profile(queries: DataFrame, found: DataFrame, qkey: str = "qid", qtext
     """Non-ASCII token and character shares, and gap and variance of the first k scores."""
     w = words(F.col(qtext))
     texts = queries.select(qkey, F.round(F.coalesce(F.try_divide(F.size(F.filter(w, lambda x: x.rlike(r"[^\x00-\x7F]"))).cast("double"), F.size(w).cast("double")), F.lit(0.0)), 6).alias("foreign_tokens"), F.round(F.coalesce(F.try_divide(F.length(F.regexp_replace(qtext, r"[\x00-\x7F]", "")).cast("double"), F.length(qtext).cast("double")), F.lit(0.0)), 6).alias("unicode_share"))
-    first = found.where(F.col("rank") <= k).groupBy(qkey).agg(F.round(F.max(F.when(F.col("rank") == 1, F.col("score"))) - F.coalesce(F.max(F.when(F.col("rank") == 2, F.col("score"))), F.lit(0.0)), 6).alias("gap"), F.round(F.var_pop("score"), 6).alias("score_variance"))
+    first = found.where(F.col("rank") <= k).groupBy(qkey).agg(F.round(F.max(F.when(F.col("rank") == 1, F.col("score"))) - F.coalesce(F.max(F.when(F.col("rank") == 2, F.col("score"))), F.lit(0.0)), 6).alias("gap"), F.round(F.var_pop("score"), 4).alias("score_variance"))
     return texts.join(first, qkey, "left")
 
 
