@@ -108,7 +108,7 @@ def judge(pages: DataFrame, rules=RULES, labelled=LABELLED) -> DataFrame:
     rows = rows.withColumns({f"_c{k}": codes for k, (codes, _) in enumerate(grams)}).withColumn("_g", F.concat(*(g for _, g in grams)))
     table = F.array(*(F.lit(int(w)) for w in weights))
     total = F.aggregate("_g", F.lit(0).cast("long"), lambda a, g: a + F.get(table, g))
-    score = total / F.sqrt(F.size("_g").cast("double")) + bias
+    score = total / F.greatest(F.sqrt(F.size("_g").cast("double")), F.lit(1.0)) + bias  # without an n-gram only the bias speaks
     rows = rows.withColumn("score", F.round(score / SCALE, 6))
     return rows.select("page_id", "host", "path", F.col("_f.rule").alias("rule"), "score", F.coalesce(F.col("_f.verdict"), F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"))
 
@@ -137,6 +137,6 @@ u AS (SELECT page_id, host, path, list_concat({', '.join(parts[:3])}) AS ga, lis
 w AS (SELECT {weights.tolist()} AS w),
 x AS (SELECT page_id, host, path, unnest(list_concat(ga, gb)) AS b FROM u),
 s AS (SELECT page_id, host, path, round((sum(w.w[CAST(b AS INTEGER) + 1]) / sqrt(CAST(count(*) AS DOUBLE)) + {bias}) / {SCALE}, 6) AS score FROM x, w GROUP BY page_id, host, path)
-SELECT f.page_id, f.host, f.path, f.rule, s.score, CASE f.rule {said} ELSE CASE WHEN s.score > 0 THEN 'block' ELSE 'allow' END END AS verdict
-FROM f JOIN s ON s.page_id = f.page_id AND s.host = f.host AND s.path = f.path
+SELECT f.page_id, f.host, f.path, f.rule, coalesce(s.score, round({bias} / {SCALE}, 6)) AS score, CASE f.rule {said} ELSE CASE WHEN coalesce(s.score, {bias}) > 0 THEN 'block' ELSE 'allow' END END AS verdict
+FROM f LEFT JOIN s ON s.page_id = f.page_id AND s.host = f.host AND s.path = f.path
 """

@@ -1,0 +1,347 @@
+"""Operators on texts: each against a brute-force version on a small fixture, and the defined edge cases."""
+
+import hashlib
+import math
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from millwright.llm import bpe, langid, licenses, mixing, neardup, pii, quality, rules
+from millwright.llm.bytesops import Words, shingles
+from millwright.llm.queries import tokenizer_path
+
+LONG = " ".join(f"word{i % 977} and" for i in range(30000))
+BASE = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega"
+TEXTS = [
+    (1, BASE), (2, BASE), (3, BASE.upper()), (4, BASE.replace("mu", "MUU")), (5, None), (6, ""), (7, "   \n\t "), (8, "one two"), (9, "One  Two"),
+    (10, "the cat sat on the mat " * 8), (11, LONG), (12, "ünïcödé ß 漢字 \U0001f600 " * 5), (13, "a,b;c " + "#" * 30), (13, "a,b;c " + "#" * 30),
+    (None, BASE), (None, None), (14, "line\nline\nline\nother words here to be long enough\n\n"),
+]
+
+
+def frame(spark, rows=TEXTS, langs=False):
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("kept", T.StringType()), T.StructField("_w", T.LongType()), T.StructField("node", T.StringType()), T.StructField("rate", T.DoubleType()), T.StructField("lang", T.StringType())])
+    return spark.createDataFrame([(i, t, "clash", 1, None, 0.5, "en" if langs else None) for i, t in rows], schema)
+
+
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def test_words_and_hashes_agree_with_python():
+    texts = [t or "" for _, t in TEXTS]
+    raw = [t.encode() for t in texts]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    w = Words(data, np.r_[0, np.cumsum([len(r) for r in raw])])
+    assert w.counts.tolist() == [len(words_of(t)) for t in texts]
+    flat, h = [x for t in texts for x in words_of(t)], w.hashes(lower=False)
+    assert len(set(flat)) == len(set(h.tolist())) == len({(a, b) for a, b in zip(flat, h.tolist(), strict=True)})
+
+
+def _low(t):
+    return re.sub("[A-Z]", lambda m: m.group().lower(), t or "")
+
+
+def _sets(rows):
+    out = []
+    for _, t in rows:
+        w = words_of(_low(t))
+        out.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    return out
+
+
+def brute_components(rows):
+    sets, parent = _sets(rows), list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            k = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * k >= 75 * (len(sets[i]) + len(sets[j]) - k):
+                parent[find(i)] = find(j)
+    low = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            low[find(i)] = min(low.get(find(i), d), d)
+    return sorted(((d, len(sets[i]), low.get(find(i), d)) for i, (d, _) in enumerate(rows)), key=str)
+
+
+def test_shingle_sets_have_the_right_sizes():
+    raw = [(t or "").encode() for _, t in TEXTS]
+    _, bounds = shingles(Words(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(r) for r in raw])]), 5)
+    assert np.diff(bounds).tolist() == [len(s) for s in _sets(TEXTS)]
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    rng, rows = random.Random(3), list(TEXTS)
+    vocab = [f"w{i}" for i in range(400)]
+    for g in range(12):
+        base = [rng.choice(vocab) for _ in range(120)]
+        for k in range(8):
+            w = list(base)
+            for _ in range(rng.randrange(7)):
+                w[rng.randrange(len(w))] = rng.choice(vocab)
+            rows.append((100 + g * 8 + k, " ".join(w)))
+    got = neardup.near_duplicates(spark, frame(spark, rows)).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute_components(rows)
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+
+
+def test_near_duplicates_of_a_large_group_and_of_nothing(spark):
+    rows = [(i, BASE + f" tail{i % 3}") for i in range(300)]
+    got = neardup.near_duplicates(spark, frame(spark, rows)).groupBy("component_id").count().collect()
+    assert [tuple(r) for r in got] == [(0, 300)]
+    assert neardup.near_duplicates(spark, frame(spark, [])).count() == 0
+
+
+def test_components_of_a_chain(spark):
+    from millwright.llm.store import Scratch
+
+    node = lambda i: hashlib.blake2b(str(i).encode(), digest_size=16).digest()
+    links = spark.createDataFrame([(node(i), node(i + 1)) for i in range(60)], "a binary, b binary")
+    got = neardup.components(links, Scratch(spark, "test")).collect()
+    assert len(got) == 61 and len({bytes(r["root"]) for r in got}) == 1
+
+
+def test_block_links_reach_what_stars_miss(spark):
+    rows = [(bytes([i]) * 16, list(range(i, i + 40))) for i in range(12)]
+    sets = spark.createDataFrame(rows, "node binary, shingles array<long>")
+    rooted = sets.select(F.lit(1).cast("long").alias("bucket"), "node", F.col("node").alias("root"))
+    got = neardup._open_links(rooted, sets, 75)
+    from millwright.llm.store import Scratch
+
+    assert neardup.components(got, Scratch(spark, "test")).select("root").distinct().count() == 1
+
+
+def brute_rules(text):
+    w = words_of(text)
+    seen, cover = {}, set()
+    for i in range(len(w) - 4):
+        seen.setdefault(tuple(w[i : i + 5]), []).append(i)
+    for at in seen.values():
+        if len(at) > 1:
+            cover |= {i + k for i in at for k in range(5)}
+    lines = [x for x in (text or "").split("\n") if words_of(x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(cover), len(w) < 10 or 100 * len(cover) > 20 * len(w)
+
+
+def test_rules_equal_brute_force(spark):
+    got = rules.judge(frame(spark)).collect()
+    own = sorted(((i, *brute_rules(t)) for i, t in TEXTS), key=str)
+    assert sorted(((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in got), key=str) == own
+    assert not any(r["kept"] and r["base_failed"] for r in got)
+    assert rules.judge(frame(spark, [])).count() == 0
+
+
+def test_feistel_is_a_permutation():
+    for size in (1, 2, 10, 97, 1000):
+        assert sorted(pii.feistel(i, size, b"k", "t") for i in range(size)) == list(range(size))
+
+
+def test_pseudonyms_keep_format_and_validity():
+    key = b"secret"
+    card = pii.pseudonym("card", "4111 1111 1111 1111", key)
+    digits = card.replace(" ", "")
+    assert card != "4111 1111 1111 1111" and re.fullmatch(r"(\d{4} ){3}\d{4}", card) and pii.luhn_digit(digits[:-1]) == digits[-1]
+    assert pii.pseudonym("card", "4111111111111111", key) == digits  # linked whatever the spacing
+    assert pii.pseudonym("card", "4111111111111112", key) is None
+    iban = pii.pseudonym("iban", "GB82 WEST 1234 5698 7654 32", key).replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    assert re.fullmatch(r"\d{4}-\d\d-\d\d", pii.pseudonym("date", "2024-02-29", key)) and pii.pseudonym("date", "2023-02-29", key) is None
+    assert pii.pseudonym("ipv4", "1.2.3.400", key) is None and pii.pseudonym("ssn", "000-12-3456", key) is None
+    assert re.fullmatch(r"[0-9a-f]{40}", pii.pseudonym("secret", "ab" * 20, key)) and pii.pseudonym("secret", "ab" * 20, b"other") != pii.pseudonym("secret", "ab" * 20, key)
+    dates = {pii.pseudonym("date", f"20{y:02d}-{m:02d}-11", key) for y in range(40) for m in range(1, 13)}
+    assert len(dates) == 480
+
+
+def test_pseudonymise_text(spark):
+    text = "Mail jo.doe+x@mail3.example.com or +1 (017) 555-7713, 10.0.0.255, born 1999-12-31, card 4111111111111111, not 4111111111111112. "
+    rows = [*TEXTS, (20, text), (21, "again jo.doe+x@mail3.example.com"), (22, "x" * 200000 + "1")]
+    got = {(r["doc_id"], i): r for i, r in enumerate(pii.pseudonymise(frame(spark, rows), b"k").collect())}
+    by = {}
+    for r in got.values():
+        by.setdefault(r["doc_id"], r)
+    new = by[20]["text"]
+    for gone in ("jo.doe", "555-7713", "10.0.0.255", "1999-12-31", "4111111111111111"):
+        assert gone not in new
+    assert "4111111111111112" in new and new.startswith("Mail ") and len(got) == len(rows)
+    mail = re.search(r"\S+@\S+", new)[0]
+    assert mail in by[21]["text"] and by[20]["n_email"] == by[20]["n_card"] == by[20]["n_phone"] == by[20]["n_ipv4"] == by[20]["n_date"] == 1
+    assert by[5]["text"] is None and by[6]["text"] == "" and by[1]["text"] == BASE
+    assert pii.pseudonymise(frame(spark, []), b"k").count() == 0
+
+
+@pytest.fixture(scope="module")
+def library():
+    tokenizers = pytest.importorskip("tokenizers")
+    pytest.importorskip("public_tokenizers")
+    t = tokenizers.Tokenizer.from_file(tokenizer_path())
+    t.no_truncation()
+    t.no_padding()
+    return t
+
+
+def test_tree_concatenation_equals_the_library(library):
+    rng = random.Random(5)
+    pieces = ["the", " ", "  ", "\n", "'", "'re", "'s", "!", "!!'", "é", "漢", "\U0001f600", "1", "23", "ab", "rest", "\t ", "x", "Zq", "<|endoftext|>", "ing", "\u00a0", "_"]
+    runs = ["a", "ab", "xyzzy", "é", "漢字", "9", "!'", "'", "aé1"]
+    for leaf, window in ((16, 2), (40, 4), (200, 24)):
+        own = bpe.Codec(tokenizer_path(), leaf, window)
+        for _ in range(120):
+            text = "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 300)))
+            assert own.encode(text) == library.encode(text, add_special_tokens=False).ids, text
+        for _ in range(60):  # long stretches that nothing splits
+            text = rng.choice(runs) * rng.randrange(50, 400) + "".join(rng.choice("abcdeé漢'!1") for _ in range(rng.randrange(300)))
+            assert own.encode(text) == library.encode(text, add_special_tokens=False).ids, text
+        text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3000))
+        assert own.encode(text) == library.encode(text, add_special_tokens=False).ids
+        assert own.decode(own.encode(text)) == text
+
+
+def test_round_trip_query(spark, library):
+    got = bpe.round_trip(frame(spark), tokenizer_path()).collect()
+    assert len(got) == len(TEXTS)
+    want = sorted(((i, len(ids := library.encode(t or "", add_special_tokens=False).ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in TEXTS), key=str)
+    assert sorted((tuple(r) for r in got), key=str) == want
+    back = bpe.decode(bpe.encode(frame(spark), tokenizer_path()), tokenizer_path()).collect()
+    assert sorted((r["text"] for r in back)) == sorted((t or "") for _, t in TEXTS)
+    assert bpe.round_trip(frame(spark, []), tokenizer_path()).count() == 0
+
+
+def brute_licence(text):
+    best = (0.0, None)
+    n = 0
+    lines = (text or "").split("\n")
+    for s in lines + ([text] if len(lines) > 1 else []):
+        a, hit = set(licenses.bigrams(s)), False
+        for name, t in licenses.TEMPLATES:
+            b = set(licenses.bigrams(t))
+            dice = 2 * len(a & b) / (len(a) + len(b)) if a else 0
+            if dice >= licenses.THRESHOLD:
+                hit = True
+                if (-round(dice, 6), name) < (-best[0], best[1] or "~"):
+                    best = (round(dice, 6), name)
+        n += hit
+    return best[1], best[0], n
+
+
+def test_licences_equal_brute_force(spark):
+    rows = [*TEXTS, *((30 + i, f"{BASE}\n{t}\nmore words") for i, (_, t) in enumerate(licenses.TEMPLATES)), (60, "LICENSED under the apache license, version 2"), (61, "released under the mit licence"), (62, licenses.TEMPLATES[4][1] + " extra words at the end"), (63, "mit der licht")]
+    got = sorted(((r["doc_id"], r["licence"], r["score"], r["n_segments"]) for r in licenses.scan(frame(spark, rows)).collect()), key=str)
+    assert got == sorted(((i, *brute_licence(t)) for i, t in rows), key=str)
+    assert licenses.scan(frame(spark, [])).count() == 0
+
+
+LANGS = {"en": "the quick brown fox jumps over the lazy dog and then it was gone with the wind ", "de": "der schnelle braune fuchs springt über den faulen hund und dann war er weg ", "fr": "le renard brun saute par dessus le chien paresseux et puis il était parti "}
+
+
+def brute_ppm(counts, text):
+    """Code length by following the escapes byte by byte."""
+    total, data = 0.0, langid._folded(np.frombuffer(text.encode(), np.uint8))
+    past = bytes([32, 32, 32])
+    for s in bytes(data):
+        bits = None
+        cost = 0.0
+        for order in (3, 2, 1, 0):
+            seen = counts[order].get(past[3 - order :] if order else b"", {})
+            n, d = sum(seen.values()), len(seen)
+            if s in seen:
+                bits = cost + math.log2((n + d) / seen[s])
+                break
+            cost += math.log2((n + d) / max(d, 1)) if n else 0.0
+        total += 8 + cost if bits is None else bits
+        past = past[1:] + bytes([s])
+    return total
+
+
+def test_context_trees_equal_the_recursion():
+    grams, trees = [], {}
+    for lang in sorted(LANGS):
+        data, counts, past, found = bytes(langid._folded(np.frombuffer((LANGS[lang] * 3).encode(), np.uint8))), [{} for _ in range(4)], bytes([32, 32, 32]), {}
+        for s in data:
+            for o in range(4):
+                c = counts[o].setdefault(past[3 - o :] if o else b"", {})
+                c[s] = c.get(s, 0) + 1
+            k = int.from_bytes(past + bytes([s]), "big")
+            found[k] = found.get(k, 0) + 1
+            past = past[1:] + bytes([s])
+        keys = np.array(sorted(found), np.int64)
+        grams.append((keys, np.array([found[k] for k in keys.tolist()], np.int64)))
+        trees[lang] = counts
+    own = langid.Trees(sorted(LANGS), grams)
+    for text in ("The wind and the dog", "über den Hund", "xyz 漢", "é", "\t!?"):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        got = own.lengths(raw, np.array([0, len(raw)]))[0]
+        for k, lang in enumerate(sorted(LANGS)):
+            assert abs(got[k] - brute_ppm(trees[lang], text)) < 0.002 * len(raw), (text, lang)
+
+
+def test_language_of_held_out_texts_and_edges(spark):
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.sample(LANGS[lang].split(), 8)), lang) for i in range(300) for lang in [("en", "de", "fr")[i % 3]]]
+    extra = [(1000, None, "en"), (1001, "", "en"), (1002, "123 !!", "en"), (1003, "the dog", None), (None, "der hund", "de"), (1004, "the dog " * 9000, None)]
+    df = spark.createDataFrame(rows + extra, "doc_id long, text string, lang string").withColumn("score", F.lit("clash"))
+    got = {r["doc_id"]: r for r in langid.identify(spark, df).collect()}
+    held = [i for i, _, _ in rows if got[i]["held_out"]]
+    assert held and all(got[i]["lang_pred"] == rows[i][2] for i in held)
+    assert [got[i]["lang_pred"] for i in (1000, 1001, 1002, 1003, None, 1004)] == ["und", "und", "und", "en", "de", "en"]
+    assert all(0 <= r["score"] <= 1 for r in got.values()) and not got[None]["held_out"]
+    assert langid.identify(spark, df.limit(0)).count() == 0
+    assert {r["lang_pred"] for r in langid.identify(spark, df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_quality_draws_the_good_and_leaves_junk(spark):
+    rng = random.Random(2)
+    good = lambda: " ".join(rng.choice(BASE.split()) for _ in range(60)) + "."
+    junk = lambda: " ".join(w + "***" for w in rng.sample(BASE.split(), 20))
+    rows = [(i, good() if i % 5 else junk()) for i in range(1000)] + [(5000, None), (5001, ""), (None, good()), (7, rows_text := good())]
+    labels = spark.createDataFrame([(i, int(i % 5 > 0)) for i in range(500)] + [(None, 1), (3, None), (3, 1)], "doc_id long, quality int")
+    got = quality.resample(spark, frame(spark, rows), labels).collect()
+    assert len(got) == len(rows) and rows_text
+    kept = {r["doc_id"]: r["kept"] for r in got}
+    assert all(kept[i] == bool(i % 5) for i in range(1000) if i != 7)
+    assert {r["log_weight"] for r in got if r["doc_id"] in (5000, 5001)} == {0.0}
+    none = quality.resample(spark, frame(spark, rows), labels.limit(0)).collect()
+    assert all(r["kept"] for r in none)
+    assert quality.resample(spark, frame(spark, []), labels).count() == 0
+
+
+def test_gumbel_top_k_equals_a_sort(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 7).cast("double").alias("w")).withColumn("key", F.col("w") + quality.gumbel(F.col("doc_id"), 1)).cache()
+    every = sorted((r["key"] for r in df.collect()), reverse=True)
+    for k in (1, 10, 1500, 3000):
+        assert quality.kth_largest(df, "key", k, few=50) == every[k - 1]
+    ties = spark.range(200).select(F.lit(1.5).alias("key"))
+    assert quality.kth_largest(ties, "key", 20, few=5) == 1.5
+
+
+def test_mixing_meets_its_targets_and_equals_dense_descent(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(LANGS[lang].split()) for _ in range(rng.randrange(5, 60))), lang) for i in range(400) for lang in [("en", "en", "de", "fr")[i % 4]]]
+    df = spark.createDataFrame(rows + [(900, None, "en"), (901, "", None), (None, "the fox", None)], "doc_id long, text string, lang string").withColumn("copies", F.lit("clash"))
+    labelled = df.select("doc_id", "text", F.col("lang").alias("domain"))
+    targets = {"en": 0.3, "de": 0.3, "fr": 0.4}
+    model = mixing.fit(spark, df, labelled, targets)
+    got = mixing.rate(spark, df.select("doc_id", "text"), model).collect()
+    p, n, r = np.array([x["posterior"] for x in got]), np.array([x["n_tokens"] for x in got]), np.array([x["rate"] for x in got])
+    total = (n * r) @ p
+    assert np.allclose(total / total.sum(), [0.3, 0.3, 0.4][1:2] + [0.3] + [0.4], atol=2e-3) and (r >= 0).all()
+    # the same descent with all rates held at once
+    plain = n @ p
+    weight = np.array([targets[d] for d in model.domains])
+    budget, rate = mixing.SPARE * max(plain / weight), np.ones(len(n))
+    for _ in range(len(model.history)):
+        gap = ((n * rate) @ p - weight * budget) / plain
+        rate = np.maximum(0, rate - (p @ gap + mixing.RIDGE * (rate - 1)) / (1 + mixing.RIDGE))
+    assert np.allclose(np.where(n > 0, rate, 1), r, atol=1e-5)
+    assert all(abs(x["copies"] - x["rate"]) < 1 for x in got) and {x["rate"] for x in got if not x["n_tokens"]} == {1.0}
+    assert mixing.mix(spark, df.limit(0), labelled, targets).count() == 0
+    assert {x["rate"] for x in mixing.mix(spark, df, labelled.limit(0), targets).collect()} == {1.0}
