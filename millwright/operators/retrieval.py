@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import STOP_WORDS, collapse_runs, no_punctuation, runs_of, squeeze, tfidf, words
+from .text import STOP_WORDS, collapse_runs, no_punctuation, runs_of, squeeze, term_counts, tfidf, words
 
 
 def normalise(c: str, strategy: str = "none") -> Column:
@@ -43,12 +43,19 @@ def index(docs: DataFrame, key: str, column: str, kind: str = "bm25") -> DataFra
     return tfidf(docs.select(F.col(key).alias("doc"), F.col(column).alias("text")), "doc", TERMS[kind]("text"))
 
 
+def document_terms(docs: DataFrame, kind: str) -> DataFrame:
+    """(doc, term, tf), counted where the document's text was dealt to; character n-grams are cut once a distinct word of it."""
+    if kind != "dense":
+        return term_counts(docs, "doc", TERMS[kind]("_text"))
+    own = term_counts(docs, "doc", words(F.lower("_text"))).select("doc", F.explode(char_terms("term")).alias("gram"), "tf")
+    return own.groupBy("doc", F.col("gram").alias("term")).agg(F.sum("tf").alias("tf"))
+
+
 def retrieve(queries: DataFrame, docs: DataFrame, kind: str = "bm25", k: int = 10, qkey: str = "qid", dkey: str = "doc_id", qtext: str = "query", dtext: str = "text") -> DataFrame:
     """(qid, doc_id, score, rank): the k documents of largest tf-idf cosine; only shared terms are joined, ties go to the smaller id."""
     asked = queries.select(F.col(qkey).alias("q"), F.explode(TERMS[kind](qtext)).alias("term")).groupBy("q", "term").agg(F.count(F.lit(1)).alias("tf"))
-    own = docs.select(F.col(dkey).alias("doc"), F.explode(TERMS[kind](dtext)).alias("term"))
     n = docs.count()
-    counts = own.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counts = document_terms(docs.select(F.col(dkey).alias("doc"), F.col(dtext).alias("_text")), kind)
     idf = counts.groupBy("term").agg((F.log((1 + F.lit(n)) / (1 + F.count(F.lit(1)))) + 1).alias("idf"))
     weighted = counts.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
     norm = weighted.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))

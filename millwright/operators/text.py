@@ -122,8 +122,12 @@ def ngrams(df: DataFrame, roles: Roles = Roles(), strategy: str = "word", n: int
 
 
 def term_counts(df: DataFrame, key: str, terms: Column) -> DataFrame:
-    """(key, term, tf) from an array of terms."""
-    return df.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(key, term, tf) from an array of terms.
+
+    The rows are dealt by key while they are still texts; their terms are then
+    counted where they are, without a second shuffle of (key, term) rows.
+    """
+    return df.repartition(key).select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def document_frequency(df: DataFrame, terms: Column) -> DataFrame:
