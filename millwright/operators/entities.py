@@ -165,3 +165,19 @@ def cluster_precision(clusters: DataFrame, key: str, cluster: str, truth: str) -
     tp = cells.agg(F.sum(choose(F.col("n"))).cast("long").alias("tp"))
     every = cells.groupBy(cluster).agg(F.sum("n").alias("n")).agg(F.sum(choose(F.col("n"))).cast("long").alias("pairs"))
     return tp.crossJoin(every).withColumn("precision", F.round(F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("pairs").cast("double")), F.lit(0.0)), 5))
+
+
+def all_pairs(left: DataFrame, right: DataFrame, key1: str, key2: str, column: str, theta: float) -> DataFrame:
+    """(id1, id2, sim) of every pair with a word Jaccard of at least theta > 0: only pairs that share a rare word of each side meet."""
+    a = left.select(F.col(key1).alias("id1"), word_set(column).alias("a")).where(F.size("a") > 0)
+    b = right.select(F.col(key2).alias("id2"), word_set(column).alias("b")).where(F.size("b") > 0)
+    freq = a.select(F.explode("a").alias("t")).unionAll(b.select(F.explode("b").alias("t"))).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+
+    def prefix(rows: DataFrame, key: str, items: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(key).orderBy("n", "t"))
+        sized = rows.select(key, F.size(items).alias("_s"), F.explode(items).alias("t")).join(freq, "t").withColumn("_p", place)
+        return sized.where(F.col("_p") <= F.col("_s") - F.ceil(F.col("_s") * theta - 1e-9) + 1).select(key, "t")
+
+    near = prefix(a, "id1", "a").join(prefix(b, "id2", "b"), "t").select("id1", "id2").distinct()
+    sim = jaccard(F.col("a"), F.col("b"))
+    return near.join(a, "id1").join(b, "id2").select("id1", "id2", sim.alias("sim")).where(F.col("sim") >= theta)

@@ -96,6 +96,17 @@ def elastic_net(x: np.ndarray, y: np.ndarray, ratios=(0.1, 0.5, 0.9), alphas: in
     return float(my - mx @ w), w
 
 
+def multinomial_importance(df: DataFrame, features: list[str], target: str) -> list[tuple[str, float]]:
+    """Features by the mean magnitude of their multinomial coefficients."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
+
+    data = StringIndexer(inputCol=target, outputCol="_y").fit(df).transform(df.dropna(subset=[*features, target]))
+    model = LogisticRegression(labelCol="_y", family="multinomial", maxIter=50).fit(VectorAssembler(inputCols=features, outputCol="features").transform(data))
+    weight = np.abs(model.coefficientMatrix.toArray()).mean(0)
+    return sorted(zip(features, map(float, weight), strict=True), key=lambda x: (-x[1], x[0]))
+
+
 def lda(df: DataFrame, roles: Roles) -> DataFrame:
     """Linear discriminant with a shared covariance, from one grouped aggregation; adds prediction."""
     names = numeric_columns(df, roles)

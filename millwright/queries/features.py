@@ -133,10 +133,22 @@ def _(spark, d):
     return spark.createDataFrame([(round(got["qty"], 3), round(got["disc"], 3))], "qty double, disc double")
 
 
-@query("select_mutual_info")
+def _bins(c: str) -> str:
+    return " + ".join(f"CAST({c} >= quantile_{c}[{i}] AS INTEGER)" for i in range(1, 10))
+
+
+def _edges(c: str) -> str:
+    return f"(SELECT quantile_cont({c}, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS quantile_{c} FROM g)"
+
+
+def _mi(c: str) -> str:
+    return f"(SELECT sum(n / t * ln(n * t / (na * nb))) FROM (SELECT n, sum(n) OVER () AS t, sum(n) OVER (PARTITION BY a) AS na, sum(n) OVER (PARTITION BY b) AS nb FROM (SELECT {c}_b AS a, price_b AS b, CAST(count(*) AS DOUBLE) AS n FROM k GROUP BY 1, 2)))"
+
+
+@query("select_mutual_info", f"WITH g AS ({_NUMS}), k AS (SELECT {_bins('qty')} AS qty_b, {_bins('disc')} AS disc_b, {_bins('price')} AS price_b FROM g, {_edges('qty')}, {_edges('disc')}, {_edges('price')}) SELECT 'qty' AS name, round({_mi('qty')}, 6) AS score UNION ALL SELECT 'disc', round({_mi('disc')}, 6)")
 def _(spark, d):
     got = features.mutual_information(nums(spark, d), "price", ["qty", "disc"])
-    return spark.createDataFrame(sorted(got.items()), "name string, score double")
+    return spark.createDataFrame([(k, round(v, 6)) for k, v in sorted(got.items())], "name string, score double")
 
 
 @query("select_tree")

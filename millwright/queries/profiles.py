@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..data import Roles, table
+from ..functions import er_profile as ER
 from ..functions import profile as P
 from ..functions.quantiles import midpoint
-from ..operators import models
+from ..operators import entities, images, models, outliers
 from ..plans import causes, history
 from ..plans.plan import Executor, Plan
 from ..plans.search import glass_box, interventions, opaque, ranked
@@ -297,3 +298,62 @@ def _(spark, d):
     fails = lambda c: not (c["flag"] == "R" and c["n"] >= 2)
     runs = causes.Runs(space, fails, [({"flag": a, "status": b, "n": n}, fails({"flag": a, "status": b, "n": n})) for a, b, n in rows])
     return spark.createDataFrame([(" and ".join(f"{c.parameter} {c.op} {c.value}" for c in p),) for p in causes.debugging_trees(runs)], "cause string")
+
+
+_LEN = "SELECT len(list_filter(string_split_regex(p_name || ' ' || p_type, '\\s+'), lambda w: w <> '')) AS v FROM part"
+_MID = "v AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS r, count(*) OVER () AS n FROM x) SELECT " + ", ".join(f"round((max(CASE WHEN r = floor({p} * (n - 1)) THEN v END) + max(CASE WHEN r = ceil({p} * (n - 1)) THEN v END)) / 2.0, 6) AS q{i}" for i, p in ((1, 0.25), (2, 0.5), (3, 0.75))) + " FROM v"
+
+
+def _quarters(spark, got):
+    return spark.createDataFrame([tuple(round(float(x), 6) for x in got)], "q1 double, q2 double, q3 double")
+
+
+@query("er_record_lengths", f"WITH x AS ({_LEN}), {_MID}")
+def _(spark, d):
+    return _quarters(spark, ER.record_lengths([table(spark, d, "part")], ["p_name", "p_type"]))
+
+
+@query("er_stop_word_share", f"WITH t AS (SELECT p_partkey AS k, unnest(list_filter(string_split_regex(lower(p_name || ' ' || p_type), '\\s+'), lambda w: w <> '')) AS t FROM part), f AS (SELECT t, count(*) AS n FROM t GROUP BY t), s AS (SELECT t FROM f ORDER BY n DESC, t LIMIT (SELECT CAST(floor(0.1 * count(*)) AS BIGINT) FROM f)), x AS (SELECT avg(CASE WHEN s.t IS NULL THEN 0.0 ELSE 1.0 END) AS v FROM t LEFT JOIN s ON s.t = t.t GROUP BY k), {_MID}")
+def _(spark, d):
+    return _quarters(spark, ER.stop_word_share(table(spark, d, "part"), "p_partkey", ["p_name", "p_type"]))
+
+
+_WS = "list_distinct(list_filter(string_split_regex(replace(lower({}), ',', ''), '\\s+'), lambda t: t <> ''))"
+
+
+@query("er_all_pairs", f"WITH z AS (SELECT s_suppkey AS k, {_WS.format('s_name')} AS w FROM supplier) SELECT a.k AS id1, b.k AS id2, round(len(list_intersect(a.w, b.w)) / CAST(len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)) AS DOUBLE), 6) AS sim FROM z a, z b WHERE len(list_intersect(a.w, b.w)) / CAST(len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)) AS DOUBLE) >= 0.5")
+def _(spark, d):
+    s = table(spark, d, "supplier")
+    return entities.all_pairs(s, s, "s_suppkey", "s_suppkey", "s_name", 0.5).withColumn("sim", F.round("sim", 6))
+
+
+@query("profile_columns", "WITH g AS (SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, l_quantity AS qty, l_discount AS disc FROM lineitem), m AS (SELECT avg(qty) AS mq, stddev_samp(qty) AS sq, avg(disc) AS md, stddev_samp(disc) AS sd FROM g) SELECT round(corr(qty, y), 2) AS corr_qty, round(corr(disc, y), 2) AS corr_disc, round(avg(CASE WHEN abs(qty - mq) > 2 * sq THEN 1.0 ELSE 0 END), 2) AS ot_qty, round(avg(CASE WHEN abs(disc - md) > 2 * sd THEN 1.0 ELSE 0 END), 2) AS ot_disc FROM g, m")
+def _(spark, d):
+    df = table(spark, d, "lineitem").selectExpr("CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y", "l_quantity AS qty", "l_discount AS disc")
+    got = ER.populate(df, Roles(target="y"))
+    names = ("corr_qty", "corr_disc", "ot_qty", "ot_disc")
+    return spark.createDataFrame([tuple(float(got[c]) for c in names)], ", ".join(f"{c} double" for c in names))
+
+
+@query("profile_outlier_forest")
+def _(spark, d):
+    df = table(spark, d, "lineitem").select("l_quantity", "l_extendedprice")
+    score = outliers.isolation_scores(df, Roles(), ["l_quantity", "l_extendedprice"], seed=42)
+    return df.select(score.alias("s")).agg(F.round(F.avg((F.col("s") > 0.5).cast("double")), 4).alias("share"))
+
+
+@query("model_multinomial_ranking")
+def _(spark, d):
+    df = table(spark, d, "lineitem").select("l_returnflag", "l_quantity", "l_discount", "l_tax")
+    return spark.createDataFrame(models.multinomial_importance(df, ["l_quantity", "l_discount", "l_tax"], "l_returnflag"), "name string, weight double")
+
+
+@query("image_steps")
+def _(spark, d):
+    made = F.pandas_udf(lambda s: s.map(lambda k: images.write(__import__("numpy").arange(48).reshape(4, 4, 3) + k)), "binary")
+    df = table(spark, d, "nation").select("n_nationkey", made("n_nationkey").alias("image"))
+    steps = (images.rotate, images.standardise)
+    for f in steps:
+        df = df.withColumn("image", f("image"))
+    df = df.withColumn("image", images.crop("image", 0, 0, 3, 3)).withColumn("image", images.resize("image", 6, 6))
+    return df.select("n_nationkey", F.length("image").alias("bytes"))
