@@ -44,8 +44,8 @@ _FOUND = re.compile(
     r"|(?P<date>[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})"
     r"|(?P<ipv4>[0-9]{1,3}(?:\.[0-9]{1,3}){3})"
     r"|(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})"
-    r"|(?P<phone>(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|\+[1-9](?:[ .-]?\(?[0-9]+\)?){2,6})"
-    r"|(?P<card>[0-9](?:[ -]?[0-9]){12,18})"
+    r"|(?P<phone>(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|\+[1-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{2,4}\)?){2,5})"
+    r"|(?P<card>[0-9]{13,19}|[0-9]{4}(?P<gap>[ -])[0-9]{4}(?P=gap)[0-9]{4}(?P=gap)[0-9]{1,7}|[0-9]{4}(?P<gap2>[ -])[0-9]{6}(?P=gap2)[0-9]{5})"
     r")(?!\w)"
 )
 
@@ -159,16 +159,16 @@ def _cached(key: bytes):
 
 def replace(text: str, key: bytes) -> tuple[str, dict[str, int]]:
     """The text with pseudonyms, and how many values of each kind were replaced."""
-    found, counts = _cached(key), dict.fromkeys(KINDS, 0)
-
-    def one(m: re.Match) -> str:
+    found, counts, out, at, look = _cached(key), dict.fromkeys(KINDS, 0), [], 0, 0
+    while m := _FOUND.search(text, look):
         new = found(m.lastgroup, m.group())
-        if new is None:
-            return m.group()
+        if new is None:  # what fails validation may hold a value that does not
+            look = m.start() + 1
+            continue
+        out += (text[at : m.start()], new)
         counts[m.lastgroup] += 1
-        return new
-
-    return _FOUND.sub(one, text), counts
+        at = look = m.end()
+    return "".join((*out, text[at:])), counts
 
 
 def _replaced(key: bytes, at: int):
