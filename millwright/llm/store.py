@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 import uuid
@@ -27,14 +28,23 @@ def shared_folder(spark: SparkSession) -> str:
 class Scratch:
     """Writes tables below the shared folder; a written table has no lineage to recompute.
 
-    The tables are removed when the last frame that may read them is gone
-    with its Scratch, or by delete().
+    A lazy result may read them as long as the session lives, so they are
+    removed when the driver's program ends, or earlier by drop().
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        atexit.register(self._end)
+
+    def _end(self) -> None:
+        if self.spark.sparkContext._jsc is not None:
+            self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
     def table(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self.count}"
@@ -47,8 +57,7 @@ class Scratch:
     def drop(self, *tables: DataFrame) -> None:
         """Removes tables that no later frame reads."""
         for t in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(t._scratch_path)
 
 
 #: Rows and bytes of an Arrow batch of texts, which bound what a Python worker and the JVM beside it hold at once.
