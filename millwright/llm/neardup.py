@@ -258,6 +258,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: int = 75)
     rooted = _rooted(members, labels)
     links, labels = _grow(scratch, links, _open_links(rooted, sets, similarity))
     root = found.select("doc_id", "n_shingles", "node").join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root"))
-    lowest = root.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("low"))
+    # written first, so that a component of many rows can be split in the join
+    lowest = scratch.table(root.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("low")))
     out = root.join(lowest, "root", "left").withColumn("component_id", F.coalesce("low", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
