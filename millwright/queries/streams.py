@@ -48,6 +48,6 @@ def _(spark, d):
     return S.replay(S.first_seen(_stream(spark, d), "user_id"), _name())
 
 
-@query("stream_drift", "SELECT time_bucket(INTERVAL '1 day', ts) AS start, count(*) AS n, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std FROM events GROUP BY 1")
+@query("stream_drift", "SELECT time_bucket(INTERVAL '1 day', ts) AS start, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events GROUP BY 1")
 def _(spark, d):
-    return S.drift(_events(spark, d)).withColumns({"mean": F.round("mean", 4), "std": F.round("std", 4)})
+    return S.drift(_events(spark, d)).withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})

@@ -46,7 +46,7 @@ def first_seen(events: DataFrame, key: str, order: str = "event_id") -> DataFram
 def drift(events: DataFrame, value: str = "value", every: str = "1 day") -> DataFrame:
     """Mean and deviation of each window, for comparison with the next."""
     timed = events.withWatermark("ts", "1 hour") if events.isStreaming else events
-    out = timed.groupBy(F.window("ts", every).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.stddev_pop(value), 6).alias("std"))
+    out = timed.groupBy(F.window("ts", every).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
     return out.select(F.col("w.start").alias("start"), "n", "mean", "std")
 
 
