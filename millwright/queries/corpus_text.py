@@ -136,7 +136,12 @@ def _(spark, d):
     return fit("spell_checker", "frequency", df, Roles(row_id="rid"), column="text")(df)
 
 
-@query("lemmatize")
+def _lemma() -> str:
+    cases = " ".join(f"WHEN ends_with(w, '{end}') AND length(w) >= {len(end) + 3} THEN substr(w, 1, length(w) - {len(end)}) || '{new}'" for end, new in T.SUFFIXES)
+    return f"array_to_string(list_transform(list_filter(string_split_regex(trim(text), '\\s+'), lambda w: w <> ''), lambda w: CASE {cases} ELSE w END), ' ')"
+
+
+@query("lemmatize", f"SELECT doc_id, {_lemma()} AS text FROM documents")
 def _(spark, d):
     df = _docs(spark, d)
     return fit("lemmatizer", "suffix", df, DOC)(df)

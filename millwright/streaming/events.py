@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -52,6 +53,10 @@ def drift(events: DataFrame, value: str = "value", every: str = "1 day") -> Data
 
 def replay(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there into a memory table; for tests and small files."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
+    shared = stream.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        writer = writer.option("checkpointLocation", f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}")
+    q = writer.start()
     q.awaitTermination()
     return stream.sparkSession.table(name)
