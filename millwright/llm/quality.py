@@ -14,7 +14,7 @@ the log ratio that all but a small share of the good labelled texts reach, less
 a part of its distance to the poor ones.
 
 Defined results: null or empty text has log ratio 0; without labelled good
-texts every ratio is 0 and all are kept; rows that repeat a doc_id and text
+texts every ratio is 0, and with too few of them all documents are kept; rows that repeat a doc_id and text
 have one fate, so ties at the end may keep a few more than k; null doc_id
 counts as 0 in the variate. Labels that are null or repeat are used once.
 """
@@ -41,6 +41,8 @@ PRIOR = 10.0
 EVIDENCE = 200.0
 #: Share of good labelled texts that the cut may lose.
 LOSS = 0.0005
+#: With fewer good labelled texts than this nothing is rejected.
+LEAST_LABELS = 20
 #: How far the cut moves from there towards the poor labelled texts.
 SLACK = 0.25
 
@@ -171,7 +173,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
     scored = Scratch(spark, "quality").table(weigh(spark, docs, ratio, seed).drop("text"))
     known = scored.join(F.broadcast(chosen), "doc_id").select("log_weight", (F.col("quality") == 1).alias("good")).toArrow()
     weight, is_good = known.column("log_weight").to_numpy(), known.column("good").to_numpy()
-    if not is_good.any():
+    if is_good.sum() < LEAST_LABELS:
         return Model(ratio, float("-inf"), seed)
     cut = np.quantile(weight[is_good], loss)
     if not is_good.all():

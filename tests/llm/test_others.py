@@ -116,3 +116,30 @@ def test_pipeline_stages(spark, tmp_path):
     kept = spark.read.parquet(f"{tmp_path}/0").join(labels, "doc_id")
     assert kept.where("quality = 1").count() >= 0.97 * labels.where("quality = 1").count()
     assert sizes[-1] == sizes[-2] and set(docs.columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
+
+
+def test_stages_bear_nulls_repeats_and_clashing_names(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    fields = [("doc_id", T.LongType()), ("text", T.StringType()), ("lang", T.StringType()), ("source", T.StringType()), ("n_chars", T.LongType())]
+    fields += [(c, T.StringType()) for c in ("kept", "log_weight", "rate", "copies", "n_tokens", "n_email", "_rest", "node", "posterior", "_copy")]
+    schema = T.StructType([T.StructField(n, t) for n, t in fields])
+    more = ("x",) * 10
+    rows = [(1, "mail a.b@mail1.example.com now", "en", "s", 5, *more), (1, "mail a.b@mail1.example.com now", "en", "s", 5, *more), (2, None, None, None, None, *(None,) * 10), (3, "", "de", None, 0, *more), (None, "der hund und die katze", "de", "s", 3, *more), (4, "the cat " * 9000, None, "s", 1, *more), (5, "mail a.b@mail1.example.com now", "en", "s", 5, *more)]
+    full = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([(1, 1, 0), (None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for case, docs in (("full", full), ("empty", full.limit(0))):
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, str(tmp_path))
+            out.write.parquet(f"{tmp_path}/{case}{k}")
+            out = spark.read.parquet(f"{tmp_path}/{case}{k}")
+            if k < 4:
+                assert out.dtypes == docs.dtypes
+            if case == "empty":
+                assert out.count() == 0
+            elif name == "near_dedup":
+                assert sorted((r["doc_id"] for r in out.collect()), key=str) == [1, 2, 3, 4, None]
+            elif name == "pii":
+                assert out.count() == 7 and out.where(F.contains("text", F.lit("a.b@mail1"))).count() == 0
+            elif name in ("quality_classifier", "bpe"):
+                assert out.count() == 7
