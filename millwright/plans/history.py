@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.profile import similarity
+from ..functions.profile import dot, similarity
 from ..operators.models import elastic_net, least_squares
 
 
@@ -61,10 +61,21 @@ def vector(columns: list[str]) -> Column:
     return F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns))
 
 
+def _unit_totals(df: DataFrame, keys: list[str], profile: list[str], side: str) -> DataFrame:
+    """For each key, the sums of the profiles at length 1 and their number; profiles of length 0 have no cosine."""
+    v = vector(profile)
+    units = df.select(*keys, *(F.try_divide(F.get(v, F.lit(i)), F.sqrt(dot(v, v))).alias(f"_{side}{i}") for i in range(len(profile))))
+    return units.groupBy(*keys).agg(*(F.sum(f"_{side}{i}").alias(f"_{side}{i}") for i in range(len(profile))), F.count(f"_{side}0").cast("double").alias(f"_{side}"))
+
+
 def profile_similarity(a: DataFrame, b: DataFrame, keys: list[str], profile: list[str]) -> DataFrame:
-    """(keys, similarity): mean cosine of the profiles of runs with equal strategies."""
-    x, y = a.select(*keys, vector(profile).alias("_x")), b.select(*keys, vector(profile).alias("_y"))
-    return x.join(y, keys).groupBy(*keys).agg(F.round(F.avg(similarity(F.col("_x"), F.col("_y"))), 6).alias("similarity"))
+    """(keys, similarity): mean cosine of the profiles of runs with equal strategies.
+
+    The mean over all pairs is the product of the sides' mean unit profiles, so no pair becomes a row.
+    """
+    both = _unit_totals(a, keys, profile, "x").join(_unit_totals(b, keys, profile, "y"), keys)
+    total = sum((F.col(f"_x{i}") * F.col(f"_y{i}") for i in range(len(profile))), F.lit(0.0))
+    return both.select(*keys, F.round(F.try_divide(total, F.col("_x") * F.col("_y")), 6).alias("similarity"))
 
 
 def similarity_to(history: DataFrame, target: list[float], profile: list[str]) -> DataFrame:

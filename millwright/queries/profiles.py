@@ -206,12 +206,23 @@ def _(spark, d):
     return history.strategy_space(spark, {"a": 3, "b": 5, "c": 2})
 
 
+def _profiles(spark, d):
+    return table(spark, d, "embeddings").select((F.col("vec_id") % 10).cast("int").alias("k"), "vec_id", "label", F.get("embedding", F.lit(0)).cast("double").alias("p"), F.get("embedding", F.lit(1)).cast("double").alias("q"))
+
+
 @query("history_similarity", "WITH e AS (SELECT CAST(vec_id % 10 AS INTEGER) AS k, vec_id, label, embedding FROM embeddings), x AS (SELECT * FROM e WHERE vec_id < 200), y AS (SELECT * FROM e WHERE vec_id >= 200 AND vec_id < 400) SELECT x.k, x.label, round(avg((CAST(x.embedding[1] AS DOUBLE) * y.embedding[1] + CAST(x.embedding[2] AS DOUBLE) * y.embedding[2]) / (sqrt(pow(CAST(x.embedding[1] AS DOUBLE), 2) + pow(CAST(x.embedding[2] AS DOUBLE), 2)) * sqrt(pow(CAST(y.embedding[1] AS DOUBLE), 2) + pow(CAST(y.embedding[2] AS DOUBLE), 2)))), 6) AS similarity FROM x JOIN y ON x.k = y.k AND x.label = y.label GROUP BY x.k, x.label")
 def _(spark, d):
-    e = table(spark, d, "embeddings").select((F.col("vec_id") % 10).cast("int").alias("k"), "vec_id", "label", F.get("embedding", F.lit(0)).cast("double").alias("p"), F.get("embedding", F.lit(1)).cast("double").alias("q"))
+    e = _profiles(spark, d)
     return history.profile_similarity(e.where("vec_id < 200"), e.where("vec_id >= 200 AND vec_id < 400"), ["k", "label"], ["p", "q"])
 
 
+# every row, on two sides; vec_id % 2 would not do, since k fixes it
+@query("history_similarity_whole", "WITH e AS (SELECT CAST(vec_id % 10 AS INTEGER) AS k, vec_id, label, embedding FROM embeddings), x AS (SELECT * FROM e WHERE vec_id // 10 % 2 = 0), y AS (SELECT * FROM e WHERE vec_id // 10 % 2 = 1) SELECT x.k, x.label, round(avg((CAST(x.embedding[1] AS DOUBLE) * y.embedding[1] + CAST(x.embedding[2] AS DOUBLE) * y.embedding[2]) / (sqrt(pow(CAST(x.embedding[1] AS DOUBLE), 2) + pow(CAST(x.embedding[2] AS DOUBLE), 2)) * sqrt(pow(CAST(y.embedding[1] AS DOUBLE), 2) + pow(CAST(y.embedding[2] AS DOUBLE), 2)))), 6) AS similarity FROM x JOIN y ON x.k = y.k AND x.label = y.label GROUP BY x.k, x.label")
+def _(spark, d):
+    e, side = _profiles(spark, d), F.floor(F.col("vec_id") / 10) % 2
+    return history.profile_similarity(e.where(side == 0), e.where(side == 1), ["k", "label"], ["p", "q"])
+
+
 @query("history_report", "WITH v AS (SELECT CAST(o_custkey % 3 + 1 AS INTEGER) AS a, o_totalprice AS v, row_number() OVER (PARTITION BY o_custkey % 3 ORDER BY o_totalprice) - 1 AS r, count(*) OVER (PARTITION BY o_custkey % 3) AS n FROM orders) SELECT a, round((max(CASE WHEN r = floor(0.25 * (n - 1)) THEN v END) + max(CASE WHEN r = ceil(0.25 * (n - 1)) THEN v END)) / 2, 6) AS q1, round((max(CASE WHEN r = floor(0.5 * (n - 1)) THEN v END) + max(CASE WHEN r = ceil(0.5 * (n - 1)) THEN v END)) / 2, 6) AS median, round((max(CASE WHEN r = floor(0.75 * (n - 1)) THEN v END) + max(CASE WHEN r = ceil(0.75 * (n - 1)) THEN v END)) / 2, 6) AS q3, round(max(v), 6) AS top FROM v GROUP BY a")
 def _(spark, d):
     df = table(spark, d, "orders").select((F.col("o_custkey") % 3 + 1).cast("int").alias("a"), "o_totalprice")

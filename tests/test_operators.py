@@ -208,3 +208,25 @@ def test_streams_equal_their_batches(spark, tmp_path):
     assert sorted(map(tuple, S.replay(S.tumbling(stream()), "t1", "complete").collect())) == sorted(map(tuple, S.tumbling(df).collect()))
     seen = S.replay(S.first_seen(stream(), "user_id"), "t2").collect()
     assert len(seen) == 5 == S.first_seen(df, "user_id").count()
+
+
+def test_history_similarity_takes_every_row(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rng = np.random.default_rng(5)
+    rows = [(i, int(rng.integers(2)), rng.standard_normal(2).tolist()) for i in range(1200)] + [(1200, 0, [0.0, 0.0]), (1211, 1, [0.0, 1.0])]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r["k"], r["label"]): r["similarity"] for r in entry.queries()["history_similarity_whole"](spark, str(tmp_path)).collect()}
+    cosines = {}
+    for i, a, x in rows:
+        for j, b, y in rows:
+            if i % 10 == j % 10 and a == b and i // 10 % 2 == 0 and j // 10 % 2 == 1 and any(x) and any(y):
+                cosines.setdefault((i % 10, a), []).append(np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y))
+    assert got.keys() == cosines.keys() and all(abs(got[k] - np.mean(v)) < 2e-6 for k, v in cosines.items())
+
+
+def test_profile_similarity_makes_no_pairs(spark):
+    from millwright.plans import history
+
+    runs = spark.range(200000).select(F.lit(1).alias("k"), F.lit(3.0).alias("p"), (F.col("id") % 2 * 8 - 4.0).alias("q"))
+    assert [tuple(r) for r in history.profile_similarity(runs, runs.where("q > 0"), ["k"], ["p", "q"]).collect()] == [(1, round((1 + (9 - 16) / 25) / 2, 6))]
