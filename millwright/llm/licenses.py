@@ -6,6 +6,15 @@ Dice = 2 |A and B| / (|A| + |B|) over the sets of word bigrams. A Dice of at
 least t needs |A| between t / (2 - t) and (2 - t) / t times |B|, so a segment
 only meets the templates of its size, and most lines meet none.
 
+A notice may also be wrapped over lines or stand inside a longer line. So
+windows of the word sequence, across line ends, are segments too. Only windows
+that begin and end with a bigram of the template are tried: any other has a
+shorter one that is no worse. A line that matches is not searched inside, and a
+line or text that has the size of a template is judged as it stands, without
+windows inside it for that template; else every near miss would be cut down to
+a match. Of windows that overlap, n_segments counts the one that shares most
+with its template, unless it holds words of a line that counts already.
+
 Defined results: null or empty text, and text without a matching segment,
 has null licence, score 0.0 and 0 segments; equal scores go to the smaller
 licence name; rows that repeat are scanned alike. Segments of one word have
@@ -16,10 +25,14 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import narrow
+
 THRESHOLD = 0.8
 #: Licence templates: short notices, and the permission texts of three short licences (fixed values).
 TEMPLATES = (
@@ -48,53 +61,126 @@ def bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(w[:-1], w[1:], strict=True)})
 
 
-def anchors(sets: list[list[str]], threshold: float) -> list[str]:
-    """Words of which every matching segment has at least one.
-
-    A match shares at least t / (2 - t) of a template's bigrams, so of any
-    larger rest it holds at least one: long words are taken until the bigrams
-    that hold one of them are such a rest.
-    """
-    out: set[str] = set()
-    for own in sets:
-        spare = len(own) - math.ceil(len(own) * threshold / (2 - threshold) - 1e-9)
-        for word in sorted({w for g in own for w in g.split()}, key=lambda w: (-len(w), w)):
-            if sum(any(w in out for w in g.split()) for g in own) > spare:
-                break
-            out.add(word)
-    return sorted(out)
+def _least(m: int, threshold: float) -> int:
+    """Bigrams that a match shares with a template of m."""
+    return math.ceil(m * threshold / (2 - threshold) - 1e-9)
+
+
+class Matcher:
+    """Finds the segments of a text that match a template."""
+
+    def __init__(self, templates: tuple[tuple[str, str], ...], threshold: float):
+        self.threshold, self.templates = threshold, []
+        self.known: dict[tuple[str, str], list[int]] = {}
+        for name, text in templates:
+            w = normalised(text)
+            own = set(zip(w[:-1], w[1:], strict=True))
+            if not own:
+                continue
+            for g in own:
+                self.known.setdefault(g, []).append(len(self.templates))
+            # name, bigrams, least shared, sizes, bigrams of the longest window with repeats
+            low, high = threshold / (2 - threshold) * len(own) - 1e-9, (2 - threshold) / threshold * len(own) + 1e-9
+            self.templates.append((name, own, _least(len(own), threshold), low, high, int((2 - threshold) / threshold * (len(w) - 1) + 1e-9)))
+        self.least = min((t[2] for t in self.templates), default=0)
+        self.high = max((t[4] for t in self.templates), default=0)
+
+    def _compared(self, grams: set) -> tuple[list[tuple[float, str]], list[int]]:
+        """(score, name) of the templates that the segment matches, and the templates of its size."""
+        fits = [k for k, t in enumerate(self.templates) if t[3] <= len(grams) <= t[4]]
+        scores = [(2.0 * len(grams & self.templates[k][1]) / (len(grams) + len(self.templates[k][1])), self.templates[k][0]) for k in fits]
+        return [x for x in scores if x[0] >= self.threshold], fits
+
+    def _windows(self, k: int, at: list[int], pairs: list[tuple[str, str]], line: list[int], judged: set[int]):
+        """(score, shared bigrams, first, last bigram) of the best matching window from each of the places `at` of the template's bigrams; none within a judged line."""
+        _, own, least, _, high, longest = self.templates[k]
+        for i in range(len(at) - least + 1):
+            a = at[i]
+            if at[i + least - 1] - a >= longest:
+                continue
+            best, seen, shared, within = None, set(), 0, line[a] in judged
+            for b in range(a, min(a + longest, len(pairs))):
+                g = pairs[b]
+                if g not in seen:
+                    seen.add(g)
+                    shared += g in own
+                    if len(seen) > high:
+                        break
+                if g in own and not (within and line[b + 1] == line[a]):
+                    score = 2.0 * shared / (len(seen) + len(own))
+                    if score >= self.threshold and (best is None or score > best[0]):
+                        best = (score, shared, a, b)
+            if best:
+                yield best
+
+    def __call__(self, text: str) -> tuple[list[tuple[float, str]], int]:
+        """(score, name) of every match, and the number of matching segments."""
+        lines = text.split("\n")
+        words, line = [], []
+        for n, own in enumerate(map(normalised, lines)):
+            words += own
+            line += [n] * len(own)
+        pairs = list(zip(words[:-1], words[1:], strict=True))
+        hits = [i for i, g in enumerate(pairs) if g in self.known]
+        if not self.least or len(hits) < self.least:
+            return [], 0
+        found, n, judged, matched = [], 0, {}, set()
+        within: dict[int, int] = {}
+        for i in hits:
+            if line[i] == line[i + 1]:
+                within[line[i]] = within.get(line[i], 0) + 1
+        for own in (x for x, count in within.items() if count >= self.least):
+            a, b = bisect_left(line, own), bisect_right(line, own)
+            got, judged[own] = self._compared(set(pairs[a : b - 1]))
+            if got:
+                found += got
+                n += 1
+                matched.add(own)
+        whole: list[int] = []
+        if len(lines) > 1 and len(grams := set(pairs)) <= self.high:
+            got, whole = self._compared(grams)
+            found += got
+            n += bool(got)
+        at: dict[int, list[int]] = {}
+        for i in hits:
+            for k in self.known[pairs[i]]:
+                at.setdefault(k, []).append(i)
+        windows = []
+        for k, places in at.items():
+            if k not in whole and len(places) >= self.templates[k][2]:
+                own = matched | {x for x, fits in judged.items() if k in fits}
+                windows += [(*x, self.templates[k][0]) for x in self._windows(k, places, pairs, line, own)]
+        taken: list[tuple[int, int]] = []
+        for _, _, a, b, _ in sorted(windows, key=lambda x: (-x[1], -x[0], x[2])):
+            i = bisect_left(taken, (a, b))
+            if (i == 0 or taken[i - 1][1] < a - 1) and (i == len(taken) or taken[i][0] > b + 1):
+                taken.insert(i, (a, b))
+                n += matched.isdisjoint(line[a : b + 2])  # else its line counts already
+        return sorted({*found, *((x[0], x[4]) for x in windows)}), n
+
+
+def _scanned(templates: tuple[tuple[str, str], ...], threshold: float):
+    def run(batches):
+        match = Matcher(templates, threshold)
+        kind = pa.list_(pa.struct([("score", pa.float64()), ("name", pa.string())]))
+        for batch in batches:
+            got = [match(t or "") for t in batch.column("text").to_pylist()]
+            hits = pa.array([[{"score": s, "name": n} for s, n in found] for found, _ in got], kind)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), hits, pa.array([n for _, n in got], pa.int64())], names=["doc_id", "_f", "n_segments"])
+
+    return run
 
 
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, licence, score, n_segments: one row for each row of docs."""
-    sets = [(name, bigrams(text)) for name, text in templates]
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    anchor = F.lit("(?i)" + "|".join(anchors([s for _, s in sets], threshold)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t"))
-    # every line, and the whole text where it has more than one; only those that hold an anchor word
-    lines = F.split("_t", "\n")
-    segments = F.when(F.rlike("_t", anchor), F.filter(F.when(F.size(lines) > 1, F.concat(lines, F.array("_t"))).otherwise(lines), lambda s: F.rlike(s, anchor)))
-    rows = rows.withColumn("_l", F.coalesce(segments, F.array().cast("array<string>")))
-    words = F.transform("_l", lambda s: F.split(F.btrim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")), " "))
-    rows = rows.withColumn("_w", F.filter(words, lambda w: F.size(w) >= 2))
-    grams = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1))))
-    rows = rows.withColumn("_g", F.transform("_w", grams))
-
-    def scores(g: Column) -> Column:
-        """(score, name) for each template whose size allows the threshold."""
-        dice = lambda s: F.lit(2.0) * F.size(F.array_intersect(g, F.array(*map(F.lit, s)))) / (F.size(g) + len(s))
-        found = [F.when(F.size(g).between(low * len(s) - 1e-9, high * len(s) + 1e-9), F.struct(dice(s).alias("score"), F.lit(name).alias("name"))) for name, s in sets]
-        return F.filter(F.array_compact(F.array(*found)), lambda x: x["score"] >= threshold)
-
-    rows = rows.withColumn("_h", F.filter(F.transform("_g", scores), lambda x: F.size(x) > 0))
-    rows = rows.withColumn("_f", F.flatten("_h"))
+    rows = narrow(docs).mapInArrow(_scanned(templates, threshold), "doc_id long, _f array<struct<score: double, name: string>>, n_segments long")
     score = F.round(F.coalesce(F.array_max(F.transform("_f", lambda x: x["score"])), F.lit(0.0)), 6)
     named = F.array_min(F.transform(F.filter("_f", lambda x: F.round(x["score"], 6) == F.col("score")), lambda x: x["name"]))
-    return rows.withColumn("score", score).select("doc_id", named.alias("licence"), "score", F.size("_h").cast("long").alias("n_segments"))
+    return rows.withColumn("score", score).select("doc_id", named.alias("licence"), "score", "n_segments")
 
 
 def sql(templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> str:
-    """The same over a view `documents`, every segment against every template."""
+    """The same over a view `documents`, every segment but the windows against every template."""
     rows = ", ".join("('{}', [{}])".format(name, ", ".join(f"'{g}'" for g in bigrams(text))) for name, text in templates)
     return f"""
 WITH t(name, b) AS (VALUES {rows}),

@@ -252,6 +252,25 @@ def test_licences_equal_brute_force(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+def test_wrapped_and_embedded_licences(spark):
+    import textwrap
+
+    prose = "\n".join([BASE] * 3 + [" ".join(f"w{i}" for i in range(200))])
+    rows, want = [], {}
+    for i, (name, t) in enumerate(licenses.TEMPLATES):
+        for k, width in enumerate((20, 44, 72)):
+            rows.append((100 * i + k, f"{prose}\n# " + "\n# ".join(textwrap.wrap(t, width, break_long_words=False)) + f"\n\n{prose}"))
+        rows.append((100 * i + 3, f"{prose} {t} {prose}"))
+        rows.append((100 * i + 4, f"{prose} {t}\nplain words\n{licenses.TEMPLATES[9][1]}\n{prose}"))
+        rows.append((100 * i + 5, f"{prose} {t} {LONG[:3000]} {t}\n{prose}"))
+        want |= {100 * i + k: (name, 1) for k in (0, 1, 2, 3)} | {100 * i + 4: (min(name, licenses.TEMPLATES[9][0]), 2), 100 * i + 5: (name, 2)}
+    rows += [(9000, f"{prose}\nreleased under the\n{prose}"), (9001, f"{prose}\nreleased under the mit licence\n{prose}")]
+    got = {r["doc_id"]: r for r in licenses.scan(frame(spark, rows)).collect()}
+    for i, (name, n) in want.items():
+        assert (got[i]["licence"], got[i]["score"], got[i]["n_segments"]) == (name, 1.0, n), dict(rows)[i]
+    assert got[9000]["licence"] is None and got[9001]["licence"] is None
+
+
 LANGS = {"en": "the quick brown fox jumps over the lazy dog and then it was gone with the wind ", "de": "der schnelle braune fuchs springt über den faulen hund und dann war er weg ", "fr": "le renard brun saute par dessus le chien paresseux et puis il était parti "}
 
 
