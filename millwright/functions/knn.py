@@ -7,6 +7,8 @@ k best of all blocks. A task holds one block and a batch of asking rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -25,7 +27,13 @@ def nan_euclidean(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.sqrt(np.where(shared > 0, np.maximum(square, 0) * a.shape[1] / shared, np.nan))
 
 
-def nearest_rows(asks: DataFrame, rows: DataFrame, key: str, features: list[str], k: int, carry: list[str] | None = None) -> DataFrame:
+def cosine_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """1 - cosine, the cosine rounded to six decimals; NaN where a row is zero or has a missing feature."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return 1 - np.round(a @ b.T / (np.sqrt((a * a).sum(1))[:, None] * np.sqrt((b * b).sum(1))[None, :]), 6)
+
+
+def nearest_rows(asks: DataFrame, rows: DataFrame, key: str, features: list[str], k: int, carry: list[str] | None = None, measure: Callable[[np.ndarray, np.ndarray], np.ndarray] = nan_euclidean) -> DataFrame:
     """ask, near, distance, place and the carried columns of the near row; a row is never near itself; ties go to the smaller key."""
     carry = carry or []
     blocks = max(1, -(-rows.count() // BLOCK))
@@ -39,7 +47,7 @@ def nearest_rows(asks: DataFrame, rows: DataFrame, key: str, features: list[str]
         y, ids, out = told[features].to_numpy(float), told["_k"].to_numpy(), []
         for a in range(0, len(asked), 1024):
             own = asked.iloc[a : a + 1024]
-            d = np.round(nan_euclidean(own[features].to_numpy(float), y), 9)
+            d = np.round(measure(own[features].to_numpy(float), y), 9)
             d[own["_k"].to_numpy()[:, None] == ids[None, :]] = np.nan
             best = np.argsort(np.where(np.isnan(d), np.inf, d), axis=1, kind="stable")[:, :k]
             r = np.repeat(np.arange(len(own)), best.shape[1])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..data import Roles, table
 from ..functions import er_profile as ER
 from ..functions import profile as P
+from ..functions.knn import cosine_distance, nearest_rows
 from ..functions.quantiles import midpoint
 from ..operators import entities, images, models, outliers
 from ..plans import causes, history
@@ -113,6 +114,17 @@ def _(spark, d):
     return _against_first(spark, d).where("vec_id <> 0").select("vec_id", F.round(P.similarity(F.col("embedding"), F.col("q")), 6).alias("s")).orderBy(F.desc("s"), "vec_id").limit(10)
 
 
+# the whole query set: each row whose vec_id is divisible by 100
+@query("cosine_topk_each", f"WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, round({_COS}, 6) AS s FROM embeddings e JOIN embeddings q ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM s WHERE s IS NOT NULL) SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, s FROM r WHERE rank <= 10")
+def _(spark, d):
+    e = table(spark, d, "embeddings").where("embedding IS NOT NULL")
+    size = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+    names = [f"x{i}" for i in range(size)]
+    wide = e.select("vec_id", *(F.get("embedding", F.lit(i)).alias(c) for i, c in enumerate(names)))
+    near = nearest_rows(wide.where("vec_id % 100 = 0"), wide, "vec_id", names, 10, measure=cosine_distance)
+    return near.select(F.col("ask").alias("query_id"), F.col("place").alias("rank"), F.col("near").alias("vec_id"), F.round(1 - F.col("distance"), 6).alias("s"))
+
+
 def _metric(name: str, key: str, sql: str) -> None:
     @query(name, f"SELECT round({sql}, 6) AS v FROM ({_PRED})")
     def run(spark, d):

@@ -230,3 +230,18 @@ def test_profile_similarity_makes_no_pairs(spark):
 
     runs = spark.range(200000).select(F.lit(1).alias("k"), F.lit(3.0).alias("p"), (F.col("id") % 2 * 8 - 4.0).alias("q"))
     assert [tuple(r) for r in history.profile_similarity(runs, runs.where("q > 0"), ["k"], ["p", "q"]).collect()] == [(1, round((1 + (9 - 16) / 25) / 2, 6))]
+
+
+def test_every_query_vector_has_its_neighbours(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rng = np.random.default_rng(6)
+    rows = {i: rng.standard_normal(6) for i in range(1, 640)} | {700: np.zeros(6), 701: rng.standard_normal(6)}
+    rows[300] = rows[200]
+    spark.createDataFrame([(i, v.tolist()) for i, v in rows.items()], "vec_id long, embedding array<double>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["s"]) for r in entry.queries()["cosine_topk_each"](spark, str(tmp_path)).collect())
+    want = []
+    for q in range(100, 700, 100):
+        s = sorted((-round(float(rows[q] @ v / np.linalg.norm(rows[q]) / np.linalg.norm(v)), 6), i) for i, v in rows.items() if i != q and v.any())
+        want += [(q, n + 1, i, -c) for n, (c, i) in enumerate(s[:10])]
+    assert [g[:3] for g in got] == [w[:3] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want], atol=1.1e-6)
