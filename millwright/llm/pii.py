@@ -7,7 +7,8 @@ walking. Equal values become equal pseudonyms in every document, whatever
 their spacing; check digits are computed anew, so a pseudonym is valid too.
 
 Kinds: email, card, iban, ssn, phone, ipv4, date (years 1900 to 2099) and
-hexadecimal secrets of 32 digits or more. Numbers that fail validation stay.
+hexadecimal secrets of 32 digits or more. Numbers that fail validation stay; of
+an iban or phone that does, the groups after the value are left off.
 
 Defined results: null text stays null, other text is returned whole with only
 the values replaced; rows that repeat are treated alike; counts are 0 where
@@ -36,18 +37,22 @@ _ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTU
 _PLACE = {c: (a, a.index(c)) for a in _ALPHABETS for c in a}
 _FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
+_IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
+_PHONE = r"(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|\+[1-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{2,4}\)?){2,5}"
 _FOUND = re.compile(
     r"(?<![\w.%+-])(?P<email>[\w.%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"
     r"|(?<![\w.])(?:"
     r"(?P<secret>(?=[0-9]*[A-Fa-f])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}))"
-    r"|(?P<iban>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)"
+    rf"|(?P<iban>{_IBAN})"
     r"|(?P<date>[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})"
     r"|(?P<ipv4>[0-9]{1,3}(?:\.[0-9]{1,3}){3})"
     r"|(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})"
-    r"|(?P<phone>(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|\+[1-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{2,4}\)?){2,5})"
+    rf"|(?P<phone>{_PHONE})"
     r"|(?P<card>[0-9]{13,19}|[0-9]{4}(?P<gap>[ -])[0-9]{4}(?P=gap)[0-9]{4}(?P=gap)[0-9]{1,7}|[0-9]{4}(?P<gap2>[ -])[0-9]{6}(?P=gap2)[0-9]{5})"
     r")(?!\w)"
 )
+#: Kinds whose match may run on into the groups that follow the value.
+_OPEN = {"iban": re.compile(_IBAN), "phone": re.compile(_PHONE)}
 
 
 def feistel(value: int, size: int, key: bytes, tweak: str) -> int:
@@ -157,17 +162,28 @@ def _cached(key: bytes):
     return cache[key]
 
 
+def _prefixes(kind: str, text: str):
+    """A match, then what is left of it without its last group, its last two groups and so on."""
+    yield text
+    if kind in _OPEN:
+        for end in range(len(text) - 1, 0, -1):
+            if not text[end].isalnum() and _OPEN[kind].fullmatch(text, 0, end):
+                yield text[:end]
+
+
 def replace(text: str, key: bytes) -> tuple[str, dict[str, int]]:
     """The text with pseudonyms, and how many values of each kind were replaced."""
     found, counts, out, at, look = _cached(key), dict.fromkeys(KINDS, 0), [], 0, 0
     while m := _FOUND.search(text, look):
-        new = found(m.lastgroup, m.group())
-        if new is None:  # what fails validation may hold a value that does not
+        for value in _prefixes(m.lastgroup, m.group()):
+            if (new := found(m.lastgroup, value)) is not None:
+                break
+        else:  # what fails validation may hold a value that does not
             look = m.start() + 1
             continue
         out += (text[at : m.start()], new)
         counts[m.lastgroup] += 1
-        at = look = m.end()
+        at = look = m.start() + len(value)
     return "".join((*out, text[at:])), counts
 
 

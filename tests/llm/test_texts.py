@@ -174,6 +174,25 @@ def test_values_beside_other_numbers_are_found():
         assert "4111111111111111" not in new.replace(" ", "") and re.sub("[0-9]", "", new) == re.sub("[0-9]", "", text)
 
 
+def test_values_before_more_groups_are_found():
+    key = b"k"
+    for value, kind in (
+        ("ES91 2100 0418 4502 0005 1332", "iban"), ("ES9121000418450200051332", "iban"), ("AT61 1904 3002 3457 3201", "iban"), ("BE68 5390 0754 7034", "iban"), ("PL61 1090 1014 0000 0712 1981 2874", "iban"),
+        ("GB82 WEST 1234 5698 7654 32", "iban"), ("+44 20 7946 0958", "phone"), ("+44 (20) 7946-0958", "phone"),
+    ):
+        alone, _ = pii.replace(value, key)
+        assert alone != value
+        for more in ("", " BIC", " BIC CAIX ESBB XXX.", " 1234 5678 9012", "."):
+            if kind == "phone" and "BIC" in more:
+                continue
+            new, counts = pii.replace(f"to {value}{more}", key)
+            assert value not in new and counts[kind] == 1, (value, more, new)
+            if more != " 1234 5678 9012":
+                assert new == f"to {alone}{more}", (value, more)
+    new, counts = pii.replace("ES91 2100 0418 4502 0005 1332 4111 1111 1111 1111 x", key)
+    assert counts["iban"] == counts["card"] == 1
+
+
 def test_pseudonymise_text(spark):
     text = "Mail jo.doe+x@mail3.example.com or +1 (017) 555-7713, 10.0.0.255, born 1999-12-31, card 4111111111111111, not 4111111111111112. "
     rows = [*TEXTS, (20, text), (21, "again jo.doe+x@mail3.example.com"), (22, "x" * 200000 + "1")]
