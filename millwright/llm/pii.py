@@ -42,7 +42,7 @@ _PHONE = r"(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|
 _FOUND = re.compile(
     r"(?<![\w.%+-])(?P<email>[\w.%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"
     r"|(?<![\w.])(?:"
-    r"(?P<secret>(?=[0-9]*[A-Fa-f])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}))"
+    r"(?P<secret>(?=[0-9]*[A-Fa-f])(?:[0-9a-f]{32,}|[0-9A-F]{32,}))"
     rf"|(?P<iban>{_IBAN})"
     r"|(?P<date>[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})"
     r"|(?P<ipv4>[0-9]{1,3}(?:\.[0-9]{1,3}){3})"
@@ -60,10 +60,11 @@ def feistel(value: int, size: int, key: bytes, tweak: str) -> int:
     half = max(1, ((size - 1).bit_length() + 1) // 2)
     mask = (1 << half) - 1
     width = (half + 7) // 8
+    named = size if size.bit_length() < 14000 else hex(size)  # Python writes no decimal of more than 4300 digits
     while True:
         left, right = value >> half, value & mask
         for k in range(ROUNDS):
-            mac = hashlib.shake_256(key + f"/{tweak}/{size}/{k}/".encode() + right.to_bytes(width, "big"))
+            mac = hashlib.shake_256(key + f"/{tweak}/{named}/{k}/".encode() + right.to_bytes(width, "big"))
             left, right = right, left ^ (int.from_bytes(mac.digest(width), "big") & mask)
         value = left << half | right
         if value < size:
@@ -158,7 +159,8 @@ def pseudonym(kind: str, text: str, key: bytes) -> str | None:
 def _cached(key: bytes):
     cache = worker_cache().setdefault("pseudonyms", {})
     if key not in cache:
-        cache[key] = lru_cache(1 << 16)(lambda kind, text: pseudonym(kind, text, key))
+        short = lru_cache(1 << 16)(lambda kind, text: pseudonym(kind, text, key))
+        cache[key] = lambda kind, text: short(kind, text) if len(text) <= 256 else pseudonym(kind, text, key)
     return cache[key]
 
 

@@ -193,6 +193,16 @@ def test_values_before_more_groups_are_found():
     assert counts["iban"] == counts["card"] == 1
 
 
+def test_long_secrets_are_found():
+    for n in (32, 128, 129, 256, 512, 5001):
+        for one in (("0a1b2c3d" * n)[:n], ("0A1B2C3D" * n)[:n]):
+            new, counts = pii.replace(f"key {one}, {one}", b"k")
+            a, b = new.removeprefix("key ").split(", ")
+            assert counts["secret"] == 2 and a == b != one and len(a) == n and re.fullmatch("[0-9a-f]+" if one[1] == "a" else "[0-9A-F]+", a), n
+    new, counts = pii.replace("ab" * 300 + "g", b"k")
+    assert counts["secret"] == 0
+
+
 def test_pseudonymise_text(spark):
     text = "Mail jo.doe+x@mail3.example.com or +1 (017) 555-7713, 10.0.0.255, born 1999-12-31, card 4111111111111111, not 4111111111111112. "
     rows = [*TEXTS, (20, text), (21, "again jo.doe+x@mail3.example.com"), (22, "x" * 200000 + "1")]
