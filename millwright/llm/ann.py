@@ -13,6 +13,9 @@ before any shuffle, and one query; long lists are split into chunks of
 bounded size that are scanned apart. So neither a common vector nor a large
 cluster lands in one task.
 
+A query whose lists hold fewer ids than wanted goes on to its next lists until
+it has enough or has scanned them all.
+
 Defined results: vectors that are null, zero, hold null or non-finite
 components, or are not of the most common length (ties: the longer) take no
 part, nor do null ids; with fewer candidates than wanted all are returned; a
@@ -257,6 +260,17 @@ def nearest(spark: SparkSession, vectors: DataFrame, neighbours: int = NEIGHBOUR
     limit = F.when(F.col("n") >= wanted, 2 - 2 * F.get("s", F.lit(wanted - 1)) + 1e-9)
     rest = probed.join(kth.select("key", limit.alias("limit")), "key", "left").select("key", "v", F.coalesce("limit", F.lit(float("inf"))).alias("limit"), F.explode(F.slice("lists", 2, max(1, probes - 1))).alias("list"))
     found = near.unionByName(scanned(rest))
+    # queries whose lists held fewer ids than wanted go on to the next lists, twice as many each time
+    seen = probes
+    while seen < len(centres):
+        found = scratch.table(found)
+        enough = found.groupBy("key").agg(F.count_distinct("vec_id").alias("n")).where(F.col("n") >= wanted)
+        short = asking.join(enough, "key", "left_anti")
+        if short.isEmpty():
+            break
+        more = scratch.table(short.mapInArrow(_listed(model, size, 2 * seen), f"key binary, v {kind}, lists array<int>"))
+        asks = more.select("key", "v", F.lit(float("inf")).alias("limit"), F.explode(F.slice("lists", seen + 1, seen)).alias("list"))
+        found, seen = found.unionByName(scanned(asks)), 2 * seen
     best = found.groupBy("key").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, wanted).alias("near"))
     out = members.join(best, "key").select("query_id", F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, neighbours).alias("near"))
     return out.select("query_id", F.posexplode("near").alias("r", "x")).select("query_id", (F.col("r") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))

@@ -77,6 +77,17 @@ def test_neighbours_recall(spark):
     assert len(got & want) >= 0.9 * len(want)
 
 
+def test_neighbours_of_outliers(spark):
+    rng = np.random.default_rng(4)
+    heads = 10 * rng.standard_normal((6, 16))
+    rows = [(i, (heads[i % 6] + 0.1 * rng.standard_normal(16)).tolist()) for i in range(1, 900) if i % 50]
+    rows += [(50 * k, (-10 * heads[k % 6] + 40 * rng.standard_normal(16)).tolist()) for k in range(1, 9)]
+    got = {}
+    for r in ann.nearest(spark, _vectors(spark, rows), recall=0.5).collect():
+        got.setdefault(r["query_id"], []).append(r["rank"])
+    assert got == {50 * k: [1, 2, 3, 4, 5] for k in range(1, 9)}
+
+
 def test_neighbours_of_few_and_none(spark):
     few = ann.nearest(spark, _vectors(spark, [(0, [1.0, 0.0]), (1, [1.0, 1.0])])).collect()
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in few] == [(0, 1, 1)]
