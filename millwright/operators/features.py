@@ -269,7 +269,7 @@ def _sparse_axes(cov: np.ndarray, k: int, penalty: float, rounds: int = 200) ->
 
 @step("poly_pca", "none", "poly", "pca", "sparsepca", "minibatchsparsepca", "kernelpca")
 def reduce(df: DataFrame, roles: Roles = Roles(), strategy: str = "pca", k: int = 3, columns: list[str] | None = None, penalty: float = 0.1, landmarks: int = 256, gamma: float | None = None) -> Fitted:
-    """Degree-two expansion, then principal axes of the standardised terms (pc0 ..); the moment matrix is one aggregation. kernelpca: radial kernel on landmark rows."""
+    """Degree-two expansion, then principal axes of the standardised terms (pc0 ..); the moment matrix is one aggregation. kernelpca: radial kernel on at most `landmarks` distinct rows, each weighted by the number of rows nearest to it."""
     names = columns or numeric_columns(df, roles)
     if strategy == "none":
         return Fitted(lambda d: d)
@@ -282,12 +282,25 @@ def reduce(df: DataFrame, roles: Roles = Roles(), strategy: str = "pca", k: int
     unit = [(x - F.lit(float(m))) / F.lit(float(s)) for x, m, s in zip(terms.values(), mean, scale, strict=True)]
     k = min(k, len(terms))
     if strategy == "kernelpca":
-        rows = wide.dropna().orderBy(F.xxhash64(*terms)).limit(landmarks).toPandas().to_numpy(float)
+        distinct = df.select(*(F.col(c).cast("double").alias(c) for c in names)).dropna().groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).select(*(x.alias(c) for c, x in degree_two(names).items()), "_n")
+        rows = distinct.orderBy(F.xxhash64(*terms)).limit(landmarks).select(*terms).toPandas().to_numpy(float)
         z = (rows - mean) / scale
         g = gamma or 1 / z.shape[1]
-        gram = np.exp(-g * ((z[:, None, :] - z[None, :, :]) ** 2).sum(2))
+
+        def nearest(*cols):
+            import pandas as pd
+
+            x = (np.column_stack([c.to_numpy(float) for c in cols]) - mean) / scale
+            return pd.Series(((z * z).sum(1)[None, :] - 2 * x @ z.T).argmin(1).astype(np.int32))
+
+        # each row of the table counts at its nearest landmark
+        weight = np.zeros(len(z))
+        for r in distinct.groupBy(F.pandas_udf(nearest, "int")(*terms).alias("i")).agg(F.sum("_n").alias("n")).collect():  # at most `landmarks` rows
+            weight[r["i"]] = r["n"]
+        root = np.sqrt(weight)
+        gram = root[:, None] * np.exp(-g * ((z[:, None, :] - z[None, :, :]) ** 2).sum(2)) * root[None, :]
         value, vector = np.linalg.eigh(gram)
-        axes = vector[:, ::-1][:, :k] / np.sqrt(np.maximum(value[::-1][:k], 1e-12))
+        axes = root[:, None] * vector[:, ::-1][:, :k] / np.sqrt(np.maximum(value[::-1][:k], 1e-12))
 
         def project(*cols):
             import pandas as pd

@@ -245,3 +245,17 @@ def test_every_query_vector_has_its_neighbours(spark, tmp_path):
         s = sorted((-round(float(rows[q] @ v / np.linalg.norm(rows[q]) / np.linalg.norm(v)), 6), i) for i, v in rows.items() if i != q and v.any())
         want += [(q, n + 1, i, -c) for n, (c, i) in enumerate(s[:10])]
     assert [g[:3] for g in got] == [w[:3] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want], atol=1.1e-6)
+
+
+def test_kernel_axes_with_a_hot_row_come_from_all_rows(spark):
+    rng = np.random.default_rng(7)
+    x = np.vstack([np.tile([[0.5, -0.2]], (1500, 1)), rng.standard_normal((100, 2))])
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id long, a double, b double").repartition(5)
+    rows = fit("poly_pca", "kernelpca", df, ID, k=3)(df).orderBy("id").collect()
+    got = np.array([[r["pc0"], r["pc1"], r["pc2"]] for r in rows])
+    t = np.column_stack([x[:, 0], x[:, 1], x[:, 0] ** 2, x[:, 0] * x[:, 1], x[:, 1] ** 2])
+    t = (t - t.mean(0)) / t.std(0)
+    gram = np.exp(-((t[:, None, :] - t[None, :, :]) ** 2).sum(2) / 5)
+    value, vector = np.linalg.eigh(gram)
+    want = gram @ vector[:, ::-1][:, :3] / np.sqrt(value[::-1][:3])
+    assert np.allclose(np.abs(got), np.abs(want), rtol=0.01, atol=0.01)
