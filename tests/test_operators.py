@@ -259,3 +259,13 @@ def test_kernel_axes_with_a_hot_row_come_from_all_rows(spark):
     value, vector = np.linalg.eigh(gram)
     want = gram @ vector[:, ::-1][:, :3] / np.sqrt(value[::-1][:3])
     assert np.allclose(np.abs(got), np.abs(want), rtol=0.01, atol=0.01)
+
+
+def test_recall_wants_documents_that_quote_the_whole_item(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    item = " ".join(f"word{i}" for i in range(30))
+    texts = [f"before {item} after", item[:70] + " and then something else", f"late {item}"] + [f"other text {i}" for i in range(9)] + ["plain " * 40 + item]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item), (2, item[:80] + " " + "unquoted " * 5)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [tuple(r) for r in entry.queries()["rag_recall"](spark, str(tmp_path)).collect()] == [(1, 1.0)]
