@@ -32,7 +32,12 @@ from .store import narrow
 LEAF, WINDOW = 4096, 24
 #: How byte-level tokenizers of this family split text before merging (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_EDGE = regex.compile(r"(?<=[^\s])[ \n]")
+#: The characters that the pattern takes as white space (fixed value).
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Characters about a cut in an unsplit stretch: more than a contraction is long or the pattern looks ahead.
+CLEAR = 4
+_EDGE = regex.compile(rf"(?<=[^{WHITE}])[{WHITE}]")
+_CLEAR = regex.compile(rf"[^{WHITE}']{{{CLEAR}}}")
 
 
 def byte_letters() -> dict[str, int]:
@@ -112,49 +117,40 @@ class Codec:
             size *= 2
 
     def _left(self, a: str, ia: list[int], size: int) -> tuple[int | None, int, bool]:
-        """Where the window begins in a: the place, how many tokens of a end there, and whether a piece surely begins there."""
-        spots = [m.start() for m in _EDGE.finditer(a, len(a) - size)]
-        place = spots[0] if spots else None
-        if place is not None:
-            rest = len(a[place:].encode())
-            k = len(ia)
-            while rest > 0:
-                k -= 1
-                rest -= len(self.bytes_of[ia[k]])
-            return (place, k, True) if rest == 0 else (None, 0, False)
-        return self._inside(a, ia, len(a) - size, len(ia), -1)
+        """Where the window begins in a, how many tokens of a end there, and whether a piece surely begins there; None if a longer window is needed."""
+        edge = _EDGE.search(a, len(a) - size)
+        raw = a[edge.start() if edge else len(a) - size :].encode()
+        found, k, at = None, len(ia), len(raw)
+        while at > 0:
+            k -= 1
+            at -= len(self.bytes_of[ia[k]])
+            if not edge and at >= 0 and self._clear(raw, at):
+                found = at, k
+        if edge:
+            return (edge.start(), k, True) if at == 0 else (None, 0, False)
+        return (len(a) - len(raw[found[0] :].decode()), found[1], False) if found else (None, 0, False)
 
     def _right(self, b: str, ib: list[int], size: int) -> tuple[int | None, int, bool]:
-        spots = [m.start() for m in _EDGE.finditer(b, 0, size + 1)]
-        place = spots[-1] if spots else None
-        if place is not None:
-            rest, k = len(b[:place].encode()), 0
-            while rest > 0:
-                rest -= len(self.bytes_of[ib[k]])
-                k += 1
-            return (place, k, True) if rest == 0 else (None, 0, False)
-        return self._inside(b, ib, size, 0, 1)
-
-    def _inside(self, text: str, ids: list[int], about: int, k: int, step: int) -> tuple[int | None, int, bool]:
-        """A token boundary near a place of an unsplit stretch: between whole characters, and not before an apostrophe."""
-        if not 8 <= about <= len(text) - 8:
-            return None, 0, False
-        far = len((text[about:] if step < 0 else text[:about]).encode())
-        done = 0
-        while done < far:
-            k += step if step < 0 else 0
-            done += len(self.bytes_of[ids[k]])
-            k += step if step > 0 else 0
-        raw = text.encode()
-        while True:
-            at = len(raw) - done if step < 0 else done
-            if not 0 < at < len(raw):
-                return None, 0, False
-            if raw[at] & 0xC0 != 0x80 and raw[at] != 0x27 and raw[at - 1] != 0x27:
-                return len(raw[:at].decode()), k, False
-            k += step if step < 0 else 0
-            done += len(self.bytes_of[ids[k]])
-            k += step if step > 0 else 0
+        """The same for where the window ends in b."""
+        edges = [m.start() for m in _EDGE.finditer(b, 0, size + 1)]
+        raw = b[: edges[-1] if edges else size].encode()
+        found, k, at = None, 0, 0
+        while at < len(raw):
+            at += len(self.bytes_of[ib[k]])
+            k += 1
+            if not edges and at <= len(raw) and self._clear(raw, at):
+                found = at, k
+        if edges:
+            return (edges[-1], k, True) if at == len(raw) else (None, 0, False)
+        return (len(raw[: found[0]].decode()), found[1], False) if found else (None, 0, False)
+
+    @staticmethod
+    def _clear(raw: bytes, at: int) -> bool:
+        """Whether CLEAR harmless characters stand on both sides of a place, which is no place inside a character."""
+        if at == len(raw) or raw[at] & 0xC0 == 0x80:
+            return False
+        before = raw[max(0, at - 4 * CLEAR) : at].decode("utf-8", "ignore")[-CLEAR:]
+        return bool(_CLEAR.match(before) and _CLEAR.match(raw[at : at + 4 * CLEAR].decode("utf-8", "ignore")))
 
 
 def codec(path: str) -> Codec:

@@ -247,6 +247,23 @@ def test_tree_concatenation_equals_the_library(library):
         assert own.decode(own.encode(text)) == text
 
 
+def test_windows_in_white_space_and_apostrophes_equal_the_library(library):
+    rng = random.Random(11)
+    white = [chr(c) for c in [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]]
+    assert all(re.match(f"[{bpe.WHITE}]", c) for c in white) and not re.search(f"[{bpe.WHITE}]", "\x1c\x1f\u180e\u200b\ufeffa")
+    pieces = ["the", "'", "'s", "'ll", "''s", "!", "ab", "story", "é", "漢", "1", "²", "\r\n", "  ", "\x1c", "\u200b", "<|endoftext|>", *white]
+    for leaf, window, texts in ((16, 1, 3000), (16, 2, 3000), (40, 4, 2000), (200, 24, 600), (bpe.LEAF, bpe.WINDOW, 60)):
+        own = bpe.Codec(tokenizer_path(), leaf, window)
+        for _ in range(texts):
+            some = rng.sample(pieces, rng.randrange(2, 9)) + [" ", "\u2003", "a"][: rng.randrange(4)]
+            text = "".join(rng.choice(some) * rng.choice((1, 1, 1, rng.randrange(1, 40))) for _ in range(rng.randrange(leaf // 3, leaf)))[: 4 * leaf]
+            assert own.encode(text) == library.encode(text, add_special_tokens=False).ids, (leaf, text)
+    own = bpe.Codec(tokenizer_path())
+    for run in (" ", "\u2003", "'", "\n ", "'s", "!'"):  # long stretches without a clear place
+        text = "a" + run * 20000 + "b"
+        assert own.encode(text) == library.encode(text, add_special_tokens=False).ids, run
+
+
 def test_round_trip_query(spark, library):
     got = bpe.round_trip(frame(spark), tokenizer_path()).collect()
     assert len(got) == len(TEXTS)
