@@ -4,10 +4,14 @@ For each language a context tree over bytes holds the symbols seen after
 every context of up to three bytes. A symbol unseen in a context is coded by
 an escape to the next shorter one, down to a uniform byte. The statistics are
 frozen after training, so the code length of a byte depends only on the
-longest known context and the byte; all trees are compiled into one table of
-fixed-point code lengths, and a text costs two look-ups a byte.
-
-Defined results: null text, or text without a letter, is `und` with score 0;
+longest known context and the byte. All trees are compiled on the driver into
+one sparse table of fixed-point code lengths: a row for each pair of context
+and byte that any language has, and a row of escape lengths for each context.
+A byte costs one look-up where its four-byte window was seen, and two more for
+each escape. The table holds the distinct windows of the sampled texts only.
+
+Defined results: null text, or text without a letter (Unicode category L), is
+`und` with score 0; more than MAX_LANGS labelled languages are an error;
 equal code lengths go to the smaller language name; without any training text
 every text is `und`; a null doc_id is never trained on nor held out. The lang,
 source and doc_id columns are no inputs of a prediction.
@@ -15,23 +19,22 @@ source and doc_id columns are no inputs of a prediction.
 
 from __future__ import annotations
 
-import hashlib
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytesops import blocks, column_bytes, worker_cache
+from .bytesops import blocks, column_bytes
 
 UNKNOWN = "und"
 ORDER = 3
 #: About so many texts of each language are learnt from, chosen by a hash of doc_id.
 SAMPLE = 1500
+MAX_LANGS = 256
 #: Fixed point of code lengths: parts of a bit.
 SCALE = 1024
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -75,42 +78,80 @@ def _counts(batches):
                 yield pa.RecordBatch.from_arrays([pa.array([str(lang)] * len(k)), pa.array(k.astype(np.int64)), pa.array(c.astype(np.int64))], names=["lang", "gram", "n"])
 
 
+class Index:
+    """The places of sorted distinct 32-bit keys, by open addressing."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.shift = keys.astype(np.uint32), 32 - max(8, (4 * len(keys)).bit_length())
+        self.slots = np.full(1 << (32 - self.shift), -1, np.int32)
+        left, slot = np.arange(len(keys), dtype=np.int32), self._slot(self.keys)
+        while len(left):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = left[free]  # of several keys one stays
+            out = self.slots[slot] != left
+            left, slot = left[out], (slot[out] + 1) % len(self.slots)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint32(2654435761)) >> np.uint32(self.shift)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 for an unknown one."""
+        out, left, slot = np.full(len(keys), -1, np.int32), np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            at = self.slots[slot]
+            hit = (at >= 0) & (self.keys[at] == keys)
+            out[left[hit]] = at[hit]
+            on = (at >= 0) & ~hit
+            left, slot, keys = left[on], (slot[on] + 1) % len(self.slots), keys[on]
+        return out
+
+
 class Trees:
-    """The compiled context trees: node of each three-byte context, code length of each (node, byte, language)."""
+    """The compiled context trees: for each order, code lengths by language of the pairs of context and byte, and of escapes."""
 
     def __init__(self, langs: list[str], grams: list[tuple[np.ndarray, np.ndarray]]):
-        size = len(langs)
-        orders = [np.unique(np.concatenate([(k >> 8) & ((1 << (8 * o)) - 1) for k, _ in grams])) for o in range(ORDER + 1)]
-        base = np.r_[0, np.cumsum([len(o) for o in orders])]
-        bits = np.full((base[-1], 256, size), 8.0, np.float32)
-        for of, (keys, counts) in enumerate(grams):
-            lower = np.full(256, 8.0)
-            symbol = keys & 255
-            for order, known in enumerate(orders):
-                seen = np.zeros((len(known), 256))
-                np.add.at(seen, (np.searchsorted(known, (keys >> 8) & ((1 << (8 * order)) - 1)), symbol), counts)
-                total, kinds = seen.sum(1, keepdims=True), (seen > 0).sum(1, keepdims=True)
-                shorter = lower[None, :] if not order else bits[base[order - 1] + np.searchsorted(orders[order - 1], known & ((1 << (8 * (order - 1))) - 1)), :, of]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    own = np.where(seen > 0, np.log2((total + kinds) / seen), np.where(total > 0, np.log2((total + kinds) / np.maximum(kinds, 1)), 0) + shorter)
-                bits[base[order] : base[order + 1], :, of] = own
-        self.langs = langs
-        self.bits = np.minimum(np.rint(bits.reshape(-1, size) * SCALE), 65535).astype(np.uint16)
-        self.node = np.zeros((256, 256, 256), np.int32)
-        for b in orders[1]:
-            self.node[:, :, b] = base[1] + np.searchsorted(orders[1], b)
-        for i, k in enumerate(orders[2]):
-            self.node[:, k >> 8, k & 255] = base[2] + i
-        k = orders[3]
-        self.node[k >> 16, (k >> 8) & 255, k & 255] = base[3] + np.arange(len(k))
-        self.node = self.node.ravel()
+        self.langs, size = langs, len(langs)
+        self.pairs, self.bits, self.contexts, self.escapes = [], [], [], []
+        lower = None
+        for order in range(ORDER + 1):
+            mask = (1 << (8 * (order + 1))) - 1
+            pairs = np.unique(np.concatenate([k & mask for k, _ in grams]))
+            contexts, of = np.unique(pairs >> 8, return_inverse=True)
+            seen = np.zeros((len(pairs), size))
+            for lang, (keys, counts) in enumerate(grams):
+                np.add.at(seen[:, lang], np.searchsorted(pairs, keys & mask), counts)
+            total, kinds = np.zeros((len(contexts), size)), np.zeros((len(contexts), size))
+            np.add.at(total, of, seen)
+            np.add.at(kinds, of, seen > 0)
+            escape = np.log2(np.where(total > 0, (total + kinds) / np.maximum(kinds, 1), 1.0))
+            shorter = 8.0 if lower is None else lower[1][np.searchsorted(lower[0], pairs & (mask >> 8))]
+            bits = np.where(seen > 0, np.log2(np.maximum(total + kinds, 1)[of] / np.maximum(seen, 1)), escape[of] + shorter)
+            lower = pairs, bits
+            self.pairs.append(Index(pairs))
+            self.contexts.append(Index(contexts))
+            self.bits.append(np.rint(bits * SCALE).astype(np.int32))
+            self.escapes.append(np.rint(escape * SCALE).astype(np.int32))
+
+    def costs(self, grams: np.ndarray) -> np.ndarray:
+        """Code length of the last byte of each four-byte window, in parts of a bit, by language."""
+        out = np.zeros((len(grams), len(self.langs)), np.int32)
+        left = np.arange(len(grams))
+        for order in range(ORDER, -1, -1):
+            keys = grams[left] & np.uint32((1 << (8 * (order + 1))) - 1)
+            at = self.pairs[order].find(keys)
+            known = at >= 0
+            out[left[known]] += self.bits[order][at[known]]
+            left, keys = left[~known], keys[~known]
+            at = self.contexts[order].find(keys >> np.uint32(8))
+            out[left[at >= 0]] += self.escapes[order][at[at >= 0]]
+        out[left] += 8 * SCALE
+        return out
 
     def lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Code length in bits of each document under each language."""
         part = _folded(data)
         p1, p2, p3 = _before(part, offsets)
-        node = self.node[(p3 << 16) | (p2 << 8) | p1]
-        cost = self.bits[node * 256 + part]
+        cost = self.costs((p3 << 24) | (p2 << 16) | (p1 << 8) | part)
         out = np.zeros((len(offsets) - 1, len(self.langs)))
         full = np.flatnonzero(np.diff(offsets))
         if len(full):
@@ -122,7 +163,9 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], list[tuple[
     """Languages in order, and for each the distinct grams and their counts, from texts that are not held out."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGS + 1).collect()}
+    if len(sizes) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} labelled languages")
     if not sizes:
         return [], []
     share = F.create_map(*(x for k, n in sorted(sizes.items()) for x in (F.lit(k), F.lit(min(1.0, sample / n)))))
@@ -140,14 +183,9 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], list[tuple[
 
 
 def _predict(model):
-    langs, grams = model.value
-    name = hashlib.blake2b(b"".join(x.tobytes() for g in grams for x in g) + repr(langs).encode()).hexdigest()
-
     def run(batches):
-        cache = worker_cache()
-        if cache.get("trees", (None,))[0] != name:
-            cache["trees"] = (name, Trees(langs, grams) if langs else None)
-        trees = cache["trees"][1]
+        trees = model.value
+        langs = trees.langs if trees is not None else []
         for batch in batches:
             texts = batch.column("text")
             lettered = np.array([bool(t) and _LETTER.search(t) is not None for t in texts.to_pylist()], bool)
@@ -168,6 +206,8 @@ def _predict(model):
 
 def identify(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, lang_pred, score: one row for each row of docs, which has doc_id, text and lang."""
-    model = spark.sparkContext.broadcast(train(docs, sample))  # bounded by the sample and by 2**32 grams of which texts hold few
+    langs, grams = train(docs, sample)
+    # some 40 bytes for each distinct window of the sampled texts, and 4 more for each language
+    model = spark.sparkContext.broadcast(Trees(langs, grams) if langs else None)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id").cast("long")).alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double")

@@ -364,12 +364,16 @@ def test_context_trees_equal_the_recursion():
 def test_language_of_held_out_texts_and_edges(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(rng.sample(LANGS[lang].split(), 8)), lang) for i in range(300) for lang in [("en", "de", "fr")[i % 3]]]
-    extra = [(1000, None, "en"), (1001, "", "en"), (1002, "123 !!", "en"), (1003, "the dog", None), (None, "der hund", "de"), (1004, "the dog " * 9000, None)]
+    extra = [(1000, None, "en"), (1001, "", "en"), (1002, "123 !!", "en"), (1003, "the dog", None), (None, "der hund", "de"), (1004, "the dog " * 9000, None), (1005, "² ½ Ⅷ", "en"), (1006, "ª", None)]
     df = spark.createDataFrame(rows + extra, "doc_id long, text string, lang string").withColumn("score", F.lit("clash"))
     got = {r["doc_id"]: r for r in langid.identify(spark, df).collect()}
     held = [i for i, _, _ in rows if got[i]["held_out"]]
     assert held and all(got[i]["lang_pred"] == rows[i][2] for i in held)
-    assert [got[i]["lang_pred"] for i in (1000, 1001, 1002, 1003, None, 1004)] == ["und", "und", "und", "en", "de", "en"]
+    assert [got[i]["lang_pred"] for i in (1000, 1001, 1002, 1003, None, 1004, 1005)] == ["und", "und", "und", "en", "de", "en", "und"]
+    assert got[1005]["score"] == 0 and got[1006]["lang_pred"] != "und"  # numbers are no letters, an ordinal sign is one
+    many = spark.range(langid.MAX_LANGS + 1).select(F.col("id").alias("doc_id"), F.lit("the dog").alias("text"), F.concat(F.lit("l"), "id").alias("lang"))
+    with pytest.raises(ValueError, match="more than"):
+        langid.train(many.withColumn("doc_id", F.lit(1)))
     assert all(0 <= r["score"] <= 1 for r in got.values()) and not got[None]["held_out"]
     assert langid.identify(spark, df.limit(0)).count() == 0
     assert {r["lang_pred"] for r in langid.identify(spark, df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
