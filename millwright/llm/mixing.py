@@ -3,14 +3,19 @@
 A naive Bayes model over hashed byte trigrams, trained from a labelled table,
 gives each document a posterior over domains. Nonnegative rates r minimise
 
-    1/2 sum_d (sum_i p_di n_i r_i - t_d)**2 / (m_d N) + ridge/2 sum_i n_i/N (r_i - 1)**2
-
-(n_i tokens, N their sum, m_d the share of domain d, t_d its target) by
-projected gradient steps. A step needs only the D domain totals of the last
-one, so a rate is a function of the document's posterior and of the short
-history of D-vectors: each step is one aggregation over (posterior, tokens)
-rows and nothing of the size of the corpus is kept on the driver. In this
-metric the curvature is at most 1 + ridge, so step 1 / (1 + ridge) descends.
+    1/2 sum_d (sum_i p_di w_i r_i - t_d)**2 / m_d + ridge/2 sum_i w_i (r_i - 1)**2
+
+(w_i = n_i / N the share of a document in the N tokens, m_d = sum_i p_di w_i the
+share of domain d, t_d its target) by projected gradient steps. A step moves
+every rate along the same D-vector and then projects it on 0 or more, so a rate
+is max(0, 1 + p_i . x) for a D-vector x, and its gradient needs only the D domain
+totals. As long as the projection holds the same documents at 0, the totals are
+linear in x, with the D x D second moments of the posteriors over the documents
+above 0. One pass over the corpus gives these moments; the steps on them
+(conjugate gradients, at most D of them) cost nothing; the next pass projects
+anew. Step lengths are halved where the dual objective, which a pass gives as
+well, does not rise. This ends after as many passes as the set of documents
+at 0 changes: two or three where no rate is 0.
 
 Tokens are the words `[^\\x20\\x09-\\x0D]+`. Unless a budget is given, the
 total is the smallest for which no domain shrinks, with a little to spare.
@@ -18,13 +23,16 @@ total is the smallest for which no domain shrinks, with a little to spare.
 its expectation is the rate.
 
 Defined results: null or empty text has no tokens, the prior as posterior and
-rate 1; a domain without tokens is left out of the fit; without any labelled
+rate 1; a domain without tokens is left out of the fit; a fit that stops before
+its gradient is below the tolerance warns and says so in `converged`; more than
+MAX_DOMAINS labelled domains are an error; without any labelled
 text there are no domains, and all rates are 1; rows that repeat get the same
 rate each; null labels are not learnt from.
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,7 +48,9 @@ BUCKETS = 1 << 14
 SAMPLE = 1000
 #: Trigrams that a document's evidence is scaled down to, which keeps posteriors soft.
 EVIDENCE = 40.0
-RIDGE, STEPS, TOLERANCE, SPARE = 1e-3, 60, 1e-4, 1.05
+#: Weight of staying at rate 1; largest part of the budget that a domain's gradient may be off by; least halvings that end a fit; growth over the smallest budget.
+RIDGE, TOLERANCE, HALVINGS, SPARE = 1e-6, 1e-5, 30, 1.05
+MAX_DOMAINS = 256
 
 
 def _trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,7 +87,9 @@ def _count(batches):
 def train(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Domains in order and the log probability of each bucket, from (doc_id, text, domain)."""
     rows = labelled.where("domain is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("domain").cast("string").alias("domain"))
-    sizes = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).limit(MAX_DOMAINS + 1).collect()}
+    if len(sizes) > MAX_DOMAINS:
+        raise ValueError(f"more than {MAX_DOMAINS} labelled domains")
     if not sizes:
         return [], np.zeros((BUCKETS, 0))
     share = F.create_map(*(x for k, n in sorted(sizes.items()) for x in (F.lit(k), F.lit(min(1.0, sample / n)))))
@@ -90,71 +102,88 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndar
     return domains, np.log(table / table.sum(0))
 
 
-def _posteriors(model):
+def _posteriors(domains: list[str], table: np.ndarray, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of each text, and its posterior over the domains."""
+    data, offsets, _ = column_bytes(column)
+    rows = len(offsets) - 1
+    tokens, logs = np.zeros(rows, np.int64), np.zeros((rows, len(domains)))
+    for a, b in blocks(offsets):
+        part, offs = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        tokens[a:b] = Words(part, offs).counts
+        bucket, first, full = _trigrams(part, offs)
+        if len(full) and domains:
+            n = np.diff(np.r_[first, len(bucket)])
+            logs[a + full] = np.add.reduceat(table[bucket], first, axis=0) * np.minimum(1.0, EVIDENCE / n)[:, None]
+    if not domains:
+        return tokens, logs
+    p = np.exp(logs - logs.max(1, keepdims=True))
+    return tokens, np.round(p / p.sum(1, keepdims=True), 6)
+
+
+def _lists(p: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1]), pa.array(p.ravel()))
+
+
+def _soft(model):
     def run(batch):
-        domains, table = model.value
-        data, offsets, _ = column_bytes(batch.column("text"))
-        tokens = np.zeros(batch.num_rows, np.int64)
-        logs = np.zeros((batch.num_rows, len(domains)))
-        for a, b in blocks(offsets):
-            part, offs = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-            tokens[a:b] = Words(part, offs).counts
-            bucket, first, full = _trigrams(part, offs)
-            if len(full) and domains:
-                n = np.diff(np.r_[first, len(bucket)])
-                logs[a + full] = np.add.reduceat(table[bucket], first, axis=0) * np.minimum(1.0, EVIDENCE / n)[:, None]
-        p = np.exp(logs - logs.max(1, keepdims=True)) if domains else logs
-        p = np.round(p / p.sum(1, keepdims=True), 6) if domains else p
-        ends = np.arange(batch.num_rows + 1, dtype=np.int32) * len(domains)
-        return [pa.array(tokens), pa.ListArray.from_arrays(pa.array(ends), pa.array(p.ravel()))]
+        tokens, p = _posteriors(*model.value, batch.column("text"))
+        return [pa.array(tokens), _lists(p)]
 
     return run
 
 
-def _stepped(p: np.ndarray, history: list[np.ndarray], ridge: float) -> np.ndarray:
-    """Rates after the projected gradient steps of a history of scaled residuals."""
-    rate = np.ones(len(p))
-    for g in history:
-        rate = np.maximum(0.0, rate - (p @ g + ridge * (rate - 1)) / (1 + ridge))
-    return rate
-
+def _rates(p: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return np.maximum(0.0, 1.0 + p @ x)
 
-def _matrix(batch, size: int) -> np.ndarray:
-    return batch.column("posterior").flatten().to_numpy(zero_copy_only=False).reshape(-1, size) if size else np.zeros((batch.num_rows, 0))
 
+def _moments(x: np.ndarray):
+    """Sums over documents at x, as one flat row: totals of all, totals and second moments of those above 0, the dual's part."""
+    size = len(x)
 
-def _totals(size: int, history: list[np.ndarray], ridge: float):
     def run(batches):
-        total = np.zeros(size)
+        total, above, second, dual = np.zeros(size), np.zeros(size), np.zeros((size, size)), 0.0
         for batch in batches:
-            p = _matrix(batch, size)
-            total += (_stepped(p, history, ridge) * batch.column("n_tokens").to_numpy()) @ p
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total)], names=["d", "t"])
+            p = batch.column("posterior").flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+            n = batch.column("n_tokens").to_numpy().astype(np.float64)
+            move = p @ x
+            on = move > -1
+            total += n @ p
+            q = p[on] * n[on, None]
+            above += q.sum(0)
+            second += q.T @ p[on]
+            dual += float(n[on] @ (-move[on] * move[on] / 2 - move[on])) + n[~on].sum() / 2
+        flat = np.concatenate([total, above, second.ravel(), [dual]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["k", "v"])
 
     return run
 
 
-def _rates(size: int, history: list[np.ndarray], ridge: float):
-    def run(batch):
-        rate = _stepped(_matrix(batch, size), history, ridge)
-        return [pa.array(np.round(np.where(batch.column("n_tokens").to_numpy() > 0, rate, 1.0), 6))]
-
-    return run
+def _conjugate(matrix: np.ndarray, gradient: np.ndarray) -> np.ndarray:
+    """Steps of conjugate gradients on matrix @ move = gradient, from no move; matrix is positive definite."""
+    scale = 1 / np.sqrt(np.diag(matrix))
+    matrix, gradient = matrix * scale[:, None] * scale, gradient * scale
+    move, left = np.zeros(len(gradient)), gradient.copy()
+    way, least = left.copy(), 1e-28 * float(gradient @ gradient)
+    for _ in range(4 * len(gradient)):  # as many as domains, and more for the rounding
+        size = float(left @ left)
+        if size <= least:
+            break
+        bent = matrix @ way
+        step = size / float(way @ bent)
+        move, left = move + step * way, left - step * bent
+        way = left + float(left @ left) / size * way
+    return move * scale
 
 
 @dataclass(frozen=True)
 class Model:
-    """The trained posteriors and the history of the descent, of which every rate is a function."""
+    """The trained posteriors, the vector x of which every rate is a function, and how the fit ended."""
 
     domains: list[str]
     table: np.ndarray
-    history: list[np.ndarray]
-    ridge: float
-
-
-def _soft(spark: SparkSession, docs: DataFrame, domains: list[str], table: np.ndarray) -> DataFrame:
-    model = spark.sparkContext.broadcast((domains, table.astype(np.float32)))  # BUCKETS times the number of domains
-    return with_columns(docs, _posteriors(model), "n_tokens long, posterior array<double>")
+    x: np.ndarray
+    passes: int = 0
+    converged: bool = True
 
 
 def fit(spark: SparkSession, docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float | None = None, ridge: float = RIDGE) -> Model:
@@ -163,37 +192,62 @@ def fit(spark: SparkSession, docs: DataFrame, labelled: DataFrame, targets: dict
     targets: weights of domains, brought to sum 1; a learnt domain without one has weight 0. budget: tokens wanted in all.
     """
     domains, table = train(labelled)
-    size, history = len(domains), []
+    size = len(domains)
     if not size:
-        return Model(domains, table, history, ridge)
-    soft = Scratch(spark, "mixing").table(_soft(spark, narrow(docs), domains, table).select("n_tokens", "posterior"))
-
-    def totals() -> np.ndarray:
-        got = soft.mapInArrow(_totals(size, history, ridge), "d long, t double").groupBy("d").agg(F.sum("t").alias("t")).collect()
-        out = np.zeros(size)
-        for r in got:
-            out[r["d"]] = r["t"]
-        return out
-
-    plain = now = totals()
+        return Model(domains, table, np.zeros(0))
+    model = spark.sparkContext.broadcast((domains, table.astype(np.float32)))  # BUCKETS times the number of domains
+    scratch = Scratch(spark, "mixing")
+    soft = scratch.table(with_columns(narrow(docs), _soft(model), "n_tokens long, posterior array<double>").select("n_tokens", "posterior"))
+
+    def at(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        flat = np.zeros(2 * size + size * size + 1)
+        for r in soft.mapInArrow(_moments(x), "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
+            flat[r["k"]] = r["v"]
+        return flat[:size], flat[size : 2 * size], flat[2 * size : -1].reshape(size, size), flat[-1]
+
+    x, passes, converged = np.zeros(size), 1, True
+    plain, above, second, dual = at(x)
+    tokens = plain.sum()
     weight = np.array([max(0.0, targets.get(d, 0.0)) for d in domains]) * (plain > 0)
-    if plain.sum() > 0 and weight.sum() > 0:
+    use = np.flatnonzero(plain > 0)
+    if tokens > 0 and weight.sum() > 0:
         weight /= weight.sum()
         if budget is None:
             budget = SPARE * max(plain[d] / weight[d] for d in range(size) if weight[d] > 0)
-        for _ in range(STEPS):
-            gap = now - weight * budget
-            if np.abs(gap).max() <= TOLERANCE * budget:
-                break
-            history.append(np.where(plain > 0, gap / np.maximum(plain, 1e-300), 0.0))
-            now = totals()
-    return Model(domains, table, history, ridge)
+        goal, kept = weight * budget, ridge * np.diag(plain)
+        value = lambda x, dual: ridge * (dual + float(goal @ x)) - ridge * ridge * float(plain @ (x * x)) / 2
+        best, gradient = value(x, dual), goal - above - second @ x - ridge * plain * x
+        while converged and np.abs(gradient).max() > TOLERANCE * budget:
+            move = np.zeros(size)
+            move[use] = _conjugate((second + kept)[np.ix_(use, use)], gradient[use])
+            for k in range(HALVINGS):
+                tried = x + move / 2**k
+                _, above, second, dual = at(tried)
+                passes += 1
+                now, new = value(tried, dual), goal - above - second @ tried - ridge * plain * tried
+                if now > best or np.abs(new).max() <= TOLERANCE * budget:
+                    x, best, gradient = tried, now, new
+                    break
+            else:
+                converged = False
+                warnings.warn(f"the mix ended {np.abs(gradient).max() / budget:.1e} of the budget from its optimum", stacklevel=2)
+    scratch.drop(soft)
+    return Model(domains, table, x, passes, converged)
+
+
+def _rated(model, x: np.ndarray):
+    def run(batch):
+        tokens, p = _posteriors(*model.value, batch.column("text"))
+        rate = np.round(np.where(tokens > 0, _rates(p, x), 1.0), 6)
+        return [pa.array(tokens), _lists(p), pa.array(rate)]
+
+    return run
 
 
 def rate(spark: SparkSession, docs: DataFrame, model: Model, seed: int = 5) -> DataFrame:
     """docs with n_tokens, posterior (domains in order of name), rate and copies; docs has doc_id and text."""
-    soft = _soft(spark, docs, model.domains, model.table)
-    out = with_columns(soft, _rates(len(model.domains), model.history, model.ridge), "rate double")
+    table = spark.sparkContext.broadcast((model.domains, model.table.astype(np.float32)))
+    out = with_columns(docs, _rated(table, model.x), "n_tokens long, posterior array<double>, rate double")
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     return out.withColumn("copies", (F.floor("rate") + (place < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))
 

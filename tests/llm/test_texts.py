@@ -404,25 +404,72 @@ def test_gumbel_top_k_equals_a_sort(spark):
     assert quality.kth_largest(ties, "key", 20, few=5) == 1.5
 
 
+def brute_posteriors(domains, labelled, texts):
+    """Naive Bayes over byte trigrams with dictionaries."""
+    def grams(text):
+        data = bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode())
+        return [((int.from_bytes(data[i : i + 3], "big") * 2654435761) % 2**32) >> 18 for i in range(len(data) - 2)]
+
+    counts = {d: {} for d in domains}
+    for text, d in labelled:
+        for g in grams(text):
+            counts[d][g] = counts[d].get(g, 0) + 1
+    total = {d: sum(counts[d].values()) + mixing.BUCKETS for d in domains}
+    out = []
+    for text in texts:
+        own = grams(text)
+        logs = [min(1, mixing.EVIDENCE / max(1, len(own))) * sum(math.log((counts[d].get(g, 0) + 1) / total[d]) for g in own) for d in domains]
+        p = [math.exp(x - max(logs)) for x in logs]
+        out.append([x / sum(p) for x in p])
+    return np.array(out)
+
+
+def dense_descent(p, n, goal, ridge, steps=60000):
+    """Rates by plain accelerated projected gradient steps on every rate at once."""
+    w, plain = n / n.sum(), (n @ p) / n.sum()
+    t, rate, last = goal / n.sum(), np.ones(len(n)), np.ones(len(n))
+    for k in range(steps):
+        ahead = rate + k / (k + 3) * (rate - last)
+        gradient = p @ (((w * ahead) @ p - t) / plain) + ridge * (ahead - 1)
+        last, rate = rate, np.maximum(0.0, ahead - gradient / (1 + ridge))
+    return rate
+
+
 def test_mixing_meets_its_targets_and_equals_dense_descent(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choice(LANGS[lang].split()) for _ in range(rng.randrange(5, 60))), lang) for i in range(400) for lang in [("en", "en", "de", "fr")[i % 4]]]
+    words = [w for lang in sorted(LANGS) for w in LANGS[lang].split()]
+    rows += [(500 + i, " ".join(rng.sample(words, rng.randrange(1, 40))), None) for i in range(300)]  # of several languages at once
+    rows += [rows[3], rows[3], (901, "the fox", "en"), (902, "the fox", "en")]  # repeated rows and ties
     df = spark.createDataFrame(rows + [(900, None, "en"), (901, "", None), (None, "the fox", None)], "doc_id long, text string, lang string").withColumn("copies", F.lit("clash"))
     labelled = df.select("doc_id", "text", F.col("lang").alias("domain"))
     targets = {"en": 0.3, "de": 0.3, "fr": 0.4}
-    model = mixing.fit(spark, df, labelled, targets)
-    got = mixing.rate(spark, df.select("doc_id", "text"), model).collect()
-    p, n, r = np.array([x["posterior"] for x in got]), np.array([x["n_tokens"] for x in got]), np.array([x["rate"] for x in got])
-    total = (n * r) @ p
-    assert np.allclose(total / total.sum(), [0.3, 0.3, 0.4][1:2] + [0.3] + [0.4], atol=2e-3) and (r >= 0).all()
-    # the same descent with all rates held at once
-    plain = n @ p
-    weight = np.array([targets[d] for d in model.domains])
-    budget, rate = mixing.SPARE * max(plain / weight), np.ones(len(n))
-    for _ in range(len(model.history)):
-        gap = ((n * rate) @ p - weight * budget) / plain
-        rate = np.maximum(0, rate - (p @ gap + mixing.RIDGE * (rate - 1)) / (1 + mixing.RIDGE))
-    assert np.allclose(np.where(n > 0, rate, 1), r, atol=1e-5)
-    assert all(abs(x["copies"] - x["rate"]) < 1 for x in got) and {x["rate"] for x in got if not x["n_tokens"]} == {1.0}
+    for targets, budget, zeros in ((targets, None, False), ({"en": 0.001, "de": 0.9, "fr": 0.099}, 9000.0, True), ({"en": 0, "de": 1}, None, True)):
+        model = mixing.fit(spark, df, labelled, targets, budget)
+        assert model.converged and model.passes <= 12, model.passes
+        got = mixing.rate(spark, df.select("doc_id", "text"), model).collect()
+        p, n, r = np.array([x["posterior"] for x in got]), np.array([x["n_tokens"] for x in got]), np.array([x["rate"] for x in got])
+        assert np.allclose(p, brute_posteriors(model.domains, [(t, d) for _, t, d in rows if d] + [(None, "en")], [t for _, t, _ in rows] + [None, "", "the fox"]), atol=2e-3)
+        plain, weight = n @ p, np.array([targets.get(d, 0) for d in model.domains])
+        goal = weight / weight.sum() * (budget or mixing.SPARE * max(plain[weight > 0] / (weight / weight.sum())[weight > 0]))
+        assert (((r == 0) & (n > 0)).sum() > 20) == zeros
+        total = (n * r) @ p
+        if not zeros:  # such targets can be met
+            assert np.abs(total - goal).max() <= 1e-4 * goal.sum()
+        # the optimum: where a rate is above 0 the gradient vanishes, elsewhere it points down
+        slope = p @ ((total - goal) / plain) + mixing.RIDGE * (r - 1)
+        assert np.abs(slope[(r > 1e-6) & (n > 0)]).max() < 1e-3 * (goal.sum() / n.sum()) and slope[(r == 0) & (n > 0)].min(initial=0) > -1e-3
+        full = n > 0
+        dense = dense_descent(p[full], n[full], goal, mixing.RIDGE)
+        loss = lambda r: float(((((n[full] * r) @ p[full]) - goal) ** 2 / plain).sum())  # noqa: E731, B023
+        assert loss(r[full]) <= loss(dense) * 1.0001 + 1e-6 * goal.sum(), (loss(r[full]), loss(dense))
+        assert all(abs(x["copies"] - x["rate"]) < 1 for x in got) and {x["rate"] for x in got if not x["n_tokens"]} == {1.0}
+        same = {}
+        for x in got:
+            same.setdefault((x["doc_id"], x["n_tokens"], tuple(x["posterior"])), set()).add((x["rate"], x["copies"]))
+        assert all(len(v) == 1 for v in same.values())
     assert mixing.mix(spark, df.limit(0), labelled, targets).count() == 0
     assert {x["rate"] for x in mixing.mix(spark, df, labelled.limit(0), targets).collect()} == {1.0}
+    many = spark.range(mixing.MAX_DOMAINS + 1).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.col("id").cast("string").alias("domain"))
+    with pytest.raises(ValueError, match="more than"):
+        mixing.train(many)
