@@ -9,14 +9,25 @@ The variate follows from doc_id, so a run can be repeated.
 The n-grams are byte 4-grams, and pairs of word forms (first and last
 character class, length, capitals, same as the word before), both hashed.
 
+Both the plain log ratio (`log_ratio`) and the one that is drawn by
+(`log_weight`) are returned. The latter is scaled down to `evidence` n-grams in
+longer documents, since in a sum over n-grams the length of a document decides
+before its quality does; with evidence=None they are the same.
+
 How many are drawn follows from the labelled table: as many as have at least
-the log ratio that all but a small share of the good labelled texts reach, less
-a part of its distance to the poor ones.
+the weight that all but a small share of the good labelled texts reach, less a
+part of its distance to the poor ones. There each half of the labelled texts is
+weighed by the model of the other half, so few labels make a weak model and a low
+cut. That none of n good labelled texts lies below a cut says with confidence
+1 - (1 - DOUBT)**n that at most the share DOUBT of all good texts does. This part
+of the documents below the cut is left out, so fewer labels reject less, without
+a step.
 
 Defined results: null or empty text has log ratio 0; without labelled good
-texts every ratio is 0, and with too few of them all documents are kept; rows that repeat a doc_id and text
+texts every ratio is 0 and all documents are kept; rows that repeat a doc_id and text
 have one fate, so ties at the end may keep a few more than k; null doc_id
-counts as 0 in the variate. Labels that are null or repeat are used once.
+counts as 0 in the variate. Labels that are null, or of no document, are not
+used; of labels that repeat the lowest counts once.
 """
 
 from __future__ import annotations
@@ -37,12 +48,12 @@ BUCKETS = 1 << 14
 SAMPLE = 6000
 #: Occurrences by which a bucket is smoothed.
 PRIOR = 10.0
-#: N-grams that a longer document's evidence is scaled down to, so that length alone decides nothing.
+#: N-grams that a longer document's evidence is scaled down to; None for plain sums.
 EVIDENCE = 200.0
 #: Share of good labelled texts that the cut may lose.
 LOSS = 0.0005
-#: With fewer good labelled texts than this nothing is rejected.
-LEAST_LABELS = 20
+#: Share of good texts that may lie below the cut for all that the labels say.
+DOUBT = 0.05
 #: How far the cut moves from there towards the poor labelled texts.
 SLACK = 0.25
 
@@ -74,21 +85,27 @@ def grams(data: np.ndarray, offsets: np.ndarray):
 
 
 def _count(batches):
-    total = np.zeros(2 * BUCKETS, np.int64)
+    """Occurrences of every bucket, in each of two halves."""
+    total = np.zeros((2, 2 * BUCKETS), np.int64)
     for batch in batches:
         data, offsets, _ = column_bytes(batch.column("text"))
+        half = batch.column("half").to_numpy()
         for a, b in blocks(offsets):
-            for bucket, _ in grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
-                total += np.bincount(bucket, minlength=2 * BUCKETS)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+            for bucket, doc in grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
+                second = half[a:b][doc] == 1
+                total[0] += np.bincount(bucket[~second], minlength=2 * BUCKETS)
+                if second.any():
+                    total[1] += np.bincount(bucket[second], minlength=2 * BUCKETS)
+    half, at = np.nonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(half), pa.array(at), pa.array(total[half, at])], names=["half", "bucket", "n"])
 
 
 def counts(texts: DataFrame) -> np.ndarray:
-    """Occurrences of every bucket over all texts; each task sends its sums only."""
-    found = texts.select(F.col("text").cast("string").alias("text")).mapInArrow(_count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(2 * BUCKETS)
-    out[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    """Occurrences of every bucket over the texts of each half (0, 1); each task sends its sums only."""
+    rows = texts.select(F.col("text").cast("string").alias("text"), F.col("half").cast("int").alias("half"))
+    found = rows.mapInArrow(_count, "half long, bucket long, n long").groupBy("half", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros((2, 2 * BUCKETS))
+    out[found.column("half").to_numpy(), found.column("bucket").to_numpy()] = found.column("n").to_numpy()
     return out
 
 
@@ -108,16 +125,20 @@ def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return out
 
 
-def _weights(table):
+def _weights(table, evidence: float | None, halves: bool = False):
+    """Log ratio and weight of each text, by the table of its half if there are halves."""
+
     def run(batch):
-        ratio = table.value
+        tables = table.value
         data, offsets, _ = column_bytes(batch.column("text"))
+        half = batch.column("half").to_numpy() if halves else np.zeros(batch.num_rows, np.int64)
         out, n = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
         for a, b in blocks(offsets):
             for bucket, doc in grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
-                out[a:b] += sums(ratio[bucket], doc, b - a)
+                out[a:b] += sums(tables[half[a:b][doc], bucket] if halves else tables[0][bucket], doc, b - a)
                 n[a:b] += np.bincount(doc, minlength=b - a)
-        return [pa.array(np.round(out * np.minimum(1.0, EVIDENCE / np.maximum(n, 1)), 6))]
+        scale = np.minimum(1.0, evidence / np.maximum(n, 1)) if evidence is not None else 1.0
+        return [pa.array(np.round(out, 6)), pa.array(np.round(out * scale, 6))]
 
     return run
 
@@ -149,44 +170,56 @@ def kth_largest(df: DataFrame, value: str, k: int, few: int = 20000) -> float:
 
 @dataclass(frozen=True)
 class Model:
-    """Log ratios of the buckets, and the Gumbel key from which on documents are drawn."""
+    """Log ratios of the buckets, the evidence they are scaled to, and the Gumbel key from which on documents are drawn."""
 
     ratio: np.ndarray
     least: float
     seed: int
+    evidence: float | None = EVIDENCE
+
+
+def weigh(spark: SparkSession, docs: DataFrame, ratio: np.ndarray, seed: int, evidence: float | None = EVIDENCE) -> DataFrame:
+    """docs with log_ratio, log_weight and gumbel_key; docs has doc_id and text."""
+    table = spark.sparkContext.broadcast(ratio[None, :])
+    weighed = with_columns(docs, _weights(table, evidence), "log_ratio double, log_weight double")
+    return weighed.withColumn("gumbel_key", F.col("log_weight") + gumbel(F.col("doc_id").cast("long"), seed))
 
 
-def weigh(spark: SparkSession, docs: DataFrame, ratio: np.ndarray, seed: int) -> DataFrame:
-    """docs with log_weight and gumbel_key; docs has doc_id and text."""
-    table = spark.sparkContext.broadcast(ratio)
-    return with_columns(docs, _weights(table), "log_weight double").withColumn("gumbel_key", F.col("log_weight") + gumbel(F.col("doc_id").cast("long"), seed))
+def cut_of(weight: np.ndarray, good: np.ndarray, loss: float = LOSS) -> float:
+    """The weight from which on documents count as good, from the weights of labelled ones."""
+    if not good.any():
+        return float("-inf")
+    cut = float(np.quantile(weight[good], loss))
+    return cut if good.all() else cut - SLACK * max(0.0, cut - float(np.quantile(weight[~good], 0.95)))
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, loss: float = LOSS, seed: int = 7) -> Model:
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, loss: float = LOSS, seed: int = 7, evidence: float | None = EVIDENCE) -> Model:
     """Both models and the cut; labels has doc_id and quality (1 good)."""
     docs = narrow(docs)
     labels = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     share = min(1.0, sample / max(1, labels.count()))
     chosen = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30) < share)  # about `sample` ids
-    good = F.broadcast(chosen.where("quality = 1").select("doc_id"))
-    ratio = log_ratio(counts(docs.join(good, "doc_id", "left_semi")), counts(docs))
-    scored = Scratch(spark, "quality").table(weigh(spark, docs, ratio, seed).drop("text"))
-    known = scored.join(F.broadcast(chosen), "doc_id").select("log_weight", (F.col("quality") == 1).alias("good")).toArrow()
-    weight, is_good = known.column("log_weight").to_numpy(), known.column("good").to_numpy()
-    if is_good.sum() < LEAST_LABELS:
-        return Model(ratio, float("-inf"), seed)
-    cut = np.quantile(weight[is_good], loss)
-    if not is_good.all():
-        cut -= SLACK * max(0.0, cut - np.quantile(weight[~is_good], 0.95))
-    total, k = scored.agg(F.count(F.lit(1)), F.count_if(F.col("log_weight") >= float(cut))).first()
-    return Model(ratio, float("-inf") if k >= total else kth_largest(scored, "gumbel_key", k), seed)
+    known = docs.join(F.broadcast(chosen.select("doc_id", (F.col("quality") == 1).alias("good"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).alias("half"))), "doc_id")
+    raw, target = counts(docs.withColumn("half", F.lit(0)))[0], counts(known.where("good"))
+    ratio = log_ratio(target.sum(0), raw)
+    scored = Scratch(spark, "quality")
+    every = scored.table(weigh(spark, docs, ratio, seed, evidence).select("log_weight", "gumbel_key"))
+    across = spark.sparkContext.broadcast(np.stack([log_ratio(target[1], raw), log_ratio(target[0], raw)]))
+    found = with_columns(known.select("text", "good", "half"), _weights(across, evidence, True), "log_ratio double, log_weight double").select("log_weight", "good").toArrow()
+    good = found.column("good").to_numpy(zero_copy_only=False).astype(bool)
+    cut = cut_of(found.column("log_weight").to_numpy(), good, loss)
+    total, below = every.agg(F.count(F.lit(1)), F.count_if(F.col("log_weight") < cut)).first()
+    k = total - round(below * (1 - (1 - DOUBT) ** int(good.sum())))
+    least = float("-inf") if k >= total else kth_largest(every, "gumbel_key", k)
+    scored.drop(every)
+    return Model(ratio, least, seed, evidence)
 
 
 def draw(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
-    """docs with log_weight, gumbel_key and kept."""
-    return weigh(spark, docs, model.ratio, model.seed).withColumn("kept", F.col("gumbel_key") >= model.least)
+    """docs with log_ratio, log_weight, gumbel_key and kept."""
+    return weigh(spark, docs, model.ratio, model.seed, model.evidence).withColumn("kept", F.col("gumbel_key") >= model.least)
 
 
 def resample(spark: SparkSession, docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """doc_id, log_weight, gumbel_key, kept: one row for each row of docs."""
+    """doc_id, log_ratio, log_weight, gumbel_key, kept: one row for each row of docs."""
     return draw(spark, narrow(docs), fit(spark, docs, labels, **how)).drop("text")

@@ -395,6 +395,67 @@ def test_quality_draws_the_good_and_leaves_junk(spark):
     assert quality.resample(spark, frame(spark, []), labels).count() == 0
 
 
+def brute_grams(text):
+    """Buckets of byte 4-grams and of pairs of word forms, one by one."""
+    data, out = (text or "").encode(), []
+    for i in range(len(data) - 3):
+        out.append(((int.from_bytes(data[i : i + 4], "big") * 2654435761) % 2**32) >> 18)
+    kind = lambda b, which: 3 if b > 127 and which == 0 else 5 if b > 127 else (0 if chr(b).isupper() else 1 if chr(b).islower() else 2 if chr(b).isdigit() else 4) if which == 0 else (0 if chr(b).isalpha() else 1 if b == 46 else 2 if b == 44 else 4 if chr(b).isdigit() else 3)
+    last, forms = None, []
+    for w in re.findall(rb"[^\x20\x09-\x0D]+", data):
+        forms.append(((kind(w[0], 0) * 6 + kind(w[-1], 1)) * 8 + min(len(w), 15) // 2) * 4 + (sum(65 <= b <= 90 for b in w) > 1) * 2 + (w == last))
+        last = w
+    out += [quality.BUCKETS + ((((a * 1024 + b) * 2246822519) % 2**32) >> 18) for a, b in zip(forms[:-1], forms[1:], strict=True)]
+    return out
+
+
+def brute_ratio(target, raw):
+    out = {}
+    for low in (0, quality.BUCKETS):
+        mine = {k: v for k, v in target.items() if low <= k < low + quality.BUCKETS}
+        base = {k: v for k, v in raw.items() if low <= k < low + quality.BUCKETS}
+        for k in base:
+            expected = sum(mine.values()) * base[k] / max(1, sum(base.values()))
+            out[k] = math.log((mine.get(k, 0) + quality.PRIOR) / (expected + quality.PRIOR)) if target else 0.0
+    return out
+
+
+def test_quality_equals_brute_force(spark):
+    """Counts, log ratios, both halves, the cut and the draw, with dictionaries; few labels reject little, without a step."""
+    rng = random.Random(6)
+    words = BASE.split() + ["The", "NASA", "3rd", "é", "x.", "y,", "漢字"]
+    good = lambda: " ".join(rng.choice(words) for _ in range(40)) + "."
+    junk = lambda: " ".join(rng.choice(words) + "***" for _ in range(rng.randrange(3, 60)))
+    rows = [(i, good() if i % 3 else junk()) for i in range(400)] + [(500, None), (501, ""), (502, "ab"), (None, good()), (600, "again"), (601, "x" * 50000)]
+    rows += [rows[7], rows[9]]
+    docs = frame(spark, rows).withColumn("log_weight", F.lit("clash")).withColumn("half", F.lit(3)).withColumn("good", F.lit(1)).withColumn("log_ratio", F.lit(None))
+    count = lambda texts: {k: v for k, v in zip(*np.unique(np.array([g for t in texts for g in brute_grams(t)], int), return_counts=True), strict=True)}
+    raw, dropped = count(t for _, t in rows), {}
+    for some in (0, 1, 5, 50, 300):
+        labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(some)] + [(9999, 1), (9998, 0), (None, 1), (2, None)], "doc_id long, quality int").withColumn("text", F.lit("clash"))
+        half = {r["doc_id"]: r["h"] for r in spark.range(400).select(F.col("id").alias("doc_id"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)).alias("h")).collect()}
+        known = [(i, t) for i, t in rows if i is not None and i < some]
+        targets = [count(t for i, t in known if i % 3 and half[i] == h) for h in (0, 1)]
+        both = {k: targets[0].get(k, 0) + targets[1].get(k, 0) for k in {*targets[0], *targets[1]}}
+        weight = lambda t, table: sum(table[g] for g in brute_grams(t)) * min(1, quality.EVIDENCE / max(1, len(brute_grams(t))))
+        full, across = brute_ratio(both, raw), [brute_ratio(targets[1], raw), brute_ratio(targets[0], raw)]
+        want = [(i, weight(t, full)) for i, t in rows]
+        scores = [(i % 3 > 0, weight(t, across[half[i]])) for i, t in known]
+        vouch, poor = [w for g, w in scores if g], [w for g, w in scores if not g]
+        cut = np.quantile(vouch, quality.LOSS) if vouch else -math.inf
+        cut -= quality.SLACK * max(0, cut - np.quantile(poor, 0.95)) if poor and vouch else 0
+        got = quality.resample(spark, docs, labels).collect()
+        assert sorted(((r["doc_id"], round(r["log_weight"], 3)) for r in got), key=str) == sorted(((i, round(w, 3)) for i, w in want), key=str) or np.allclose(sorted(r["log_weight"] for r in got), sorted(w for _, w in want), atol=1e-4)
+        assert np.allclose(sorted(r["log_ratio"] for r in got), sorted(sum(full[g] for g in brute_grams(t)) for _, t in rows), atol=1e-4)
+        k = len(rows) - round(sum(w < cut - 1e-6 for _, w in want) * (1 - (1 - quality.DOUBT) ** len(vouch)))
+        ranked = sorted((r["gumbel_key"] for r in got), reverse=True)
+        assert sorted(r["gumbel_key"] for r in got if r["kept"]) == sorted(ranked[:k]), some
+        dropped[some] = len(rows) - k
+    assert dropped[0] == 0 and dropped[300] > 100
+    plain = quality.resample(spark, docs, labels, evidence=None).collect()
+    assert all(r["log_ratio"] == r["log_weight"] for r in plain)
+
+
 def test_gumbel_top_k_equals_a_sort(spark):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 7).cast("double").alias("w")).withColumn("key", F.col("w") + quality.gumbel(F.col("doc_id"), 1)).cache()
     every = sorted((r["key"] for r in df.collect()), reverse=True)
