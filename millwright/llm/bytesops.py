@@ -7,6 +7,7 @@ all documents of a bounded block at once, so no Python loop runs per word.
 
 from __future__ import annotations
 
+import hashlib
 import sys
 import types
 
@@ -16,7 +17,8 @@ import pyarrow as pa
 #: Blocks of whole documents are cut at about this many bytes of text; one longer document is its own block.
 BLOCK_BYTES = 512 * 1024
 _BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Words are hashed as polynomials over a prime field at two points (fixed values); longer ones than LONG_WORD bytes one by one.
+PRIME, POINTS, LONG_WORD = (1 << 31) - 1, (1_482_715_439, 893_256_713), 1 << 16
 
 
 def worker_cache() -> dict:
@@ -39,27 +41,19 @@ def multipliers(n: int, seed: int) -> np.ndarray:
     return mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_BASE) + np.uint64(seed)) | np.uint64(1)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers() -> list[np.ndarray]:
+    """The powers of both points, for every place in a word."""
     cache = worker_cache()
-    got = cache.get("powers")
-    if got is None or len(got[0]) < n:
-        size = max(n, BLOCK_BYTES + 1024)
-
-        def table(base: int) -> np.ndarray:
-            out = np.empty(size, np.uint64)
-            out[0] = 1
-            k = 1
-            while k < size:
-                step = np.uint64(pow(base, k, 1 << 64))
-                m = min(k, size - k)
-                out[k : k + m] = out[:m] * step
-                k += m
-            return out
-
-        got = (table(_BASE), table(_INVERSE))
-        if size <= 64 * BLOCK_BYTES:
-            cache["powers"] = got
-    return got
+    if "powers" not in cache:
+        out = []
+        for point in POINTS:
+            table, k = np.ones(LONG_WORD, np.uint64), 1
+            while k < LONG_WORD:
+                table[k : 2 * k] = table[:k] * np.uint64(pow(point, k, PRIME)) % np.uint64(PRIME)
+                k *= 2
+            out.append(table)
+        cache["powers"] = out
+    return cache["powers"]
 
 
 def column_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,21 +109,35 @@ class Words:
             after[-1], after[:-1] = True, ~inside[1:]
             before |= edge[:n]
             after |= edge[1:]
+        self.inside = inside
         self.starts = np.flatnonzero(inside & before)
         self.ends = np.flatnonzero(inside & after) + 1
         self.doc = np.searchsorted(offsets, self.starts, side="right") - 1
         self.counts = np.bincount(self.doc, minlength=self.docs).astype(np.int64)
 
     def hashes(self, lower: bool) -> np.ndarray:
-        """A 64-bit hash of each word; lower: A-Z count as a-z."""
-        n = len(self.data)
-        up, down = _powers(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        values = (_LOWER[self.data] if lower else self.data).astype(np.uint64)
-        values += np.uint64(1)
-        values *= up[:n]
-        np.cumsum(values, out=total[1:])
-        return mix64((total[self.ends] - total[self.starts]) * down[self.starts])
+        """A hash of each word; lower: A-Z count as a-z.
+
+        The value of the word's polynomial at two points of a field of 2**31 - 1
+        elements: two words of up to n bytes agree in both for at most the
+        share (n / 2**31)**2 of the pairs of points.
+        """
+        if not len(self.starts):
+            return np.empty(0, np.uint64)
+        sizes = self.ends - self.starts
+        first = np.r_[0, np.cumsum(sizes)][:-1]
+        letters = self.data[self.inside]
+        values = (_LOWER[letters] if lower else letters).astype(np.uint64) + np.uint64(1)
+        place = np.arange(len(values)) - np.repeat(first, sizes)
+        long = np.flatnonzero(sizes > LONG_WORD)
+        if len(long):
+            np.minimum(place, LONG_WORD - 1, out=place)
+        both = [np.add.reduceat(values * power[place], first) % np.uint64(PRIME) for power in _powers()]
+        out = mix64((both[0] << np.uint64(31)) | both[1])
+        for i in long:
+            own = letters[first[i] : first[i] + sizes[i]]
+            out[i] = int.from_bytes(hashlib.blake2b((_LOWER[own] if lower else own).tobytes(), digest_size=8).digest(), "big")
+        return out
 
 
 def sums(values: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:

@@ -8,8 +8,9 @@ and buckets are worked off as stars around one member, so no group of copies
 is ever expanded into its pairs.
 
 Defined results: null or wordless text has no shingles, links with nothing
-and is kept; rows that repeat a doc_id or a text are rows of one component;
-a null doc_id links by its text like any other, and its component is the
+and is kept; rows that repeat a text are rows of one component; rows that
+repeat a doc_id are each judged by their own text, so with different texts they
+may be in different components; a null doc_id links by its text like any other, and its component is the
 smallest non-null doc_id reachable, or null. Other columns are ignored.
 """
 
@@ -142,13 +143,11 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     while not edges.isEmpty():
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = scratch.table(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("up")))
-        if labels is None:
-            labels = parent.select("node", F.col("up").alias("root"))
-        else:
-            up = parent.withColumnRenamed("node", "root")
-            labels = scratch.table(labels.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")))
+        up = parent.select(F.col("node").alias("root"), "up")
+        before, labels = labels, scratch.table(parent.select("node", F.col("up").alias("root")) if labels is None else labels.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")))
         pa_, pb = parent.select(F.col("node").alias("a"), F.col("up").alias("ua")), parent.select(F.col("node").alias("b"), F.col("up").alias("ub"))
-        edges = scratch.table(edges.join(pa_, "a").join(pb, "b").where("ua <> ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct())
+        old, edges = edges, scratch.table(edges.join(pa_, "a").join(pb, "b").where("ua <> ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct())
+        scratch.drop(old, parent, *([] if before is None else [before]))
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
@@ -228,8 +227,10 @@ def _open_links(rooted: DataFrame, sets: DataFrame, similarity: int) -> DataFram
 
 
 def _grow(scratch: Scratch, links: DataFrame | None, more: DataFrame) -> tuple[DataFrame, DataFrame]:
-    links = scratch.table(more if links is None else links.unionByName(more))
-    return links, components(links, scratch)
+    grown = scratch.table(more if links is None else links.unionByName(more))
+    if links is not None:
+        scratch.drop(links)
+    return grown, components(grown, scratch)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: int = 75) -> DataFrame:
@@ -260,5 +261,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: int = 75)
     root = found.select("doc_id", "n_shingles", "node").join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root"))
     # written first, so that a component of many rows can be split in the join
     lowest = scratch.table(root.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("low")))
+    scratch.drop(classes, members, sets, links)  # the result reads found, labels and lowest only
     out = root.join(lowest, "root", "left").withColumn("component_id", F.coalesce("low", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
