@@ -9,9 +9,13 @@ abandoned. What survives gets its exact cosine in double precision on the
 original vectors.
 
 Equal vectors are one candidate with its few smallest ids, found by pieces
-before any shuffle, and one query; long lists are split into chunks of
-bounded size that are scanned apart. So neither a common vector nor a large
-cluster lands in one task.
+before any shuffle, and one query; long lists are split into chunks, and the
+queries that probe a list into parts, both of bounded size. A task scans one chunk
+for one part. So neither a common vector nor a large cluster lands in one task,
+nor do the queries of a much-asked list. A list of n vectors with q queries costs
+n * q comparisons of few dimensions however it is dealt; there are about the
+square root of the number of vectors lists, up to MAX_LISTS, past which (some 16
+million vectors) lists grow in proportion.
 
 A query whose lists hold fewer ids than wanted goes on to its next lists until
 it has enough or has scanned them all.
@@ -35,8 +39,8 @@ from pyspark.sql import functions as F
 from .store import Scratch
 
 NEIGHBOURS, EVERY = 5, 50
-#: Vectors that the centroids are fitted on and the probes measured on; lists; vectors of a chunk.
-SAMPLE, MAX_LISTS, CHUNK = 20000, 4096, 4096
+#: Vectors that the centroids are fitted on and the probes measured on; lists; vectors of a chunk; queries of a part.
+SAMPLE, MAX_LISTS, CHUNK, PART = 20000, 4096, 4096, 2048
 #: Recall on the sample that the number of scanned lists must reach, and the sample's queries.
 RECALL, TRIALS = 0.97, 256
 #: Column block, tile of rows, tile of queries, and the factor of the test.
@@ -65,7 +69,13 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors over the power of two that brings their largest component to 0.5 to 1, so that no square overflows or vanishes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0.0))[1][:, None])
+
+
 def _units(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
@@ -179,11 +189,11 @@ def probes_for(x: np.ndarray, c: np.ndarray, neighbours: int, recall: float = RE
 
 
 def _scanned(model, size: int, wanted: int):
-    """The best (query, vec_id, score) of each chunk of a list; rows of a chunk follow one another."""
+    """The best (query, vec_id, score) of each chunk of a list for each part of its queries; rows of one such pair follow one another."""
 
     def best(part: pa.Table) -> pa.RecordBatch:
         asks = part.column("asks").to_numpy()
-        x = _matrix(part.column("v").combine_chunks(), size)
+        x = _scaled(_matrix(part.column("v").combine_chunks(), size))
         turned, norms = _units(x) @ model.value[1].T, np.sqrt((x * x).sum(1))
         told, asked = np.flatnonzero(~asks), np.flatnonzero(asks)
         r, q = scan(turned[told], turned[asked], part.column("limit").to_numpy()[asked].copy(), wanted)
@@ -205,7 +215,7 @@ def _scanned(model, size: int, wanted: int):
         held, at = [], None
 
         for batch in batches:
-            where = np.stack([batch.column(k).to_numpy() for k in ("list", "chunk")], 1)
+            where = np.stack([batch.column(k).to_numpy() for k in ("list", "chunk", "part")], 1)
             cuts = np.r_[0, np.flatnonzero((where[1:] != where[:-1]).any(1)) + 1, len(where)] if len(where) else []
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if at is not None and at != tuple(where[a]):
@@ -249,17 +259,24 @@ def nearest(spark: SparkSession, vectors: DataFrame, neighbours: int = NEIGHBOUR
     asking = distinct.join(members.select("key").distinct(), "key", "left_semi").select("key", "v")
     probed = scratch.table(asking.mapInArrow(_listed(model, size, probes), f"key binary, v {kind}, lists array<int>"))
 
-    def scanned(asks: DataFrame) -> DataFrame:
-        """The best of each chunk for (list, key, v, limit)."""
-        ask = asks.join(chunks, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("asks"), "key", "v", F.lit(None).cast("array<bigint>").alias("ids"), "limit")
-        return ask.unionByName(told).repartition("list", "chunk").sortWithinPartitions("list", "chunk").mapInArrow(_scanned(model, size, wanted), "key binary, vec_id long, score double")
+    def scanned(asks: DataFrame, lists: DataFrame) -> DataFrame:
+        """The best of each chunk for (list, key, v, limit); lists has the list of each of them."""
+        parts = F.broadcast(lists.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / F.lit(PART)).cast("int").alias("parts")))  # at most MAX_LISTS rows
+        dealt = F.pmod(F.xxhash64("key", F.lit(1)), F.col("parts").cast("long")).cast("int").alias("part")
+        ask = asks.join(chunks, "list").join(parts, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), dealt, F.lit(True).alias("asks"), "key", "v", F.lit(None).cast("array<bigint>").alias("ids"), "limit")
+        tell = told.join(parts, "list").select("list", "chunk", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "asks", "key", "v", "ids", "limit")
+        at = ("list", "chunk", "part")
+        return ask.unionByName(tell).repartition(*at).sortWithinPartitions(*at).mapInArrow(_scanned(model, size, wanted), "key binary, vec_id long, score double")
+
+    def listed(rows: DataFrame, first: int, many: int) -> DataFrame:
+        return rows.select(F.explode(F.slice("lists", first, many)).alias("list"))
 
     # the nearest list comes first; its k-th distance is what the candidates of all other lists are tested against
-    near = scratch.table(scanned(probed.select(F.get("lists", F.lit(0)).alias("list"), "key", "v", F.lit(float("inf")).alias("limit"))))
+    near = scratch.table(scanned(probed.select(F.get("lists", F.lit(0)).alias("list"), "key", "v", F.lit(float("inf")).alias("limit")), listed(probed, 1, 1)))
     kth = near.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("score"), asc=False).alias("s"))
     limit = F.when(F.col("n") >= wanted, 2 - 2 * F.get("s", F.lit(wanted - 1)) + 1e-9)
     rest = probed.join(kth.select("key", limit.alias("limit")), "key", "left").select("key", "v", F.coalesce("limit", F.lit(float("inf"))).alias("limit"), F.explode(F.slice("lists", 2, max(1, probes - 1))).alias("list"))
-    found = near.unionByName(scanned(rest))
+    found = near.unionByName(scanned(rest, listed(probed, 2, max(1, probes - 1))))
     # queries whose lists held fewer ids than wanted go on to the next lists, twice as many each time
     seen = probes
     while seen < len(centres):
@@ -270,7 +287,7 @@ def nearest(spark: SparkSession, vectors: DataFrame, neighbours: int = NEIGHBOUR
             break
         more = scratch.table(short.mapInArrow(_listed(model, size, 2 * seen), f"key binary, v {kind}, lists array<int>"))
         asks = more.select("key", "v", F.lit(float("inf")).alias("limit"), F.explode(F.slice("lists", seen + 1, seen)).alias("list"))
-        found, seen = found.unionByName(scanned(asks)), 2 * seen
+        found, seen = found.unionByName(scanned(asks, listed(more, seen + 1, seen))), 2 * seen
     best = found.groupBy("key").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, wanted).alias("near"))
     out = members.join(best, "key").select("query_id", F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, neighbours).alias("near"))
     return out.select("query_id", F.posexplode("near").alias("r", "x")).select("query_id", (F.col("r") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))
