@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -16,9 +17,11 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset (a single machine, as in tests) a local folder."""
+    """spark.checkpoint.dir of the session; where it is unset on a single machine, as in tests, a local folder; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         found = "file://" + tempfile.mkdtemp(prefix="millwright-")
         spark.conf.set("spark.checkpoint.dir", found)
         weakref.finalize(spark.sparkContext, shutil.rmtree, found[7:], True)

@@ -115,6 +115,39 @@ def test_neighbours_of_few_and_none(spark):
     assert ann.nearest(spark, _vectors(spark, [(0, None)])).count() == 0
 
 
+def test_neighbours_of_tiny_and_huge_vectors(spark):
+    rng = random.Random(5)
+    base = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(120)]
+    rows = [(i, [x * (1e-200, 1.0, 1e200, 1e-300)[i % 4] for x in v]) for i, v in enumerate(base)]
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(spark, _vectors(spark, rows), recall=1.0).collect())
+    want = sorted(brute_nearest(list(enumerate(base))))
+    assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want], atol=1e-9)
+    few = ann.nearest(spark, _vectors(spark, [(0, [1e-200, 0.0]), (1, [1e200, 1e200]), (2, [0.0, 1e-308])])).collect()
+    assert [(r["vec_id"], round(r["score"], 9)) for r in few] == [(1, round(0.5**0.5, 9)), (2, 0.0)]
+
+
+def test_neighbours_in_small_chunks_and_parts(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(400)]
+    want = sorted(brute_nearest(rows, every=2))
+    monkeypatch.setattr(ann, "CHUNK", 16)
+    monkeypatch.setattr(ann, "PART", 8)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(spark, _vectors(spark, rows), every=2, recall=1.0).collect())
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert len({(g[0], g[2]) for g in got} & {(w[0], w[2]) for w in want}) >= 0.98 * len(want)
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace
+
+    from millwright.llm import store
+
+    conf = SimpleNamespace(get=lambda *a: None, set=lambda *a: None)
+    for master in ("spark://a:7077", "yarn", "local-cluster[2,1,1024]", "k8s://https://a"):
+        with pytest.raises(ValueError, match="shares"):
+            store.shared_folder(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getConf=lambda: conf)))
+
+
 def test_scan_abandons_only_what_is_far():
     rng = np.random.default_rng(1)
     x, q = ann._units(rng.standard_normal((2000, 64))), ann._units(rng.standard_normal((20, 64)))
