@@ -13,7 +13,9 @@ shorter one that is no worse. A line that matches is not searched inside, and a
 line or text that has the size of a template is judged as it stands, without
 windows inside it for that template; else every near miss would be cut down to
 a match. Of windows that overlap, n_segments counts the one that shares most
-with its template, unless it holds words of a line that counts already.
+with its template, unless it holds words of a line that counts already. A
+sentence that two licences share counts for the one it is listed under, until
+the rest of the text tells them apart.
 
 Defined results: null or empty text, and text without a matching segment,
 has null licence, score 0.0 and 0 segments; equal scores go to the smaller
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from .store import narrow
 
 THRESHOLD = 0.8
-#: Licence templates: short notices, and the permission texts of three short licences (fixed values).
+#: Licence templates: notices, identifiers, and the texts of short licences (fixed values).
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
@@ -49,6 +51,21 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("MIT", "SPDX-License-Identifier: MIT"),
+    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
 )
 
 
@@ -108,13 +125,18 @@ class Matcher:
                         break
                 if g in own and not (within and line[b + 1] == line[a]):
                     score = 2.0 * shared / (len(seen) + len(own))
-                    if score >= self.threshold and (best is None or score > best[0]):
+                    if score >= self.threshold and (best is None or score >= best[0]):  # a repeated bigram of the template belongs to it
                         best = (score, shared, a, b)
             if best:
                 yield best
 
     def __call__(self, text: str) -> tuple[list[tuple[float, str]], int]:
         """(score, name) of every match, and the number of matching segments."""
+        places, n = self.places(text)
+        return sorted({x[:2] for x in places}), n
+
+    def places(self, text: str) -> tuple[list[tuple[float, str, int, int]], int]:
+        """(score, name, first, last word) of every match, words of letters and digits counted from 0, and the number of matching segments."""
         lines = text.split("\n")
         words, line = [], []
         for n, own in enumerate(map(normalised, lines)):
@@ -133,13 +155,13 @@ class Matcher:
             a, b = bisect_left(line, own), bisect_right(line, own)
             got, judged[own] = self._compared(set(pairs[a : b - 1]))
             if got:
-                found += got
+                found += [(*x, a, b - 1) for x in got]
                 n += 1
                 matched.add(own)
         whole: list[int] = []
         if len(lines) > 1 and len(grams := set(pairs)) <= self.high:
             got, whole = self._compared(grams)
-            found += got
+            found += [(*x, 0, len(words) - 1) for x in got]
             n += bool(got)
         at: dict[int, list[int]] = {}
         for i in hits:
@@ -156,7 +178,7 @@ class Matcher:
             if (i == 0 or taken[i - 1][1] < a - 1) and (i == len(taken) or taken[i][0] > b + 1):
                 taken.insert(i, (a, b))
                 n += matched.isdisjoint(line[a : b + 2])  # else its line counts already
-        return sorted({*found, *((x[0], x[4]) for x in windows)}), n
+        return sorted({*found, *((x[0], x[4], x[2], x[3] + 1) for x in windows)}), n
 
 
 def _scanned(templates: tuple[tuple[str, str], ...], threshold: float):
@@ -171,6 +193,22 @@ def _scanned(templates: tuple[tuple[str, str], ...], threshold: float):
     return run
 
 
+def _placed(templates: tuple[tuple[str, str], ...], threshold: float):
+    def run(batches):
+        match = Matcher(templates, threshold)
+        for batch in batches:
+            rows = [(i, *x) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for x in match.places(t or "")[0]]
+            ids, scores, names, first, last = zip(*rows, strict=True) if rows else ((),) * 5
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(first, pa.int64()), pa.array(last, pa.int64())], names=["doc_id", "licence", "score", "first_word", "last_word"])
+
+    return run
+
+
+def spans(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, licence, score, first_word, last_word: one row for each match, overlapping ones included."""
+    return narrow(docs).mapInArrow(_placed(templates, threshold), "doc_id long, licence string, score double, first_word long, last_word long")
+
+
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, licence, score, n_segments: one row for each row of docs."""
     rows = narrow(docs).mapInArrow(_scanned(templates, threshold), "doc_id long, _f array<struct<score: double, name: string>>, n_segments long")

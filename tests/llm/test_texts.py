@@ -423,6 +423,21 @@ def test_wrapped_and_embedded_licences(spark):
     assert got[9000]["licence"] is None and got[9001]["licence"] is None
 
 
+def test_whole_licence_texts_and_their_spans(spark):
+    texts = dict(zip(("mit", "bsd2", "bsd3", "isc", "apache", "gpl2", "lgpl", "agpl", "mpl", "unlicense"), licenses.TEMPLATES[13:23], strict=True))
+    import textwrap
+
+    rows = [(i, "/*\n * " + "\n * ".join(textwrap.wrap(t, 60)) + "\n */\nint main(void) { return 0; }\n" + "\n".join([BASE] * 12 + [f"w{k} and" for k in range(300)])) for i, (_, t) in enumerate(texts.values())]
+    rows += [(100, f"# SPDX-License-Identifier: MIT\n{BASE}"), (101, f"{BASE} spdx license {BASE}"), (102, None)]
+    got = {r["doc_id"]: (r["licence"], r["score"]) for r in licenses.scan(frame(spark, rows)).collect()}
+    assert [got[i] for i in range(10)] == [(n, 1.0) for n, _ in texts.values()] and got[100] == ("MIT", 1.0) and got[101][0] is None
+    found = [r for r in licenses.spans(frame(spark, rows)).collect() if r["doc_id"] == 0]
+    best = max(found, key=lambda r: (r["score"], r["last_word"] - r["first_word"]))
+    words = licenses.normalised(rows[0][1])
+    assert words[best["first_word"] : best["last_word"] + 1] == licenses.normalised(texts["mit"][1])
+    assert licenses.spans(frame(spark, [])).count() == 0
+
+
 LANGS = {"en": "the quick brown fox jumps over the lazy dog and then it was gone with the wind ", "de": "der schnelle braune fuchs springt über den faulen hund und dann war er weg ", "fr": "le renard brun saute par dessus le chien paresseux et puis il était parti "}
 
 
