@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import shutil
+import tempfile
+import weakref
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +13,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session; where it is unset on a single machine a local folder; on a cluster that is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        found = "file://" + tempfile.mkdtemp(prefix="millwright-")
+        spark.conf.set("spark.checkpoint.dir", found)
+        weakref.finalize(spark.sparkContext, shutil.rmtree, found[7:], True)
+    return found.rstrip("/")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

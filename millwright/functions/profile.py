@@ -87,6 +87,11 @@ def kl_drift(p: DataFrame, q: DataFrame, column: str, bins: int = 10, eps: float
     return rows.crossJoin(F.broadcast(total)).agg(F.round(F.sum(pp * F.log(pp / qq)), 6).alias("kl"))  # one row of totals
 
 
+def kl_tables(p: DataFrame, q: DataFrame, columns: list[str], bins: int = 50, eps: float = 1e-10) -> float:
+    """The divergences of all columns of two tables added: how far the data of one has drifted from the other's."""
+    return round(sum(kl_drift(p, q, c, bins, eps).first()["kl"] or 0.0 for c in columns), 6)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

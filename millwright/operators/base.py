@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -32,6 +33,12 @@ def literal(value) -> Column:
     return F.lit(None).cast("double") if value is None else F.lit(float(value))
 
 
+def normal(row_id: str, seed: int) -> Column:
+    """A standard normal variate that follows from the row id, by Box and Muller's rule on two hashes."""
+    u = [(F.pmod(F.xxhash64(F.col(row_id).cast("string"), F.lit(seed), F.lit(k)), F.lit(1 << 52)) + F.lit(0.5)) / float(1 << 52) for k in (0, 1)]
+    return F.sqrt(-2 * F.log(u[0])) * F.cos(2 * math.pi * u[1])
+
+
 def every(conditions: list[Column]) -> Column:
     out = F.lit(True)
     for c in conditions:

@@ -103,7 +103,7 @@ def jaro_winkler(a: str, b: str) -> float:
     m = len(pa)
     if not m:
         return 0.0
-    t = sum(x != y for x, y in zip(pa, pb, strict=True)) / 2
+    t = sum(x != y for x, y in zip(pa, pb, strict=True)) // 2
     jaro = (m / len(a) + m / len(b) + (m - t) / m) / 3
     start = next((k for k in range(min(4, len(a), len(b))) if a[k] != b[k]), min(4, len(a), len(b)))
     return jaro + 0.1 * start * (1 - jaro) if jaro > 0.7 else jaro
@@ -121,19 +121,54 @@ def distance(kind: str) -> Column:
     return F.pandas_udf(each, "double")("a", "b")
 
 
+def _edit_candidates(values: DataFrame, threshold: float, kind: str) -> DataFrame:
+    """(k1, k2): pairs of values (k, s) that a number of edits below the limit can join, and few others.
+
+    A value of length n is cut into 2 * (d + 1) segments, d being the segments
+    that the allowed edits can spoil (one an edit, two where an edit swaps
+    neighbours). Of any d + 1 segments one then stands unspoilt in the other
+    value, shifted by no more than the edits: the rarest ones are looked up
+    there. The shorter value is cut, the longer one is searched.
+    """
+    t, spoil = float(threshold), 2 if kind == "dl" else 1
+    # the longest partner of a value of length n, and the edits that the limit with it allows
+    edits = lambda n: F.ceil(F.greatest((F.ceil(n * (1 + t / 2) / (1 - t)) + n / 2) * t, F.lit(0.0)) + 1e-9).cast("int") - 1
+    parts = lambda n: 2 * (spoil * edits(n) + 1)
+    bound = lambda n, m, i: F.floor(i * n / m).cast("int")
+    sized = values.where(F.length("s") > 0).select("k", "s", F.length("s").alias("n"))
+    cut = sized.withColumns({"m": parts(F.col("n"))}).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    cut = cut.withColumn("from", bound(F.col("n"), F.col("m"), F.col("i")))
+    cut = cut.withColumn("w", F.substr("s", F.col("from") + 1, bound(F.col("n"), F.col("m"), F.col("i") + 1) - F.col("from")))
+    common = cut.groupBy("n", "i", "w").agg(F.count(F.lit(1)).alias("df"))
+    rare = F.row_number().over(Window.partitionBy("k").orderBy("df", "i"))
+    kept = cut.join(common, ["n", "i", "w"]).withColumn("r", rare).where(F.col("r") <= F.col("m") / 2).select(F.col("k").alias("k1"), "n", "i", "w")
+    shortest = F.greatest(F.floor(F.col("n") * (1 - t) / (1 + t / 2)).cast("int"), F.lit(1))
+    look = sized.select("k", "s", F.col("n").alias("own"), F.explode(F.sequence(shortest, F.col("n"))).alias("n"))
+    look = look.withColumns({"m": parts(F.col("n")), "e": edits(F.col("n"))}).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    look = look.withColumns({"from": bound(F.col("n"), F.col("m"), F.col("i")), "len": bound(F.col("n"), F.col("m"), F.col("i") + 1) - bound(F.col("n"), F.col("m"), F.col("i"))})
+    look = look.withColumn("at", F.explode(F.sequence(F.greatest(F.col("from") - F.col("e"), F.lit(0)), F.greatest(F.col("from") - F.col("e"), F.lit(0), F.least(F.col("from") + F.col("e"), F.col("own") - F.col("len"))))))
+    look = look.select(F.col("k").alias("k2"), "n", "i", F.substr("s", F.col("at") + 1, F.col("len")).alias("w")).distinct()
+    return kept.join(look, ["n", "i", "w"]).where("k1 <> k2").select("k1", "k2").distinct()
+
+
 def edit_duplicates(df: DataFrame, key: str, column: str, threshold: float = 0.1, kind: str = "lm", blocks: int | None = None) -> DataFrame:
-    """Keys of rows within (len(a) + len(b) / 2) * threshold of a row of smaller key; every row asks all, block by block.
+    """Keys of rows within (len(a) + len(b) / 2) * threshold of a row a of smaller key; equal values meet first.
 
-    Edit distances have no index that a threshold of this form could use, so
-    this is the operator for tables of names; equal values meet first.
+    lm and dl below a threshold of 0.4: only pairs that share a rare segment
+    are measured. jw, and larger thresholds, bound nothing that could be
+    looked up: there every value asks all, block by block.
     """
     rows = df.select(F.col(key).alias("k"), F.col(column).alias("s")).where("s is not null")
     values = rows.groupBy("s").agg(F.min("k").alias("k"))
-    nb = blocks or max(1, -(-values.count() // 4096))
-    told = values.select(F.pmod(F.xxhash64("s"), F.lit(nb)).alias("_b"), F.col("k").alias("ka"), F.col("s").alias("a"))
-    ask = values.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nb - 1).cast("long"))).alias("_b"), F.col("k").alias("kb"), F.col("s").alias("b"))
     limit = (F.length("a") + F.length("b") / 2) * threshold
-    near = told.join(ask, "_b").where(F.col("ka") < F.col("kb"))
+    if kind in ("lm", "dl") and threshold < 0.4:
+        pair = _edit_candidates(values, threshold, kind).select(F.least("k1", "k2").alias("ka"), F.greatest("k1", "k2").alias("kb")).distinct()
+        near = pair.join(values.select(F.col("k").alias("ka"), F.col("s").alias("a")), "ka").join(values.select(F.col("k").alias("kb"), F.col("s").alias("b")), "kb")
+    else:
+        nb = blocks or max(1, -(-values.count() // 4096))
+        told = values.select(F.pmod(F.xxhash64("s"), F.lit(nb)).alias("_b"), F.col("k").alias("ka"), F.col("s").alias("a"))
+        ask = values.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nb - 1).cast("long"))).alias("_b"), F.col("k").alias("kb"), F.col("s").alias("b"))
+        near = told.join(ask, "_b").where(F.col("ka") < F.col("kb"))
     if kind in ("lm", "dl"):
         near = near.where(F.abs(F.length("a") - F.length("b")) < limit)
     hit = near.withColumn("_d", distance(kind)).where(F.col("_d") < limit).select("ka", "kb")

@@ -110,6 +110,18 @@ def similarities(candidates: DataFrame, left: DataFrame, right: DataFrame, key1:
     return full.select(*candidates.columns, (sum(sims[1:], sims[0]) / len(sims)).alias("sim"))
 
 
+def cached_similarities(candidates: DataFrame, left: DataFrame, right: DataFrame, key1: str, key2: str, columns: list[tuple[str, str]], path: str) -> DataFrame:
+    """similarities() through a table of pairs already compared: known pairs are read, the others are compared and added to it."""
+    spark = candidates.sparkSession
+    schema = spark.range(0).join(candidates.select("id1", "id2").limit(0), F.lit(True)).select("id1", "id2", F.lit(0.0).alias("sim")).schema
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    known = spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+    new = candidates.select("id1", "id2").distinct().join(known, ["id1", "id2"], "left_anti")
+    similarities(new, left, right, key1, key2, columns).write.mode("append").parquet(path)
+    return candidates.join(spark.read.schema(schema).parquet(path), ["id1", "id2"])
+
+
 def match(scored: DataFrame, theta: float = 0.75) -> DataFrame:
     return scored.where(F.col("sim") >= theta)
 

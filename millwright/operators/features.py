@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..data import Roles, numeric_columns, text_columns
+from ..functions.profile import f_tail
 from ..functions.quantiles import quantiles
 from .base import Fitted, columnwise, step
 
@@ -87,6 +88,18 @@ def f_regression(df: DataFrame, target: str, columns: list[str]) -> dict[str, fl
     return out
 
 
+def anova_chance(df: DataFrame, target: str, column: str) -> float:
+    """The chance of an F of the column by the target's classes at least as large as the one found."""
+    g = df.where(F.col(target).isNotNull() & F.col(column).isNotNull()).groupBy(target).agg(F.count(F.lit(1)).alias("n"), F.avg(column).alias("m"), F.var_pop(column).alias("v"))
+    t = g.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("n") * F.col("m")).alias("s"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("q"), F.sum(F.col("n") * F.col("v")).alias("w")).first()
+    if not t["n"] or t["k"] < 2 or t["n"] <= t["k"]:
+        return 1.0
+    between = max(0.0, t["q"] - t["s"] ** 2 / t["n"])
+    if not t["w"]:
+        return 0.0 if between else 1.0
+    return f_tail(between / (t["k"] - 1) / (t["w"] / (t["n"] - t["k"])), t["k"] - 1, t["n"] - t["k"])
+
+
 def mutual_information(df: DataFrame, target: str, columns: list[str], bins: int = 10) -> dict[str, float]:
     """Mutual information in nats between each column's quantile bins and the target's values (its bins, if it has many)."""
     edges = quantiles(df, [c for c in (*columns, target) if c in numeric_columns(df)], [i / bins for i in range(1, bins)])
@@ -106,9 +119,9 @@ def mutual_information(df: DataFrame, target: str, columns: list[str], bins: int
     return out
 
 
-@step("fselection", "none", "variance_off", "variance", "mutual_info", "missing_ratio", "collinear", "chi2", "f_regression", "spread")
+@step("fselection", "none", "variance_off", "variance", "mutual_info", "missing_ratio", "collinear", "chi2", "f_regression", "spread", "fpr")
 def select(df: DataFrame, roles: Roles = Roles(), strategy: str = "none", threshold: float | None = None, share: float = 1.0, k: int | None = None) -> Fitted:
-    """Drops numeric features: variance (> threshold, default 0.01), mutual_info / chi2 / f_regression (best share or k), missing_ratio (> threshold of all columns), collinear (the later of each pair over the threshold), spread (deviation below a percentile). variance_off keeps all, as the source operator does."""
+    """Drops numeric features: variance (> threshold, default 0.01), mutual_info / chi2 / f_regression (best share or k), fpr (analysis of variance by class with a chance below the threshold, default 0.05), missing_ratio (> threshold of all columns), collinear (the later of each pair over the threshold), spread (deviation below a percentile). variance_off keeps all, as the source operator does."""
     names = numeric_columns(df, roles)
     dropped: list[str] = []
     scores: dict = {}
@@ -127,6 +140,9 @@ def select(df: DataFrame, roles: Roles = Roles(), strategy: str = "none", thresh
         scores = {c: row[c] or 0.0 for c in names}
         limit = float(np.percentile(list(scores.values()), threshold or 0)) if scores else 0.0
         dropped = [c for c in names if scores[c] < limit]
+    elif strategy == "fpr":
+        scores = {c: anova_chance(df, roles.target, c) for c in names}
+        dropped = [c for c in names if not scores[c] < (0.05 if threshold is None else threshold)]
     elif strategy in ("mutual_info", "chi2", "f_regression"):
         if strategy == "chi2":
             low = df.agg(*(F.min(c).alias(c) for c in names)).first()
@@ -137,10 +153,10 @@ def select(df: DataFrame, roles: Roles = Roles(), strategy: str = "none", thresh
     return Fitted(lambda d: d.drop(*dropped), {"dropped": dropped, "scores": scores})
 
 
-@step("fselection", "svc", "tree", "l1")
+@step("fselection", "svc", "tree", "l1", "imp")
 def select_by_model(df: DataFrame, roles: Roles, strategy: str = "tree", share: float = 0.8) -> Fitted:
-    """The features of largest importance (tree) or coefficient (svc, l1)."""
-    from pyspark.ml.classification import LinearSVC, RandomForestClassifier
+    """The features of largest importance (tree, imp: gradient-boosted trees) or coefficient (svc, l1)."""
+    from pyspark.ml.classification import GBTClassifier, LinearSVC, RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
 
@@ -148,6 +164,8 @@ def select_by_model(df: DataFrame, roles: Roles, strategy: str = "tree", share:
     data = VectorAssembler(inputCols=names, outputCol="features").transform(df.dropna(subset=[*names, roles.target]))
     if strategy == "tree":
         weight = RandomForestClassifier(labelCol=roles.target, numTrees=20, seed=42).fit(data).featureImportances.toArray()
+    elif strategy == "imp":
+        weight = GBTClassifier(labelCol=roles.target, maxIter=10, seed=42).fit(data).featureImportances.toArray()
     elif strategy == "svc":
         weight = LinearSVC(labelCol=roles.target, maxIter=30).fit(data).coefficients.toArray()
     else:
@@ -267,9 +285,43 @@ def _sparse_axes(cov: np.ndarray, k: int, penalty: float, rounds: int = 200) ->
     return np.array(out)
 
 
+def _online_axes(moments: list[np.ndarray], k: int, penalty: float, passes: int = 20) -> np.ndarray:
+    """Sparse axes by one soft-thresholded step on each part's second moments in turn, with steps that grow smaller."""
+    total = sum(moments) / len(moments)
+    v = np.linalg.eigh(total)[1][:, ::-1][:, :k].T.copy()
+    seen = 0
+    for _ in range(passes):
+        for part in moments:
+            seen += 1
+            for i in range(k):
+                w = part @ v[i]
+                for j in range(i):  # apart from the axes before it
+                    w -= (v[j] @ w) * v[j]
+                w = np.sign(w) * np.maximum(np.abs(w) - penalty * np.abs(w).max(), 0)
+                if (size := np.linalg.norm(w)) > 0:
+                    w = v[i] + (w / size * np.sign(w @ v[i] or 1.0) - v[i]) / np.sqrt(seen)
+                    v[i] = w / max(np.linalg.norm(w), 1e-12)
+    small = np.abs(v) < penalty * np.abs(v).max(1, keepdims=True)
+    v[small] = 0.0
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def _moments_by_part(rows: DataFrame, columns: list[str], batches: int) -> list[np.ndarray]:
+    """Second moments of the standardised columns in each of a number of parts, from one aggregation."""
+    pairs = list(itertools.combinations_with_replacement(range(len(columns)), 2))
+    part = F.pmod(F.xxhash64(*columns), F.lit(batches))
+    out = []
+    for r in rows.groupBy(part.alias("_part")).agg(*(F.avg(F.col(columns[i]) * F.col(columns[j])).alias(f"p{n}") for n, (i, j) in enumerate(pairs))).orderBy("_part").collect():  # at most `batches` rows
+        m = np.zeros((len(columns), len(columns)))
+        for n, (i, j) in enumerate(pairs):
+            m[i, j] = m[j, i] = r[f"p{n}"]
+        out.append(m)
+    return out
+
+
 @step("poly_pca", "none", "poly", "pca", "sparsepca", "minibatchsparsepca", "kernelpca")
-def reduce(df: DataFrame, roles: Roles = Roles(), strategy: str = "pca", k: int = 3, columns: list[str] | None = None, penalty: float = 0.1, landmarks: int = 256, gamma: float | None = None) -> Fitted:
-    """Degree-two expansion, then principal axes of the standardised terms (pc0 ..); the moment matrix is one aggregation. kernelpca: radial kernel on at most `landmarks` distinct rows, each weighted by the number of rows nearest to it."""
+def reduce(df: DataFrame, roles: Roles = Roles(), strategy: str = "pca", k: int = 3, columns: list[str] | None = None, penalty: float = 0.1, landmarks: int = 256, gamma: float | None = None, batches: int = 16) -> Fitted:
+    """Degree-two expansion, then principal axes of the standardised terms (pc0 ..); the moment matrix is one aggregation. kernelpca: centred radial kernel on at most `landmarks` distinct rows, each weighted by the number of rows nearest to it; exact for a table of no more distinct rows. minibatchsparsepca: online steps over `batches` parts of the rows, dealt by a hash of their values."""
     names = columns or numeric_columns(df, roles)
     if strategy == "none":
         return Fitted(lambda d: d)
@@ -297,8 +349,11 @@ def reduce(df: DataFrame, roles: Roles = Roles(), strategy: str = "pca", k: int
         weight = np.zeros(len(z))
         for r in distinct.groupBy(F.pandas_udf(nearest, "int")(*terms).alias("i")).agg(F.sum("_n").alias("n")).collect():  # at most `landmarks` rows
             weight[r["i"]] = r["n"]
-        root = np.sqrt(weight)
-        gram = root[:, None] * np.exp(-g * ((z[:, None, :] - z[None, :, :]) ** 2).sum(2)) * root[None, :]
+        root, weight = np.sqrt(weight), weight / max(1.0, weight.sum())
+        plain = np.exp(-g * ((z[:, None, :] - z[None, :, :]) ** 2).sum(2))
+        # centred in the kernel's space about the mean of all rows
+        mean_of = plain @ weight
+        gram = root[:, None] * (plain - mean_of[:, None] - mean_of[None, :] + weight @ mean_of) * root[None, :]
         value, vector = np.linalg.eigh(gram)
         axes = root[:, None] * vector[:, ::-1][:, :k] / np.sqrt(np.maximum(value[::-1][:k], 1e-12))
 
@@ -307,12 +362,18 @@ def reduce(df: DataFrame, roles: Roles = Roles(), strategy: str = "pca", k: int
 
             x = np.column_stack([c.to_numpy(float) for c in cols])
             d = (x * x).sum(1)[:, None] + (z * z).sum(1)[None, :] - 2 * x @ z.T
-            return pd.Series(list(np.exp(-g * np.maximum(d, 0)) @ axes))
+            near = np.exp(-g * np.maximum(d, 0))
+            return pd.Series(list((near - (near @ weight)[:, None] - mean_of[None, :] + weight @ mean_of) @ axes))
 
         vec = F.pandas_udf(project, "array<double>")(*unit)
         return Fitted(lambda d: d.withColumn("_pc", vec).withColumns({f"pc{i}": F.get("_pc", F.lit(i)) for i in range(k)}).drop("_pc", *names))
     corr = cov / np.outer(scale, scale)
-    axes = np.linalg.eigh(corr)[1][:, ::-1][:, :k].T if strategy == "pca" else _sparse_axes(corr, k, penalty)
+    if strategy == "minibatchsparsepca":
+        standard = df.select(*(x.alias(f"_s{i}") for i, x in enumerate(unit))).dropna()
+        parts = _moments_by_part(standard, standard.columns, batches)
+        axes = _online_axes(parts, k, penalty) if parts else np.eye(len(terms))[:k]
+    else:
+        axes = np.linalg.eigh(corr)[1][:, ::-1][:, :k].T if strategy == "pca" else _sparse_axes(corr, k, penalty)
     axes = axes * np.where(axes[np.arange(k), np.abs(axes).argmax(1)] < 0, -1.0, 1.0)[:, None]
     out = {f"pc{i}": sum((F.lit(float(a)) * x for a, x in zip(axes[i], unit, strict=True)), F.lit(0.0)) for i in range(k)}
     return Fitted(lambda d: d.withColumns(out).drop(*names), {"axes": axes.tolist()})

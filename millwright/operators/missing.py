@@ -9,13 +9,12 @@ from pyspark.sql import functions as F
 from ..data import Roles, numeric_columns, text_columns, without_nan
 from ..functions.knn import nearest_rows
 from ..functions.quantiles import quantiles
-from .base import Fitted, columnwise, identity, literal, step
+from .base import Fitted, columnwise, identity, literal, normal, step
 
 #: Numbers that stand for "not recorded" (fixed values).
 SENTINELS = (-999, -9999, 999, 9999, 99999)
 #: Texts that stand for "not recorded", whatever their case (fixed values).
 TOKENS = (r"\s*", "na", "n/a", "none", "null", "nan", "unknown", "missing", r"\?")
-NEIGHBOURS = (1, 5, 10, 15, 20, 30)
 
 
 def means(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
@@ -23,11 +22,17 @@ def means(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
 
 
 def modes(df: DataFrame, columns: list[str]) -> dict:
-    """The most frequent non-null value of each column; ties go to the smallest."""
-    out = {}
+    """The most frequent non-null value of each column; ties go to the smallest. All columns of a type share one pass over (column, value) counts."""
+    kinds: dict[str, list[str]] = {}
     for c in columns:
-        row = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), c).limit(1).collect()
-        out[c] = row[0][c] if row else None
+        kinds.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
+    out: dict = dict.fromkeys(columns)
+    for names in kinds.values():
+        cells = F.explode(F.array(*(F.struct(F.lit(i).alias("c"), F.col(c).alias("v")) for i, c in enumerate(names))))
+        counted = df.select(cells.alias("x")).select("x.c", "x.v").where("v is not null").groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+        top = counted.groupBy("c").agg(F.max("n").alias("n"))
+        for r in counted.join(top, ["c", "n"]).groupBy("c").agg(F.min("v").alias("v")).collect():  # a row for each column
+            out[names[r["c"]]] = r["v"]
     return out
 
 
@@ -60,9 +65,10 @@ def impute(df: DataFrame, roles: Roles = Roles(), strategy: str = "mean", column
 
 @step("missing_value", "rand")
 def impute_normal(df: DataFrame, roles: Roles = Roles(), columns: list[str] | None = None, seed: int = 42) -> Fitted:
-    """Fills numbers with standard normal draws."""
+    """Fills numbers with standard normal draws that follow from the row id (without one, from the partition)."""
     names = columns or numeric_columns(df, roles)
-    return Fitted(columnwise({c: F.coalesce(c, F.randn(seed + k)) for k, c in enumerate(names)}))
+    draw = lambda k: normal(roles.row_id, seed + k) if roles.row_id else F.randn(seed + k)
+    return Fitted(columnwise({c: F.coalesce(c, draw(k)) for k, c in enumerate(names)}))
 
 
 @step("missing_value", "knn", "knn_weighted")
@@ -93,28 +99,59 @@ def impute_knn(df: DataFrame, roles: Roles, strategy: str = "knn", k: int = 5, c
     return Fitted(apply, average)
 
 
-@step("missing_value", "mice", "em")
+def _given(mean: np.ndarray, cov: np.ndarray, i: int) -> tuple[float, np.ndarray, float]:
+    """Intercept, slopes and residual variance of column i given the others."""
+    rest = [j for j in range(len(mean)) if j != i]
+    beta = np.linalg.lstsq(cov[np.ix_(rest, rest)], cov[rest, i], rcond=None)[0] if rest else np.zeros(0)
+    return float(mean[i] - beta @ mean[rest]), beta, float(max(0.0, cov[i, i] - beta @ cov[rest, i]))
+
+
+@step("missing_value", "mice", "em", "iterative")
 def impute_chained(df: DataFrame, roles: Roles = Roles(), strategy: str = "mice", columns: list[str] | None = None, rounds: int = 5) -> Fitted:
-    """Linear regressions of each column on the others, from one moment matrix a round; em: until the moments settle."""
+    """Linear regressions of each column on the others, which have their values of the round before where they miss one.
+
+    A round is one aggregation of moments; em runs until the moments settle and
+    adds the variance that a filled cell lacks to its column's. The rounds are
+    expressions over expressions, so their number is bounded by `rounds`
+    (em: four times as many) and a round starts from the last one's values.
+    """
     df = without_nan(df)
     names = columns or numeric_columns(df, roles)
-    fills: dict[str, Column] = {c: literal(m) for c, m in means(df, names).items()}
-    last = None
-    for _ in range(rounds if strategy == "mice" else 4 * rounds):
-        full = df.select(*(F.coalesce(c, fills[c]).alias(c) for c in names))
-        row = full.agg(*(F.avg(c) for c in names), *(F.covar_pop(a, b) for a in names for b in names)).first()
-        mean, cov = np.array(row[: len(names)], float), np.array(row[len(names) :], float).reshape(len(names), -1)
-        new = {}
-        for i, c in enumerate(names):
-            rest = [j for j in range(len(names)) if j != i]
-            beta = np.linalg.lstsq(cov[np.ix_(rest, rest)], cov[rest, i], rcond=None)[0] if rest else np.zeros(0)
-            base = [F.coalesce(names[j], F.lit(float(mean[j]))) for j in rest]
-            new[c] = F.lit(float(mean[i] - beta @ mean[rest])) + sum((F.lit(float(b)) * x for b, x in zip(beta, base, strict=True)), F.lit(0.0))
-        fills = new
+    average = means(df, names)
+    steps: list[list[tuple[float, np.ndarray]]] = []
+
+    def filled(d: DataFrame) -> DataFrame:
+        """All columns as _v<i>, filled by the rounds so far."""
+        d = d.withColumns({f"_v{i}": F.coalesce(F.col(c).cast("double"), literal(average[c])) for i, c in enumerate(names)})
+        for fits in steps:
+            new = {}
+            for i, (base, beta) in enumerate(fits):
+                rest = [j for j in range(len(names)) if j != i]
+                value = F.lit(base) + sum((F.lit(float(b)) * F.col(f"_v{j}") for b, j in zip(beta, rest, strict=True)), F.lit(0.0))
+                new[f"_v{i}"] = F.coalesce(F.col(names[i]).cast("double"), value)
+            d = d.withColumns(new)
+        return d
+
+    last, lacking = None, np.zeros(len(names))
+    for _ in range(rounds if strategy != "em" else 4 * rounds):
+        full = filled(df)
+        row = full.agg(*(F.avg(f"_v{i}") for i in range(len(names))), *(F.covar_pop(f"_v{i}", f"_v{j}") for i in range(len(names)) for j in range(len(names))), *(F.avg(F.col(c).isNull().cast("double")) for c in names)).first()
+        n = len(names)
+        mean, cov, gaps = np.array(row[:n], float), np.array(row[n : n + n * n], float).reshape(n, n), np.array(row[n + n * n :], float)
+        if strategy == "em":
+            cov = cov + np.diag(gaps * lacking)  # filled cells lie on the regression; their spread about it is put back
+        fits = [_given(mean, cov, i) for i in range(n)]
+        lacking = np.array([f[2] for f in fits])
+        steps.append([(f[0], f[1]) for f in fits])
         if strategy == "em" and last is not None and np.allclose(mean, last, rtol=1e-9):
             break
         last = mean
-    return Fitted(lambda d: without_nan(d).select(*(F.coalesce(c, fills[c]).alias(c) if c in fills else c for c in d.columns)))
+
+    def apply(d: DataFrame) -> DataFrame:
+        own = filled(without_nan(d))
+        return own.select(*(F.coalesce(c, f"_v{names.index(c)}").alias(c) if c in names else F.col(c) for c in d.columns))
+
+    return Fitted(apply)
 
 
 def valid_number(column: str) -> Column:

@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..data import Roles, numeric_columns
+from ..functions.graph import components
 from ..functions.profile import utility
+from ..functions.quantiles import quantiles
 from .features import moment_matrix
 
-FAMILIES = ("lr", "nb", "rf", "dt", "svm", "nn", "reg", "lasso")
+#: mnb: multinomial naive Bayes on numbers of 0 or more; mars: a lasso on hinges at the quartiles of each number.
+FAMILIES = ("lr", "nb", "mnb", "rf", "dt", "svm", "nn", "reg", "lasso", "mars")
 
 
 def _estimator(family: str, label: str, width: int, classes: int, seed: int):
@@ -22,6 +25,8 @@ def _estimator(family: str, label: str, width: int, classes: int, seed: int):
     return {
         "lr": lambda: C.LogisticRegression(labelCol=label, maxIter=50),
         "nb": lambda: C.NaiveBayes(labelCol=label, modelType="gaussian"),
+        "mnb": lambda: C.NaiveBayes(labelCol=label, modelType="multinomial"),
+        "mars": lambda: R.LinearRegression(labelCol=label, elasticNetParam=1.0, regParam=0.001),
         "rf": lambda: C.RandomForestClassifier(labelCol=label, numTrees=20, seed=seed),
         "dt": lambda: C.DecisionTreeClassifier(labelCol=label, seed=seed),
         "svm": lambda: C.LinearSVC(labelCol=label, maxIter=30),
@@ -36,10 +41,15 @@ def predict(df: DataFrame, roles: Roles, family: str = "lr", train: DataFrame |
     from pyspark.ml.feature import VectorAssembler
 
     features = numeric_columns(df, roles)
-    build = VectorAssembler(inputCols=features, outputCol="_features")
-    ready = lambda d: build.transform(d.dropna(subset=[*features, roles.target]).withColumn("_label", F.col(roles.target).cast("double")))
+    bent: dict = {}
+    if family == "mars":
+        for c, knots in quantiles(df if train is None else train, features, [0.25, 0.5, 0.75]).items():
+            for i, q in enumerate(sorted({q for q in knots if q is not None})):
+                bent |= {f"_up_{c}_{i}": F.greatest(F.col(c) - q, F.lit(0.0)), f"_down_{c}_{i}": F.greatest(q - F.col(c), F.lit(0.0))}
+    build = VectorAssembler(inputCols=list(bent) or features, outputCol="_features")
+    ready = lambda d: build.transform(d.dropna(subset=[*features, roles.target]).withColumns(bent | {"_label": F.col(roles.target).cast("double")}))
     data, fit_on = ready(df), ready(df if train is None else train)
-    classes = 0 if family in ("reg", "lasso") else int(fit_on.agg(F.max("_label")).first()[0]) + 1
+    classes = 0 if family in ("reg", "lasso", "mars") else int(fit_on.agg(F.max("_label")).first()[0]) + 1
     model = _estimator(family, "_label", len(features), classes, seed).setFeaturesCol("_features").fit(fit_on)
     return model.transform(data).select(*df.columns, "prediction")
 
@@ -49,6 +59,12 @@ def evaluate(df: DataFrame, roles: Roles, family: str = "lr", metric: str = "acc
     return utility(predict(df, roles, family, train), metric, roles.target, "prediction", roles.sensitive)
 
 
+def cross_validate(df: DataFrame, roles: Roles, family: str = "lr", metric: str = "accuracy_score", folds: int = 5, seed: int = 42) -> list[float]:
+    """The utility on each of a number of held-out parts, dealt by a hash of the row id, of models fitted on the others."""
+    part = F.pmod(F.xxhash64(F.col(roles.row_id).cast("string"), F.lit(seed)), F.lit(folds))
+    return [evaluate(df.where(part == k), roles, family, metric, train=df.where(part != k)) for k in range(folds)]
+
+
 def least_squares(df: DataFrame, features: list[str], target: str, ridge: float = 0.0) -> tuple[float, dict[str, float]]:
     """Intercept and coefficients from one aggregation of moments."""
     mean, cov, _ = moment_matrix(df, [*features, target])
@@ -158,8 +174,8 @@ def dbscan(df: DataFrame, key: str, columns: list[str], eps: float, least: int)
     """(key, cluster): density clusters; the cluster is the smallest core key, -1 is noise.
 
     Rows meet through a grid of cells of side eps, so only neighbouring cells
-    are joined; the labels of core rows spread to their neighbours by rounds
-    of minima until none changes.
+    are joined; linked core rows become components by contraction, in a number
+    of rounds that grows with the logarithm of a cluster's diameter.
     """
     cells = [F.floor(F.col(c) / eps).cast("long") for c in columns]
     rows = df.select(F.col(key).alias("id"), *(F.col(c).cast("double").alias(c) for c in columns), F.array(*cells).alias("_cell")).dropna(subset=columns)
@@ -167,17 +183,10 @@ def dbscan(df: DataFrame, key: str, columns: list[str], eps: float, least: int)
     a = rows.select(F.col("id").alias("a"), *(F.col(c).alias(f"_a{i}") for i, c in enumerate(columns)), F.explode(around).alias("_cell"))
     b = rows.select(F.col("id").alias("b"), *(F.col(c).alias(f"_b{i}") for i, c in enumerate(columns)), "_cell")
     square = sum(((F.col(f"_a{i}") - F.col(f"_b{i}")) ** 2 for i in range(len(columns))), F.lit(0.0))
-    near = a.join(b, "_cell").where(square <= eps * eps).select("a", "b").cache()
-    core = near.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select(F.col("a").alias("core"))
-    links = near.join(core, F.col("a") == F.col("core"), "left_semi").cache()
-    inner = links.join(core, F.col("b") == F.col("core"), "left_semi")
-    label = core.select(F.col("core").alias("id"), F.col("core").alias("cluster"))
-    while True:
-        low = inner.join(label, F.col("a") == F.col("id")).groupBy(F.col("b").alias("id")).agg(F.min("cluster").alias("low"))
-        new = label.join(low, "id").select("id", F.least("cluster", "low").alias("cluster"))
-        new = new.checkpoint(True) if df.sparkSession.sparkContext.getCheckpointDir() else new.cache()
-        if new.join(label.withColumnRenamed("cluster", "old"), "id").where("cluster <> old").isEmpty():
-            break
-        label = new
+    near = a.join(b, "_cell").where(square <= eps * eps).select("a", "b")
+    core = near.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select(F.col("a").alias("id"))
+    links = near.join(core, F.col("a") == F.col("id"), "left_semi")
+    inner = links.join(core, F.col("b") == F.col("id"), "left_semi")
+    label = components(inner, core).withColumnRenamed("root", "cluster")
     border = links.join(label, F.col("a") == F.col("id")).groupBy(F.col("b").alias("id")).agg(F.min("cluster").alias("cluster"))
     return rows.select("id").join(border, "id", "left").select(F.col("id").alias(key), F.coalesce("cluster", F.lit(-1)).alias("cluster"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..data import Roles, numeric_columns, text_columns
 from ..functions.quantiles import quantiles
+from .base import normal
 from .missing import SENTINELS
 from .sampling import lot
 
@@ -68,22 +70,40 @@ def duplicate_rows(df: DataFrame, roles: Roles, fraction: float = 0.1, seed: int
 def floating_point(df: DataFrame, roles: Roles, scale: float = 1e-9, seed: int = 42) -> DataFrame:
     """Normal noise on numbers with a fractional part."""
     names = [f.name for f in df.schema.fields if f.dataType.simpleString() in ("double", "float") and f.name not in roles.kept_out()]
-    return df.withColumns({c: F.when(F.col(c) != F.floor(c), F.col(c) + F.randn(seed + i) * scale).otherwise(F.col(c)) for i, c in enumerate(names)})
-
-
-def distribution_shape(df: DataFrame, roles: Roles, kind: str = "exp", columns: list[str] | None = None) -> DataFrame:
-    """Warps standardised columns (exp, neg_exp, heavy) and brings mean and deviation back."""
-    names = columns or numeric_columns(df, roles)
-    row = df.agg(*(f(c) for c in names for f in (F.avg, F.stddev_pop))).first()
-    moments = {c: (row[2 * i] or 0.0, row[2 * i + 1] or 1.0) for i, c in enumerate(names)}
-    warp = {"exp": lambda z: F.exp(z), "neg_exp": lambda z: -F.exp(-z), "heavy": lambda z: z * z * z}[kind]
+    return df.withColumns({c: F.when(F.col(c) != F.floor(c), F.col(c) + normal(roles.row_id, seed + i) * scale).otherwise(F.col(c)) for i, c in enumerate(names)})
+
+
+def distribution_shape(df: DataFrame, roles: Roles, kind: str = "skew_right", columns: list[str] | None = None, strength: float = 2.0, column_share: float = 0.5, row_share: float = 1.0, seed: int = 42) -> DataFrame:
+    """Warps standardised columns and brings mean and deviation back.
+
+    skew_right exp(strength z), skew_left -exp(strength z), heavy_tail
+    z exp(|z| / strength); exp, neg_exp and heavy are exp(z), -exp(-z), z**3.
+    Without named columns a share of them is hit, chosen by lot of their names,
+    and a share of the rows, whose own moments count.
+    """
+    numbers = numeric_columns(df, roles)
+    by_lot = sorted(numbers, key=lambda c: hashlib.md5(f"{c}#{seed}".encode()).hexdigest())
+    names = columns or by_lot[: max(1, math.ceil(column_share * len(numbers)))] if numbers or columns else []
+    if not names:
+        return df
+    marked = df.withColumn("_hit", F.lit(True)) if row_share >= 1 else _marked(df, roles, row_share, seed)
+    inside = marked.where("_hit")
+    row = inside.agg(*(f(c) for c in names for f in (F.avg, F.stddev_pop))).first()
+    moments = {c: (row[2 * i], row[2 * i + 1]) for i, c in enumerate(names) if row[2 * i + 1]}
+    if not moments:
+        return df
+    warp = {
+        "skew_right": lambda z: F.exp(strength * z), "skew_left": lambda z: -F.exp(strength * z), "heavy_tail": lambda z: z * F.exp(F.abs(z) / max(1e-6, strength)),
+        "exp": lambda z: F.exp(z), "neg_exp": lambda z: -F.exp(-z), "heavy": lambda z: z * z * z,
+    }[kind]
     bent = {c: warp((F.col(c) - m) / s) for c, (m, s) in moments.items()}
-    got = df.agg(*(f(x) for x in bent.values() for f in (F.avg, F.stddev_pop))).first()
-    return df.withColumns({c: (bent[c] - F.lit(got[2 * i])) / F.lit(got[2 * i + 1] or 1.0) * F.lit(moments[c][1]) + F.lit(moments[c][0]) for i, c in enumerate(names)})
+    got = inside.agg(*(f(x) for x in bent.values() for f in (F.avg, F.stddev_pop))).first()
+    out = {c: (bent[c] - F.lit(got[2 * i])) / F.lit(got[2 * i + 1] or 1.0) * F.lit(moments[c][1]) + F.lit(moments[c][0]) for i, c in enumerate(moments)}
+    return marked.withColumns({c: F.when(F.col("_hit"), x).otherwise(F.col(c).cast("double")) for c, x in out.items()}).select(*df.columns)
 
 
 def multicollinearity(df: DataFrame, roles: Roles, source: str, target: str, scale: float = 1e-5, seed: int = 42) -> DataFrame:
-    return df.withColumn(target, F.col(source) + F.randn(seed) * scale)
+    return df.withColumn(target, F.col(source) + normal(roles.row_id, seed) * scale)
 
 
 INJECTORS = {"missing_value": missing, "outlier": outliers, "class_imbalance": class_imbalance, "invalid_value": invalid, "duplicate_rows": duplicate_rows, "floating_point": floating_point, "distribution_shape": distribution_shape, "multicollinearity": multicollinearity}

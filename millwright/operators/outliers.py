@@ -115,7 +115,12 @@ def _depth(tree, x: np.ndarray) -> np.ndarray:
 def isolation_scores(df: DataFrame, roles: Roles, columns: list[str], trees: int = 50, rows: int = 256, seed: int = 0) -> Column:
     """A scoring expression of an isolation forest, grown on the driver from a bounded sample (trees x rows)."""
     n = max(1, df.count())
-    sample = df.select(*columns).dropna().sample(False, min(1.0, 1.2 * trees * rows / n), seed).limit(trees * rows).toPandas().to_numpy(float)
+    share = min(1.0, 1.2 * trees * rows / n)
+    rank = F.pmod(F.xxhash64(*(F.col(c).cast("double") for c in columns), F.lit(seed)), F.lit(1 << 30))
+    drawn = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).dropna().withColumn("_r", rank)
+    if share < 1:  # equal rows share a hash, so each distinct row counts once here
+        drawn = drawn.distinct().where(F.col("_r") / float(1 << 30) < share)
+    sample = drawn.orderBy("_r", *columns).limit(trees * rows).select(*columns).toPandas().to_numpy(float)
     rng = np.random.default_rng(seed)
     size = min(rows, len(sample))
     forest = [_tree(sample[rng.choice(len(sample), size, replace=False)], rng, math.ceil(math.log2(max(2, size)))) for _ in range(trees)] if size else []

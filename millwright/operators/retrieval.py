@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import STOP_WORDS, collapse_runs, no_punctuation, runs_of, squeeze, term_counts, tfidf, words
+from ..data import shared_folder
+from .text import STOP_WORDS, collapse_runs, no_punctuation, runs_of, squeeze, term_counts, words
 
 
 def normalise(c: str, strategy: str = "none") -> Column:
@@ -38,11 +44,6 @@ def char_terms(c: str, low: int = 3, high: int = 5) -> Column:
 TERMS = {"bm25": word_terms, "dense": char_terms}
 
 
-def index(docs: DataFrame, key: str, column: str, kind: str = "bm25") -> DataFrame:
-    """(doc, term, weight) inverted index; written or cached by the caller, it serves all queries."""
-    return tfidf(docs.select(F.col(key).alias("doc"), F.col(column).alias("text")), "doc", TERMS[kind]("text"))
-
-
 def document_terms(docs: DataFrame, kind: str) -> DataFrame:
     """(doc, term, tf), counted where the document's text was dealt to; character n-grams are cut once a distinct word of it."""
     if kind != "dense":
@@ -51,22 +52,148 @@ def document_terms(docs: DataFrame, kind: str) -> DataFrame:
     return own.groupBy("doc", F.col("gram").alias("term")).agg(F.sum("tf").alias("tf"))
 
 
-def retrieve(queries: DataFrame, docs: DataFrame, kind: str = "bm25", k: int = 10, qkey: str = "qid", dkey: str = "doc_id", qtext: str = "query", dtext: str = "text") -> DataFrame:
-    """(qid, doc_id, score, rank): the k documents of largest tf-idf cosine; only shared terms are joined, ties go to the smaller id."""
-    asked = queries.select(F.col(qkey).alias("q"), F.explode(TERMS[kind](qtext)).alias("term")).groupBy("q", "term").agg(F.count(F.lit(1)).alias("tf"))
+#: Terms whose weights are broadcast (a larger vocabulary is joined); asking (query, term) rows that are scored as a matrix (more are joined); cells of such a matrix.
+VOCABULARY, ASKING, CELLS = 1_000_000, 400_000, 4_000_000
+
+
+@dataclass(frozen=True)
+class Index:
+    """An inverted index as three written tables: (doc, term, tf), (term, idf), and (doc, dn), the length of a document's tf-idf vector."""
+
+    counts: DataFrame
+    idf: DataFrame
+    norms: DataFrame
+    kind: str
+
+
+def index(docs: DataFrame, key: str, column: str, kind: str = "bm25", folder: str | None = None) -> Index:
+    """Builds and writes the index of a column below the folder (by default one that the cluster shares); it serves any number of queries."""
+    spark = docs.sparkSession
+    root = f"{(folder or shared_folder(spark)).rstrip('/')}/index-{kind}-{uuid.uuid4().hex}"
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{root}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
+
+    counts = written(document_terms(docs.select(F.col(key).alias("doc"), F.col(column).alias("_text")), kind), "counts")
     n = docs.count()
-    counts = document_terms(docs.select(F.col(dkey).alias("doc"), F.col(dtext).alias("_text")), kind)
-    idf = counts.groupBy("term").agg((F.log((1 + F.lit(n)) / (1 + F.count(F.lit(1)))) + 1).alias("idf"))
-    weighted = counts.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = weighted.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
-    ask = asked.join(idf, "term").withColumn("qw", F.col("tf") * F.col("idf")).select("q", "term", "qw")
+    idf = written(counts.groupBy("term").agg((F.log((1 + F.lit(n)) / (1 + F.count(F.lit(1)))) + 1).alias("idf")), "idf")
+    weight = F.col("tf") * F.col("idf")
+    norms = written(counts.join(_sized(idf), "term").groupBy("doc").agg(F.sqrt(F.sum(weight * weight)).alias("dn")), "norms")
+    return Index(counts, idf, norms, kind)
+
+
+def _sized(idf: DataFrame) -> DataFrame:
+    """The term table, broadcast while it is small."""
+    return F.broadcast(idf) if idf.limit(VOCABULARY + 1).count() <= VOCABULARY else idf
+
+
+def _dots(counts: DataFrame, block: list[tuple], q_type: str) -> DataFrame:
+    """(q, doc, dot) of every document with the queries of a block [(q, term, weight)], whose terms and queries index a small matrix."""
+    spark = counts.sparkSession
+    asked, terms = sorted({q for q, _, _ in block}), sorted({t for _, t, _ in block})
+    row, column = {t: i for i, t in enumerate(terms)}, {q: i for i, q in enumerate(asked)}
+    matrix = np.zeros((len(terms), len(asked)))
+    for q, t, w in block:
+        matrix[row[t], column[q]] = w
+    idf = {t: i for t, i in row.items()}
+    place = F.broadcast(spark.createDataFrame(list(idf.items()), "term string, t int"))  # at most CELLS terms
+    shared = spark.sparkContext.broadcast((matrix, asked))
+
+    def score(batches):
+        matrix, asked = shared.value
+        for batch in batches:
+            doc, t, w = batch.column("doc").to_numpy(zero_copy_only=False), batch.column("t").to_numpy(), batch.column("w").to_numpy()
+            order = np.argsort(doc, kind="stable")
+            doc, t, w = doc[order], t[order], w[order]
+            first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, int)
+            step = max(1, CELLS // max(1, len(asked)))
+            docs, total = doc[first], np.zeros((len(first), len(asked)))
+            ends = np.r_[first, len(doc)]
+            a = 0
+            while a < len(first):  # some documents at a time, so that their terms' rows stay few
+                b = max(a + 1, int(np.searchsorted(ends, ends[a] + step, side="right")) - 1)
+                part = slice(ends[a], ends[b])
+                total[a:b] = np.add.reduceat(matrix[t[part]] * w[part][:, None], first[a:b] - ends[a], axis=0)
+                a = b
+            r, c = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array([asked[k] for k in c]), pa.array(docs[r]), pa.array(total[r, c])], names=["q", "doc", "dot"])
+
+    doc_type = counts.schema["doc"].dataType.simpleString()
+    rows = counts.join(place, "term").select("doc", "t", F.col("w"))
+    return rows.mapInArrow(score, f"q {q_type}, doc {doc_type}, dot double")
+
+
+def _blocks(asked: list[tuple]) -> list[list[tuple]]:
+    """Whole queries, in blocks of at most CELLS cells (one query may have more)."""
+    by: dict = {}
+    for q, t, w in asked:
+        by.setdefault(q, []).append((q, t, w))
+    out: list[list[tuple]] = []
+    terms: set = set()
+    many = 0
+    for q in sorted(by):
+        more = terms | {t for _, t, _ in by[q]}
+        if out and (many + 1) * len(more) <= CELLS:
+            out[-1] += by[q]
+            terms, many = more, many + 1
+        else:
+            out.append(list(by[q]))
+            terms, many = {t for _, t, _ in by[q]}, 1
+    return out
+
+
+def retrieve(queries: DataFrame, docs: DataFrame | Index, kind: str = "bm25", k: int = 10, qkey: str = "qid", dkey: str = "doc_id", qtext: str = "query", dtext: str = "text") -> DataFrame:
+    """(qid, doc_id, score, rank): the k documents of largest tf-idf cosine; only shared terms meet, ties go to the smaller id.
+
+    docs may be an Index. A query set of at most ASKING distinct (query, term)
+    rows is scored as blocks of a matrix, where a posting meets all queries of
+    its term at once; a larger one is joined by term.
+    """
+    own = docs if isinstance(docs, Index) else index(docs, dkey, dtext, kind)
+    asked = queries.select(F.col(qkey).alias("q"), F.explode(TERMS[own.kind](qtext)).alias("term")).groupBy("q", "term").agg(F.count(F.lit(1)).alias("tf"))
+    ask = asked.join(own.idf, "term").withColumn("qw", F.col("tf") * F.col("idf")).select("q", "term", "idf", "qw")
     qn = ask.groupBy("q").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
-    dot = weighted.select("doc", "term", "w").join(ask, "term").groupBy("q", "doc").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    scored = dot.join(norm, "doc").join(qn, "q").select("q", "doc", F.round(F.col("dot") / (F.col("dn") * F.col("qn")), 6).alias("score"))
+    q_type = queries.schema[qkey].dataType.simpleString()
+    few = ask.select("q", "term", "idf", "qw").limit(ASKING + 1).collect()
+    if 0 < len(few) <= ASKING:
+        # a query's weight times the term's, so that a posting brings its tf only
+        found = [_dots(own.counts.withColumn("w", F.col("tf").cast("double")), block, q_type) for block in _blocks([(r["q"], r["term"], r["qw"] * r["idf"]) for r in few])]
+        parts = found[0]
+        for more in found[1:]:
+            parts = parts.unionByName(more)
+        dot = parts.groupBy("q", "doc").agg(F.sum("dot").alias("dot"))
+    else:
+        dot = own.counts.join(ask, "term").groupBy("q", "doc").agg(F.sum(F.col("tf") * F.col("idf") * F.col("qw")).alias("dot"))
+    scored = dot.join(own.norms, "doc").join(qn, "q").select("q", "doc", F.round(F.col("dot") / (F.col("dn") * F.col("qn")), 6).alias("score"))
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "doc"))
     return scored.withColumn("rank", place).where(F.col("rank") <= k).select(F.col("q").alias(qkey), F.col("doc").alias(dkey), "score", "rank")
 
 
+def retrieve_local(df: DataFrame, strategy: str = "bm25@10", query: str = "query", docs: str = "docs") -> DataFrame:
+    """Adds retrieved (texts) and retrieval_scores: a row's own documents by the number of distinct query words that each has.
+
+    The strategy is a name and a depth. Ties keep the documents' order; a single
+    text is a list of one; without a documents column both lists are empty.
+    """
+    depth = int(strategy.partition("@")[2]) if strategy.partition("@")[2].isdigit() else 10
+    texts, numbers = F.array().cast("array<string>"), F.array().cast("array<double>")
+    if docs not in df.columns or query not in df.columns:
+        return df.withColumns({"retrieved": texts, "retrieval_scores": numbers})
+    is_list = df.schema[docs].dataType.typeName() == "array"
+    held = F.coalesce(F.col(docs), texts) if is_list else F.when(F.col(docs).isNotNull(), F.array(docs)).otherwise(texts)
+    tokens = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    asked = tokens(F.coalesce(F.col(query), F.lit("")))
+
+    def scored(text: Column, i: Column) -> Column:
+        own = tokens(F.coalesce(text, F.lit("")))
+        hits = F.size(F.filter(asked, lambda w: F.array_contains(own, w))).cast("double")
+        return F.struct((-hits).alias("s"), i.alias("i"), text.alias("t"))
+
+    best = F.slice(F.array_sort(F.transform(held, scored)), 1, depth)
+    return df.withColumn("_best", best).withColumns({"retrieved": F.transform("_best", lambda x: x["t"]), "retrieval_scores": F.transform("_best", lambda x: -x["s"])}).drop("_best")
+
+
 def fuse(a: DataFrame, b: DataFrame, k: int = 10, qkey: str = "qid", dkey: str = "doc_id", base: int = 60) -> DataFrame:
     """Reciprocal ranks of two rankings added."""
     x = a.select(qkey, dkey, F.col("rank").alias("ra"))
@@ -109,6 +236,31 @@ def context(found: DataFrame, docs: DataFrame, budget: int, n: int = 5, unit: st
     return kept.groupBy(qkey).agg(held.alias("_h")).select(qkey, F.array_join(F.transform("_h", lambda x: x["_d"]), "\n\n").alias("context"), F.size("_h").alias("n_docs"))
 
 
+def diverse_context(found: DataFrame, docs: DataFrame, budget: int, n: int = 10, overlap: float = 0.6, qkey: str = "qid", dkey: str = "doc_id", dtext: str = "text") -> DataFrame:
+    """(qid, context, n_docs): the first n documents in order, without those of whose distinct words more than `overlap` are in one taken before; the last is cut to the budget of characters."""
+    kind = found.schema[qkey].dataType.simpleString()
+    rows = found.where(F.col("rank") <= n).join(docs.select(dkey, F.col(dtext).alias("_d")), dkey).where(F.length("_d") > 0)
+    lists = rows.groupBy(qkey).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "_d"))), lambda x: x["_d"]).alias("_l"))  # n texts a query
+
+    def build(batches):
+        for batch in batches:
+            texts, counts = [], []
+            for own in batch.column("_l").to_pylist():
+                taken, kept, size = [], [], 0
+                for text in own:
+                    words = set(text.split())
+                    if size >= budget or any(len(words & other) > overlap * max(1, len(words)) for other in taken):
+                        continue
+                    kept.append(text[: budget - size])
+                    taken.append(words)
+                    size += len(kept[-1])
+                texts.append("\n\n".join(kept))
+                counts.append(len(kept))
+            yield pa.RecordBatch.from_arrays([batch.column(qkey), pa.array(texts, pa.string()), pa.array(counts, pa.int32())], names=[qkey, "context", "n_docs"])
+
+    return lists.mapInArrow(build, f"{qkey} {kind}, context string, n_docs int")
+
+
 def answer(query: str, ctx: str, strategy: str = "concise") -> Column:
     """A template: the first 40 (concise) or 120 (detailed) context words, and up to 8 key words of the query."""
     n = 40 if strategy == "concise" else 120
@@ -137,6 +289,62 @@ def recall(found: DataFrame, truth: DataFrame, k: int = 10, qkey: str = "qid", d
     return truth.select(qkey, dkey).distinct().join(hit, [qkey, dkey], "left").groupBy(qkey).agg(F.round(F.avg(F.coalesce("_hit", F.lit(0)).cast("double")), 6).alias("recall"))
 
 
+def quoting(docs: DataFrame, items: DataFrame, qkey: str = "qid", dkey: str = "doc_id", qtext: str = "query", dtext: str = "text", width: int = 5, shortest: int = 10_000) -> DataFrame:
+    """(qid, doc_id): documents whose text contains the whole item.
+
+    A document that quotes an item has all its inner words, between the first
+    and the last, one after another. So pairs meet on a run of up to `width`
+    inner words of the item, and only they are compared. Items of one or two
+    words have no inner word; they are compared with all documents, and more
+    than `shortest` of them are an error. An empty item is in every document
+    that has a text.
+    """
+    inner = lambda c: F.slice(words(c), F.lit(2), F.greatest(F.size(words(c)) - 2, F.lit(0)))
+    asked = items.select(F.col(qkey).alias("_q"), F.col(qtext).alias("_item")).where(F.col(qtext).isNotNull()).withColumn("_w", inner("_item"))
+    asked = asked.withColumn("_n", F.least(F.size("_w"), F.lit(width)))
+    anchored = asked.where("_n > 0").withColumn("_run", F.array_min(runs_of_size("_w", F.col("_n")))).select("_q", "_item", "_n", "_run")
+    sizes = [r["_n"] for r in anchored.select("_n").distinct().collect()]  # at most `width` numbers
+    texts = docs.select(F.col(dkey).alias("_d"), F.col(dtext).alias("_text")).where(F.col(dtext).isNotNull())
+    found = None
+    for n in sizes:
+        runs = texts.select("_d", F.explode(F.array_distinct(runs_of(words("_text"), n, " "))).alias("_run"))
+        near = runs.join(anchored.where(F.col("_n") == n), "_run").select("_d", "_q", "_item").distinct()
+        found = near if found is None else found.unionByName(near)
+    out = None
+    if found is not None:
+        out = found.join(texts, "_d").where(F.contains("_text", "_item")).select(F.col("_q").alias(qkey), F.col("_d").alias(dkey))
+    short = asked.where("_n = 0").select("_q", "_item")
+    many = short.limit(shortest + 1).count()
+    if many > shortest:
+        raise ValueError(f"more than {shortest} items of one or two words")
+    if many:
+        plain = texts.join(F.broadcast(short), F.contains("_text", "_item")).select(F.col("_q").alias(qkey), F.col("_d").alias(dkey))  # a table of checked size
+        out = plain if out is None else out.unionByName(plain)
+    return (out if out is not None else texts.join(short, F.lit(False)).select(F.col("_q").alias(qkey), F.col("_d").alias(dkey))).distinct()
+
+
+def runs_of_size(c: str, n: Column) -> Column:
+    """Runs of n neighbouring items of an array, n being a column."""
+    return F.transform(F.sequence(F.lit(1), F.size(c) - n + 1), lambda i: F.array_join(F.slice(F.col(c), i, n), " "))
+
+
+def score_profile(found: DataFrame, qkey: str = "qid", k: int = 10) -> DataFrame:
+    """(qid, max_softmax, score_spread): the largest share of the first k scores under softmax, and their variance about their mean."""
+    s = F.transform(F.array_sort(F.collect_list(F.struct("rank", "score"))), lambda x: x["score"])
+    lists = found.where(F.col("rank") <= k).groupBy(qkey).agg(s.alias("_s"))
+    top = F.array_max("_s")
+    total = F.aggregate("_s", F.lit(0.0), lambda a, x: a + F.exp(x - top))
+    mean = F.aggregate("_s", F.lit(0.0), lambda a, x: a + x) / F.size("_s")
+    spread = F.aggregate("_s", F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.size("_s")
+    return lists.select(qkey, F.round(1 / total, 6).alias("max_softmax"), F.round(spread, 6).alias("score_spread"))
+
+
+def foreign_share(c: str) -> Column:
+    """Share of the tokens that are not words of a-z and apostrophes."""
+    w = words(F.lower(c))
+    return F.round(F.coalesce(F.try_divide(F.size(F.filter(w, lambda x: ~x.rlike(r"^[a-z']+$"))).cast("double"), F.size(w).cast("double")), F.lit(0.0)), 6)
+
+
 def query_profile(queries: DataFrame, found: DataFrame, qkey: str = "qid", qtext: str = "query", k: int = 10) -> DataFrame:
     """Non-ASCII token and character shares, and gap and variance of the first k scores."""
     w = words(F.col(qtext))
@@ -145,4 +353,4 @@ def query_profile(queries: DataFrame, found: DataFrame, qkey: str = "qid", qtext
     return texts.join(first, qkey, "left")
 
 
-__all__ = ["answer", "char_terms", "collapse_runs", "context", "fuse", "grounding", "index", "no_punctuation", "normalise", "query_profile", "recall", "rerank", "retrieve", "rewrite", "squeeze", "word_terms"]
+__all__ = ["Index", "answer", "char_terms", "collapse_runs", "context", "diverse_context", "foreign_share", "fuse", "grounding", "index", "no_punctuation", "normalise", "query_profile", "quoting", "recall", "rerank", "retrieve", "retrieve_local", "rewrite", "score_profile", "squeeze", "word_terms"]

@@ -22,6 +22,25 @@ def first_n(df: DataFrame, n: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def of_smallest_lot(df: DataFrame, group: str, wanted: Column, key: str, seed: int, name: str) -> DataFrame:
+    """Adds `name`: whether the row is among the first `wanted` of its group by lot; wanted is an expression over _n, the group's size.
+
+    A group is dealt to 4096 ranges of lots by their first digits. The counts
+    of the ranges say which one the cut falls into, and rows are numbered
+    within a range only, so no task holds a whole class.
+    """
+    rows = df.withColumn("_l", lot(key, seed)).withColumn("_h", F.substring("_l", 1, 3))
+    counts = rows.groupBy(F.col(group).alias("_g"), "_h").agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy("_g").orderBy("_h"))
+    counts = counts.withColumns({"_u": upto, "_n": F.sum("_c").over(Window.partitionBy("_g"))})
+    counts = counts.withColumn("_want", F.least(wanted, F.col("_n")))
+    cut = counts.where((F.col("_u") >= F.col("_want")) & (F.col("_u") - F.col("_c") < F.col("_want"))).select("_g", F.col("_h").alias("_cut"), (F.col("_want") - F.col("_u") + F.col("_c")).alias("_more"))
+    place = F.row_number().over(Window.partitionBy(group, "_h").orderBy("_l", key))
+    marked = rows.withColumn("_p", place).join(cut, F.col(group).eqNullSafe(F.col("_g")), "left")
+    inside = (F.col("_h") < F.col("_cut")) | ((F.col("_h") == F.col("_cut")) & (F.col("_p") <= F.col("_more")))
+    return marked.withColumn(name, F.coalesce(inside, F.lit(False))).select(*df.columns, name)
+
+
 @step("sampling", "full")
 def full(df: DataFrame, roles: Roles = Roles()) -> Fitted:
     return Fitted(lambda d: d)
@@ -41,17 +60,13 @@ def stratified(df: DataFrame, roles: Roles, by: str | None = None, cap: int = 10
     def apply(d: DataFrame) -> DataFrame:
         group = by or roles.target
         sizes = [r["n"] for r in d.groupBy(group).agg(F.count(F.lit(1)).alias("n")).collect()]
-        n = min([cap, *sizes])
-        place = F.row_number().over(Window.partitionBy(group).orderBy(lot(roles.row_id, seed), roles.row_id))
-        return d.withColumn("_p", place).where(F.col("_p") <= n).drop("_p")
+        return of_smallest_lot(d, group, F.lit(min([cap, *sizes])), roles.row_id, seed, "_in").where("_in").drop("_in")
 
     return Fitted(apply)
 
 
 def split(df: DataFrame, roles: Roles, test: float = 0.2, by: str | None = None, seed: int = 42) -> DataFrame:
     """Adds `part`: the round(test * n) rows of smallest lot are 'test', in each group if one is named."""
-    group = [by] if by else [F.lit(0)]
-    n = F.count(F.lit(1)).over(Window.partitionBy(*group))
     if by is None:  # the cut is one value, found without gathering the rows in one window
         total = df.count()
         wanted = math.floor(test * total + 0.5)
@@ -59,8 +74,7 @@ def split(df: DataFrame, roles: Roles, test: float = 0.2, by: str | None = None,
         if cut is None:
             return df.withColumn("part", F.lit("train"))
         return df.withColumn("part", F.when(F.struct(lot(roles.row_id, seed).alias("l"), F.col(roles.row_id).alias("k")) <= F.struct(F.lit(cut["l"]).alias("l"), F.lit(cut["k"]).alias("k")), "test").otherwise("train"))
-    place = F.row_number().over(Window.partitionBy(*group).orderBy(lot(roles.row_id, seed), roles.row_id))
-    return df.withColumn("part", F.when(place <= F.floor(n * test + 0.5), "test").otherwise("train"))
+    return of_smallest_lot(df, by, F.floor(F.col("_n") * test + 0.5), roles.row_id, seed, "_in").withColumn("part", F.when(F.col("_in"), "test").otherwise("train")).drop("_in")
 
 
 @step("oversampling", "smote")
@@ -78,8 +92,7 @@ def smote(df: DataFrame, roles: Roles, k: int = 5, seed: int = 42) -> Fitted:
             own = d.where(F.col(target) == value)
             near = nearest_rows(own, own, key, features, min(k, n - 1), features).withColumnsRenamed({c: f"_n_{c}" for c in features})
             # each row gets its share of the lacking rows, each towards a neighbour drawn by hash
-            times = F.lit(lack // n) + F.when(F.row_number().over(Window.partitionBy(F.lit(value)).orderBy(lot(key, seed))) <= lack % n, 1).otherwise(0)
-            more = own.withColumn("_t", times).where("_t > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_t"))))
+            more = of_smallest_lot(own, target, F.lit(lack % n), key, seed, "_in").withColumn("_t", F.lit(lack // n) + F.col("_in").cast("int")).drop("_in").where("_t > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_t"))))
             more = more.withColumn("place", (F.pmod(F.xxhash64(key, "_i", F.lit(seed)), F.lit(min(k, n - 1))) + 1).cast("int")).withColumn("ask", F.col(key).cast("long"))
             u = F.pmod(F.xxhash64(key, "_i", F.lit(seed + 1)), F.lit(1 << 20)) / float(1 << 20)
             made = more.join(near.select("ask", "place", *(f"_n_{c}" for c in features)), ["ask", "place"]).withColumn("_u", u)
@@ -116,7 +129,6 @@ def to_ratio(df: DataFrame, roles: Roles, ratio: float = 1.0, seed: int = 42) ->
 
     def apply(d: DataFrame) -> DataFrame:
         sizes = [r["n"] for r in d.groupBy(roles.target).agg(F.count(F.lit(1)).alias("n")).collect()]
-        place = F.row_number().over(Window.partitionBy(roles.target).orderBy(lot(roles.row_id, seed), roles.row_id))
-        return d.withColumn("_p", place).where(F.col("_p") <= math.ceil(ratio * min(sizes, default=0))).drop("_p")
+        return of_smallest_lot(d, roles.target, F.lit(math.ceil(ratio * min(sizes, default=0))), roles.row_id, seed, "_in").where("_in").drop("_in")
 
     return Fitted(apply)

@@ -18,14 +18,14 @@ STRATEGIES: dict[str, tuple[str, ...]] = {
     "missing_value": ("drop", "mean", "median", "most_frequent", "knn"),
     "normalization": ("none", "ss", "rs", "ma", "mm"),
     "outlier": ("none", "if", "iqr", "lof"),
-    "distribution_shape": ("none", "log1p", "sqrt", "yeojohnson"),
+    "distribution_shape": ("none", "log1p", "sqrt", "yeojohnson", "boxcox"),
     "floating_point": ("none", "snap", "round", "both"),
     "deduplication": ("none", "dd"),
     "multicollinearity": ("none", "drop_high_vif"),
     "fselection": ("none", "variance_off", "mutual_info"),
     "poly_pca": ("none", "pca", "sparsepca", "minibatchsparsepca", "kernelpca"),
     "nonlinear_transform": ("none", "quantile", "power"),
-    "sampling": ("full", "random", "snapshot"),
+    "sampling": ("full", "random", "snapshot", "stratified"),
     "lowercase": ("none", "apply"),
     "punctuation": ("none", "apply"),
     "whitespace": ("none", "apply"),
@@ -33,6 +33,17 @@ STRATEGIES: dict[str, tuple[str, ...]] = {
     "special_character": ("none", "apply"),
     "model": ("lr", "nb", "rf", "dt", "svm", "nn", "reg"),
 }
+#: Numbers of neighbours that the last strategy of these steps stands for when a plan counts them as strategies of their own (fixed values).
+NEIGHBOURS = {"missing_value": (1, 5, 10, 20, 30), "outlier": (1, 5, 10, 20, 30)}
+
+
+def with_neighbours(step: str, place: int) -> tuple[str, dict]:
+    """The strategy and parameters of a 1-based place in a step's list whose last entry is one for each number of neighbours."""
+    plain = len(STRATEGIES[step]) - 1
+    if place <= plain:
+        return STRATEGIES[step][place - 1], {}
+    many = NEIGHBOURS[step]
+    return STRATEGIES[step][-1], {"k": many[min(place - plain, len(many)) - 1]}
 
 
 @dataclass(frozen=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import itertools
 from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -51,6 +52,27 @@ def evaluate_all(candidates: Iterable, utility: Callable, threads: int = 4) -> d
         return dict(zip(todo, pool.map(utility, todo), strict=True))
 
 
+def best_first(sizes: list[int], coefficients: list[float]) -> Iterator[tuple[int, ...]]:
+    """All vectors in order of predicted utility, ties by vector. A heap holds the border of what was given out, so the space is never listed."""
+    values = [sorted(range(1, n + 1), key=lambda x, c=c: (c * x, x)) for n, c in zip(sizes, coefficients, strict=True)]
+
+    def entry(at: tuple[int, ...]) -> tuple:
+        v = tuple(own[i] for own, i in zip(values, at, strict=True))
+        return sum(c * x for c, x in zip(coefficients, v, strict=True)), v, at
+
+    if not all(sizes):
+        return
+    border = [entry((0,) * len(sizes))]
+    while border:
+        _, v, at = heapq.heappop(border)
+        yield v
+        # each vector has one parent: the last place that is not the first steps back
+        last = max((i for i, k in enumerate(at) if k), default=0)
+        for i in range(last, len(at)):
+            if at[i] + 1 < sizes[i]:
+                heapq.heappush(border, entry((*at[:i], at[i] + 1, *at[i + 1 :])))
+
+
 def opaque(start: tuple[int, ...], sizes: list[int], coefficients: list[float], utility: Utility, goal: float, most: int = 1000) -> Outcome:
     """Only utilities are visible. Each parameter, in order of its coefficient's magnitude, takes its most promising value; then all vectors follow in order of predicted utility."""
     run, now = _Budget(utility, goal, most), start
@@ -63,7 +85,7 @@ def opaque(start: tuple[int, ...], sizes: list[int], coefficients: list[float],
             new = (*now[:i], wish, *now[i + 1 :])
             if run(new) <= run(now):
                 now = new
-    for v in sorted(itertools.product(*(range(1, n + 1) for n in sizes)), key=lambda v: (sum(c * x for c, x in zip(coefficients, v, strict=True)), v)):
+    for v in best_first(sizes, coefficients):
         if run.done():
             break
         run(v)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..data import table
 from ..operators import retrieval as R
 from ..operators.text import STOP_WORDS
+from ..plans import answering
 from .registry import query
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -20,6 +21,17 @@ def _docs(spark, d):
     return table(spark, d, "documents").select("doc_id", "text")
 
 
+_BUILT: dict = {}
+
+
+def _index(spark, d, kind):
+    """The index of the documents of a folder, written once in a session and used by all queries of retrieval."""
+    key = (spark.sparkContext.applicationId, d, kind)
+    if key not in _BUILT:
+        _BUILT[key] = R.index(_docs(spark, d), "doc_id", "text", kind)
+    return _BUILT[key]
+
+
 _NORM = "trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
@@ -28,7 +40,7 @@ def _(spark, d):
     return _queries(spark, d).select("qid", R.normalise("query", "lower+strip_punct").alias("query"))
 
 
-@query("rag_spellfix")
+@query("rag_spellfix", f"WITH n AS (SELECT item_id AS qid, {_NORM} AS t FROM benchmark), c AS (SELECT qid, string_split(t, '') AS c FROM n) SELECT qid, array_to_string(list_filter(c, lambda x, i: i < 3 OR NOT (x = c[i-1] AND x = c[i-2])), '') AS query FROM c")
 def _(spark, d):
     return _queries(spark, d).select("qid", R.normalise("query", "spellfix_light").alias("query"))
 
@@ -59,17 +71,17 @@ _DENSE = f"WITH {_char('benchmark', 'item_id', 'qt')}, {_char('documents', 'doc_
 
 @query("rag_bm25_topk", f"{_BM25} SELECT * FROM r WHERE rank <= 10")
 def _(spark, d):
-    return R.retrieve(_queries(spark, d), _docs(spark, d), "bm25", 10)
+    return R.retrieve(_queries(spark, d), _index(spark, d, "bm25"), "bm25", 10)
 
 
 @query("rag_char_topk", f"{_DENSE} SELECT * FROM r WHERE rank <= 10")
 def _(spark, d):
-    return R.retrieve(_queries(spark, d), _docs(spark, d), "dense", 10)
+    return R.retrieve(_queries(spark, d), _index(spark, d, "dense"), "dense", 10)
 
 
 def _fused(spark, d, k=10):
-    q, docs = _queries(spark, d), _docs(spark, d)
-    return R.fuse(R.retrieve(q, docs, "bm25", 2000), R.retrieve(q, docs, "dense", 2000), k)
+    q = _queries(spark, d)
+    return R.fuse(R.retrieve(q, _index(spark, d, "bm25"), "bm25", 2000), R.retrieve(q, _index(spark, d, "dense"), "dense", 2000), k)
 
 
 _RRF = f"""WITH a AS ({_BM25} SELECT * FROM r WHERE rank <= 2000), b AS ({_DENSE} SELECT * FROM r WHERE rank <= 2000),
@@ -83,10 +95,20 @@ def _(spark, d):
 
 
 def _found(spark, d):
-    return R.retrieve(_queries(spark, d), _docs(spark, d), "bm25", 10)
+    return R.retrieve(_queries(spark, d), _index(spark, d, "bm25"), "bm25", 10)
 
 
-@query("rag_rerank")
+_RERANK = f"""{_BM25}, c1 AS (SELECT qid, doc_id FROM r WHERE rank <= 10), z AS (SELECT qid, count(*) AS n FROM c1 GROUP BY qid),
+    ld AS (SELECT c1.qid, c1.doc_id, dt.term, dt.tf FROM c1 JOIN dt ON dt.k = c1.doc_id),
+    li AS (SELECT ld.qid, ld.term, ln((1 + min(z.n)) / CAST(1 + count(*) AS DOUBLE)) + 1 AS idf FROM ld JOIN z ON z.qid = ld.qid GROUP BY ld.qid, ld.term),
+    lw AS (SELECT ld.qid, ld.doc_id, ld.term, tf * idf AS w FROM ld JOIN li ON li.qid = ld.qid AND li.term = ld.term), ln1 AS (SELECT qid, doc_id, sqrt(sum(w * w)) AS n FROM lw GROUP BY 1, 2),
+    lq AS (SELECT li.qid, li.term, qt.tf * idf AS w FROM li JOIN qt ON qt.k = li.qid AND qt.term = li.term), lqn AS (SELECT qid, sqrt(sum(w * w)) AS n FROM lq GROUP BY qid),
+    lp AS (SELECT lw.qid, lw.doc_id, sum(lw.w * lq.w) AS dot FROM lw JOIN lq ON lq.qid = lw.qid AND lq.term = lw.term GROUP BY 1, 2),
+    ls AS (SELECT c1.qid, c1.doc_id, round(coalesce(dot / (ln1.n * lqn.n), 0), 6) AS score FROM c1 LEFT JOIN ln1 ON ln1.qid = c1.qid AND ln1.doc_id = c1.doc_id LEFT JOIN lqn ON lqn.qid = c1.qid LEFT JOIN lp ON lp.qid = c1.qid AND lp.doc_id = c1.doc_id)
+    SELECT qid, doc_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM ls"""
+
+
+@query("rag_rerank", _RERANK)
 def _(spark, d):
     return R.rerank(_found(spark, d), _queries(spark, d), _docs(spark, d), 10)
 
@@ -112,7 +134,12 @@ def _with_context(spark, d):
     return R.context(_found(spark, d), _docs(spark, d), 6000, 5).join(_queries(spark, d), "qid")
 
 
-@query("rag_answer")
+_W = "list_filter(string_split_regex(trim({}), '\\s+'), lambda w: w <> '')"
+
+
+@query("rag_answer", f"""{_CHARS_CTX}, a AS (SELECT x.qid, x.context, {_W.format('lower(b.text)')} AS w FROM x JOIN benchmark b ON b.item_id = x.qid),
+    k AS (SELECT qid, context, list_filter(w, lambda y, i: list_position(w, y) = i AND y NOT IN ({_STOP})) AS k FROM a)
+    SELECT qid, array_to_string({_W.format('context')}[1:40], ' ') || ' [key words: ' || array_to_string(k[1:8], ', ') || ']' AS answer FROM k""")
 def _(spark, d):
     return _with_context(spark, d).select("qid", R.answer("query", "context").alias("answer"))
 
@@ -135,12 +162,25 @@ _REL = "SELECT b.item_id AS qid, d.doc_id FROM benchmark b JOIN documents d ON c
 
 @query("rag_recall", f"{_BM25}, t AS ({_REL}) SELECT t.qid, round(avg(CASE WHEN r.rank <= 10 THEN 1.0 ELSE 0 END), 6) AS recall FROM t LEFT JOIN r ON r.qid = t.qid AND r.doc_id = t.doc_id GROUP BY t.qid")
 def _(spark, d):
-    q, docs = _queries(spark, d), _docs(spark, d)
-    # relevant documents quote the whole item (on the test tables the same pairs as in the SQL); the items are a bounded table of the benchmark
-    truth = docs.join(F.broadcast(q), F.contains("text", "query")).select("qid", "doc_id")
-    return R.recall(_found(spark, d), truth)
+    # relevant documents quote the whole item (on the test tables the same pairs as in the SQL)
+    return R.recall(_found(spark, d), R.quoting(_docs(spark, d), _queries(spark, d)))
 
 
 @query("rag_query_profile", f"{_BM25}, t AS (SELECT qid, rank, score FROM r WHERE rank <= 10), g AS (SELECT qid, round(max(CASE WHEN rank = 1 THEN score END) - coalesce(max(CASE WHEN rank = 2 THEN score END), 0), 6) AS gap, round(var_pop(score), 4) AS score_variance FROM t GROUP BY qid) SELECT item_id AS qid, round(len(list_filter(string_split_regex(trim(text), '\\s+'), lambda w: regexp_matches(w, '[^\\x00-\\x7F]'))) / CAST(len(list_filter(string_split_regex(trim(text), '\\s+'), lambda w: w <> '')) AS DOUBLE), 6) AS foreign_tokens, round(length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')) / CAST(length(text) AS DOUBLE), 6) AS unicode_share, gap, score_variance FROM benchmark LEFT JOIN g ON g.qid = item_id")
 def _(spark, d):
     return R.query_profile(_queries(spark, d), _found(spark, d))
+
+
+@query("rag_plan")
+def _(spark, d):
+    corpus = answering.Corpus(_docs(spark, d), indexes={k: _index(spark, d, k) for k in ("bm25", "dense")})
+    plan = answering.Answering({"query_normalizer": "lower+strip_punct", "retriever": "hybrid_rrf@20", "reranker": "cross_encoder@20", "context_builder": "mmr_diverse@3000", "generator": "grounded_detailed"})
+    return answering.run(plan, _queries(spark, d), corpus)
+
+
+@query("rag_plan_utilities")
+def _(spark, d):
+    q, corpus = _queries(spark, d), answering.Corpus(_docs(spark, d), indexes={k: _index(spark, d, k) for k in ("bm25", "dense")})
+    truth = R.quoting(_docs(spark, d), q)
+    rows = [(r, n, answering.utility(answering.Answering({"retriever": r, "translator_rewriter": n}), q, corpus, truth)) for r in ("bm25@10", "dense@10", "hybrid_rrf@10") for n in ("none", "dual")]
+    return spark.createDataFrame(rows, "retriever string, rewriter string, utility double")

@@ -345,7 +345,7 @@ def _(spark, d):
     return duplicates.edit_duplicates(table(spark, d, "supplier"), "s_suppkey", "s_name", 0.05, "dl")
 
 
-@query("dup_jaro_winkler")
+@query("dup_jaro_winkler", "SELECT DISTINCT b.s_suppkey AS s_suppkey FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey WHERE 1 - jaro_winkler_similarity(a.s_name, b.s_name) < (length(a.s_name) + length(b.s_name) / 2.0) * 0.001")
 def _(spark, d):
     return duplicates.edit_duplicates(table(spark, d, "supplier"), "s_suppkey", "s_name", 0.001, "jw")
 

@@ -7,15 +7,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..data import table
 from ..streaming import events as S
 from .registry import query
 
 
-def _events(spark, d):
-    return table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-
-
 def _stream(spark, d):
     path = f"{d}/events.parquet"
     schema = spark.read.parquet(path).schema
@@ -35,12 +30,12 @@ def _(spark, d):
 
 @query("stream_sliding", "WITH o AS (SELECT unnest([0, 1]) AS k) SELECT time_bucket(INTERVAL '1 hour', ts) - to_hours(k) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events, o GROUP BY 1, 2")
 def _(spark, d):
-    return S.tumbling(_events(spark, d), "2 hours", slide="1 hour")
+    return S.replay(S.tumbling(_stream(spark, d), "2 hours", slide="1 hour"), _name(), "complete")
 
 
 @query("stream_sessions", "WITH l AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL '30 minutes' THEN 1 WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS b FROM events), s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS s FROM l) SELECT min(ts) AS start, max(ts) + INTERVAL '30 minutes' AS \"end\", user_id, count(*) AS n FROM s GROUP BY user_id, s")
 def _(spark, d):
-    return S.sessions(_events(spark, d))
+    return S.replay(S.sessions(_stream(spark, d)), _name(), "complete")
 
 
 @query("stream_first_seen", "SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id")
@@ -50,4 +45,4 @@ def _(spark, d):
 
 @query("stream_drift", "SELECT time_bucket(INTERVAL '1 day', ts) AS start, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events GROUP BY 1")
 def _(spark, d):
-    return S.drift(_events(spark, d)).withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
+    return S.replay(S.drift(_stream(spark, d)), _name(), "complete").withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})

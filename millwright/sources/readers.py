@@ -97,12 +97,24 @@ def passages(topics: DataFrame) -> DataFrame:
     return side("positive_passages", 1).unionByName(side("negative_passages", 0))
 
 
-def product_metadata(spark: SparkSession, path: str, batch: int = 1000) -> DataFrame:
-    """Lines of literal dictionaries or JSON: five fields of products with a brand, and the batch in which the brand is first seen (by brand order)."""
+def product_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of literal dictionaries or JSON: five fields of the products whose brand no earlier batch has.
+
+    Batches are the pieces in which the input is read, in order of file and
+    place (spark.sql.files.maxPartitionBytes sets their size). Products without
+    a brand are left out.
+    """
     schema = "asin string, title string, price double, brand string, categories array<array<string>>"
-    lines = spark.read.text(path).select(F.from_json("value", schema, {"allowSingleQuotes": "true"}).alias("x")).select("x.*").where("brand is not null and brand <> ''")
-    first = lines.groupBy("brand").agg(F.min("asin").alias("_first"))
-    return lines.join(first, "brand").withColumn("part", F.pmod(F.xxhash64("brand"), F.lit(batch))).drop("_first")
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    lines = spark.read.text(path).select(F.from_json("value", schema, {"allowSingleQuotes": "true"}).alias("x"), at.alias("_batch")).select("x.*", "_batch").where("brand is not null and brand <> ''")
+    first = lines.groupBy("brand").agg(F.min("_batch").alias("_first"))
+    return lines.join(first, "brand").where(F.col("_batch") == F.col("_first")).select("asin", "title", "price", "brand", "categories")
+
+
+def write_csv(df: DataFrame, path: str, mode: str = "append") -> None:
+    """History, profile, similarity and metric tables with a header; lists become JSON text."""
+    wide = [F.to_json(f.name).alias(f.name) if isinstance(f.dataType, (ArrayType, StructType)) else F.col(f.name) for f in df.schema.fields]
+    df.select(*wide).write.mode(mode).option("header", True).csv(path)
 
 
 def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:

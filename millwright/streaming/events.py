@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..data import shared_folder
+
 
 def read(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
@@ -29,11 +31,18 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "user_id", "n")
 
 
-def first_seen(events: DataFrame, key: str, order: str = "event_id") -> DataFrame:
-    """The first event of each key. A stream keeps one flag a key; a batch takes the smallest order."""
+def first_seen(events: DataFrame, key: str, order: str = "event_id", horizon: str | None = None) -> DataFrame:
+    """The first event of each key. A batch takes the smallest order.
+
+    A stream keeps one flag a key, for ever unless a horizon is given: then
+    state is kept for that span of event time only, and a key that comes back
+    later counts as new.
+    """
     if not events.isStreaming:
         lowest = events.groupBy(key).agg(F.min(order).alias(order))
         return events.join(lowest, [key, order], "left_semi").select(key, order)
+    if horizon is not None:
+        return events.withWatermark("ts", horizon).dropDuplicatesWithinWatermark([key]).select(key, order)
 
     def once(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         low = min(b[order].min() for b in batches)
@@ -52,11 +61,22 @@ def drift(events: DataFrame, value: str = "value", every: str = "1 day") -> Data
 
 
 def replay(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there into a memory table; for tests and small files."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    shared = stream.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        writer = writer.option("checkpointLocation", f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}")
-    q = writer.start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Runs a stream over what is there and returns its result, which each micro-batch writes to a folder of its own in the shared one.
+
+    A batch that is run again replaces what it wrote. In complete mode the last
+    batch has the whole result.
+    """
+    spark = stream.sparkSession
+    root = f"{shared_folder(spark)}/replay-{name}-{uuid.uuid4().hex}"
+    done: list[int] = []
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/{number:012d}")
+        done.append(number)
+
+    query = stream.writeStream.foreachBatch(put).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{root}/state").start()
+    query.awaitTermination()
+    parts = sorted(set(done)) if mode == "append" else sorted(set(done))[-1:]
+    if not parts:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*(f"{root}/out/{n:012d}" for n in parts))

@@ -14,6 +14,8 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
+#: Models whose sums depend on the order in which tasks end.
+UNSTEADY = {f"model_{f}" for f in ("lr", "nb", "rf", "dt", "svm", "nn", "reg", "lasso", "lda", "multinomial_ranking")} | {"cluster_kmeans", "cluster_bisecting", "poly_kernelpca", "poly_pca", "poly_sparsepca", "poly_minibatchsparsepca", "impute_mice", "impute_em"}
 
 
 @pytest.fixture(scope="module")
@@ -50,7 +52,11 @@ def test_query_equals_sql(spark, engine, name):
 
 @pytest.mark.parametrize("name", sorted(n for n in set(QUERIES) - set(SQL) if not n.startswith(("op", "pipeline"))))
 def test_query_runs(spark, name):
-    assert QUERIES[name](spark, SF).columns
+    got = QUERIES[name](spark, SF).toPandas()
+    assert len(got) and not got.columns.duplicated().any()
+    again = QUERIES[name](spark, SF).toPandas()
+    if name not in UNSTEADY:
+        assert rows(got) == rows(again)
 
 
 def test_entry(spark):
