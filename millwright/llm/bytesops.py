@@ -17,8 +17,8 @@ import pyarrow as pa
 #: Blocks of whole documents are cut at about this many bytes of text; one longer document is its own block.
 BLOCK_BYTES = 512 * 1024
 _BASE = 0x9E3779B97F4A7C15 | 1
-#: Words are hashed as polynomials over a prime field at two points (fixed values); longer ones than LONG_WORD bytes one by one.
-PRIME, POINTS, LONG_WORD = (1 << 31) - 1, (1_482_715_439, 893_256_713), 1 << 16
+#: Words are hashed as polynomials over a prime field at two points (fixed values): those of up to SHORT_WORD bytes by tables of whole terms, those of more than LONG_WORD bytes one by one.
+PRIME, POINTS, SHORT_WORD, LONG_WORD = (1 << 31) - 1, (1_482_715_439, 893_256_713), 64, 1 << 16
 
 
 def worker_cache() -> dict:
@@ -56,6 +56,15 @@ def _powers() -> list[np.ndarray]:
     return cache["powers"]
 
 
+def _terms(lower: bool) -> list[np.ndarray]:
+    """For both points the term of every place and byte of a short word, at 256 * place + byte."""
+    cache = worker_cache().setdefault("terms", {})
+    if lower not in cache:
+        values = (_LOWER if lower else np.arange(256)).astype(np.uint64) + np.uint64(1)
+        cache[lower] = [(power[:SHORT_WORD, None] * values[None, :] % np.uint64(PRIME)).ravel() for power in _powers()]
+    return cache[lower]
+
+
 def column_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The bytes, the n + 1 offsets and the non-null mask of a string column; a null has no bytes."""
     if isinstance(column, pa.ChunkedArray):
@@ -124,21 +133,46 @@ class Words:
         """
         if not len(self.starts):
             return np.empty(0, np.uint64)
-        sizes = self.ends - self.starts
-        first = np.r_[0, np.cumsum(sizes)][:-1]
+        sizes = (self.ends - self.starts).astype(np.int32)
+        first = np.r_[0, np.cumsum(sizes, dtype=np.int64)][:-1]
         letters = self.data[self.inside]
-        values = (_LOWER[letters] if lower else letters).astype(np.uint64) + np.uint64(1)
-        place = np.arange(len(values)) - np.repeat(first, sizes)
-        long = np.flatnonzero(sizes > LONG_WORD)
-        if len(long):
-            np.minimum(place, LONG_WORD - 1, out=place)
-        both = [np.add.reduceat(values * power[place], first) % np.uint64(PRIME) for power in _powers()]
+        place = np.arange(len(letters), dtype=np.int64) - np.repeat(first, sizes)
+        if sizes.max() > SHORT_WORD:
+            np.minimum(place, SHORT_WORD - 1, out=place)
+        place <<= 8
+        place |= letters
+        both = [np.add.reduceat(terms[place], first) % np.uint64(PRIME) for terms in _terms(lower)]
+        more = np.flatnonzero((sizes > SHORT_WORD) & (sizes <= LONG_WORD))
+        if len(more):
+            many = sizes[more]
+            start = np.r_[0, np.cumsum(many, dtype=np.int64)][:-1]
+            at = np.arange(int(many.sum())) - np.repeat(start, many)
+            own = letters[np.repeat(first[more], many) + at]
+            values = (_LOWER[own] if lower else own).astype(np.uint64) + np.uint64(1)
+            for k, power in enumerate(_powers()):
+                both[k][more] = np.add.reduceat(values * power[at], start) % np.uint64(PRIME)
         out = mix64((both[0] << np.uint64(31)) | both[1])
-        for i in long:
+        for i in np.flatnonzero(sizes > LONG_WORD):
             own = letters[first[i] : first[i] + sizes[i]]
             out[i] = int.from_bytes(hashlib.blake2b((_LOWER[own] if lower else own).tobytes(), digest_size=8).digest(), "big")
         return out
 
+    def repeats(self) -> np.ndarray:
+        """Whether each word equals the word before it in its document."""
+        sizes = self.ends - self.starts
+        out = np.zeros(len(sizes), bool)
+        if len(sizes) < 2:
+            return out
+        like = (sizes[1:] == sizes[:-1]) & (self.doc[1:] == self.doc[:-1]) & (self.data[self.starts[1:]] == self.data[self.starts[:-1]]) & (self.data[self.ends[1:] - 1] == self.data[self.ends[:-1] - 1])
+        pairs = np.flatnonzero(like)
+        if len(pairs):
+            many = sizes[pairs]
+            start = np.r_[0, np.cumsum(many)][:-1]
+            at = np.arange(int(many.sum())) - np.repeat(start, many)
+            same = self.data[np.repeat(self.starts[pairs], many) + at] == self.data[np.repeat(self.starts[pairs + 1], many) + at]
+            out[pairs + 1] = np.logical_and.reduceat(same, start)
+        return out
+
 
 def sums(values: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
     """Sum of values by document; doc is ascending."""

@@ -76,9 +76,8 @@ def grams(data: np.ndarray, offsets: np.ndarray):
     if len(words.starts) > 1:
         length = words.ends - words.starts
         capital = np.r_[0, np.cumsum((data >= 65) & (data <= 90))]
-        hashes = words.hashes(lower=False)
         together = words.doc[1:] == words.doc[:-1]
-        again = np.r_[False, (hashes[1:] == hashes[:-1]) & together]
+        again = words.repeats()
         form = ((_FIRST[data[words.starts]] * 6 + _LAST[data[words.ends - 1]]) * 8 + np.minimum(length, 15) // 2) * 4 + (capital[words.ends] - capital[words.starts] > 1) * 2 + again
         pair = (form[:-1] * 1024 + form[1:])[together].astype(np.uint32)
         yield BUCKETS + ((pair * np.uint32(2246822519)) >> np.uint32(18)).astype(np.int64), words.doc[1:][together]
@@ -92,10 +91,12 @@ def _count(batches):
         half = batch.column("half").to_numpy()
         for a, b in blocks(offsets):
             for bucket, doc in grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
+                if (half[a:b] == 0).all():
+                    total[0] += np.bincount(bucket, minlength=2 * BUCKETS)
+                    continue
                 second = half[a:b][doc] == 1
                 total[0] += np.bincount(bucket[~second], minlength=2 * BUCKETS)
-                if second.any():
-                    total[1] += np.bincount(bucket[second], minlength=2 * BUCKETS)
+                total[1] += np.bincount(bucket[second], minlength=2 * BUCKETS)
     half, at = np.nonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(half), pa.array(at), pa.array(total[half, at])], names=["half", "bucket", "n"])
 

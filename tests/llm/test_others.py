@@ -207,3 +207,52 @@ def test_stages_bear_nulls_repeats_and_clashing_names(spark, tmp_path):
                 assert out.count() == 7 and out.where(F.contains("text", F.lit("a.b@mail1"))).count() == 0
             elif name in ("quality_classifier", "bpe"):
                 assert out.count() == 7
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+@pytest.mark.parametrize("name", ["op2_pii", "op3_bpe", "op6_mixing", "op7_quality_classifier", "op9_language_id", "op10_nearest_neighbours", "pipeline"])
+def test_registered_query_acts(spark, name):
+    import __spark_entry__ as entry
+
+    got = entry.queries()[name](spark, SF).toPandas()
+    assert len(got) and not got.columns.duplicated().any()
+    documents = spark.read.parquet(f"{SF}/documents.parquet")
+    if name not in ("op10_nearest_neighbours", "pipeline"):
+        assert sorted(got["doc_id"]) == sorted(r["doc_id"] for r in documents.select("doc_id").collect())
+
+
+def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
+    """The whole pipeline on made documents: junk goes, one of each group of copies stays, values are replaced, ids are the library's."""
+    import hashlib
+
+    tokenizers = pytest.importorskip("tokenizers")
+    from millwright.llm import pii
+    from millwright.llm.queries import PII_KEY, tokenizer_path
+
+    rng = random.Random(12)
+    words = "the river runs past old mills and quiet fields where people work until the evening comes and lamps are lit in every house".split()
+    texts = {i: " ".join(rng.choice(words) for _ in range(60)) + "." for i in range(300)}
+    texts |= {300 + i: " ".join(w + "***$$" for w in rng.sample(words, 12)) for i in range(100)}
+    texts |= {400 + i: texts[i] for i in range(40)} | {450 + i: texts[i].replace("river", "stream", 1) for i in range(20)}
+    texts |= {500 + i: f"{texts[i]} mail Ann{i}@Example.com" for i in range(60, 80)}
+    rows = [(i, t, "en", "s", len(t)) for i, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i < 300), 0) for i in range(400)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    good = [i for i in sorted(texts) if not 300 <= i < 400]
+    sets = {i: {tuple(w[k : k + 5]) for w in [texts[i].lower().split()] for k in range(len(w) - 4)} for i in good}
+    root = {i: i for i in good}
+    for i in good:
+        for j in good:
+            if j < i and 100 * (k := len(sets[i] & sets[j])) >= 75 * (len(sets[i]) + len(sets[j]) - k):
+                a, b = sorted((root[i], root[j]))
+                root = {x: a if r == b else r for x, r in root.items()}
+    kept = {i for i in good if root[i] == i}
+    assert {r["doc_id"] for r in got} == kept
+    library = tokenizers.Tokenizer.from_file(tokenizer_path())
+    for r in got:  # one domain only: its rate is the least budget's
+        text, _ = pii.replace(texts[r["doc_id"]], PII_KEY)
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest() and f"Ann{r['doc_id'] - 500}@" not in text

@@ -50,6 +50,12 @@ def test_words_that_collide_in_wrapping_polynomials_differ():
     raw = " ".join(words).encode()
     block = Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
     assert len(set(block.hashes(lower=False).tolist())) == len(words) and len(set(block.hashes(lower=True).tolist())) == len(words) - 1
+    pairs = "a a ab ab ba ab x" + " y" * 3 + " " + "z" * 5000 + " " + "z" * 5000 + " " + "z" * 4999 + "y"
+    ends = [len(pairs.encode()), len(pairs.encode()) + 3]
+    found = Words(np.frombuffer((pairs + "y y").encode(), np.uint8), np.array([0, *ends]))
+    own = [w for t in (pairs, "y y") for w in (None, *t.split())]
+    assert found.repeats().tolist() == [a == b for a, b in zip(own[:-1], own[1:], strict=True) if b is not None]
+    assert len({*Words(np.frombuffer((" ".join("q" * k for k in range(1, 200))).encode(), np.uint8), np.array([0, sum(range(1, 200)) + 198])).hashes(True).tolist()}) == 199
     for word, h in zip(words[:4], block.hashes(lower=False), strict=False):
         at = [sum((b + 1) * pow(p, k, PRIME) for k, b in enumerate(word.encode())) % PRIME for p in POINTS]
         assert int(h) == int(mix64(np.array([at[0] << 31 | at[1]], np.uint64))[0])
