@@ -158,6 +158,7 @@ def kmeans(df: DataFrame, columns: list[str], ks=(2, 3, 4, 5), seed: int = 42) -
         s = ClusteringEvaluator(predictionCol="cluster").evaluate(out) if out.select("cluster").distinct().count() > 1 else -1.0
         if best is None or s > best[0]:
             best = (s, out, k)
+    data.unpersist()
     return best[1].drop("features"), best[2]
 
 
