@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a block, asking rows of a part; most cells; rows that the cuts are taken from.
-BLOCK, PART, CELLS, SAMPLE = 8192, 4096, 4096, 20000
+BLOCK, PART, CELLS, SAMPLE = 2048, 4096, 4096, 20000
 
 
 def nan_euclidean(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -139,11 +139,15 @@ def nearest_rows(asks: DataFrame, rows: DataFrame, key: str, features: list[str]
             own = asked.iloc[a : a + 512]
             d = np.round(measure(own[fs].to_numpy(float), y), 9)
             d[own["_k"].to_numpy()[:, None] == ids[None, :]] = np.nan
-            best = np.argsort(np.where(np.isnan(d), np.inf, d), axis=1, kind="stable")[:, :k]
-            r = np.repeat(np.arange(len(own)), best.shape[1])
-            c = best.ravel()
-            ok = ~np.isnan(d[r, c])
-            r, c = r[ok], c[ok]
+            d[np.isnan(d)] = np.inf
+            # what is no farther than the k-th, in order of distance and key; ids ascend
+            kth = np.partition(d, k - 1, axis=1)[:, k - 1] if k < d.shape[1] else np.full(len(d), np.inf)
+            r, c = np.nonzero((d <= kth[:, None]) & (d < np.inf))
+            order = np.lexsort((c, d[r, c], r))
+            r, c = r[order], c[order]
+            first = np.r_[0, np.cumsum(np.bincount(r, minlength=len(d)))][:-1]
+            few = np.arange(len(r)) - first[r] < k
+            r, c = r[few], c[few]
             out.append(pd.DataFrame({"_k": own["_k"].to_numpy()[r], "near": ids[c], "distance": d[r, c]} | {n: told[n].to_numpy()[c] for n in names}))
         return pd.concat(out) if out else pd.DataFrame({"_k": [], "near": [], "distance": []} | {n: [] for n in names})
 

@@ -121,34 +121,39 @@ def distance(kind: str) -> Column:
     return F.pandas_udf(each, "double")("a", "b")
 
 
-def _edit_candidates(values: DataFrame, threshold: float, kind: str) -> DataFrame:
-    """(k1, k2): pairs of values (k, s) that a number of edits below the limit can join, and few others.
-
-    A value of length n is cut into 2 * (d + 1) segments, d being the segments
-    that the allowed edits can spoil (one an edit, two where an edit swaps
-    neighbours). Of any d + 1 segments one then stands unspoilt in the other
-    value, shifted by no more than the edits: the rarest ones are looked up
-    there. The shorter value is cut, the longer one is searched.
+def _edit_candidates(values: DataFrame, threshold: float, kind: str) -> tuple[DataFrame, DataFrame]:
+    """(k1, k2) of values (k, s) that a number of edits below the limit can join, and few others; and (cost), the comparisons that each value's look-up takes at most.
+
+    With d the segments that the allowed edits can spoil (one an edit, two
+    where an edit swaps neighbours), any d + 1 segments of a value have one that
+    stands unspoilt in the other value, shifted by no more than the edits. A
+    value is cut into 2 * (d + 1) segments and, apart from that, into segments
+    of two letters; the d + 1 rarest of the cheaper of the two are looked up.
+    The shorter value is cut, the longer one is searched.
     """
     t, spoil = float(threshold), 2 if kind == "dl" else 1
     # the longest partner of a value of length n, and the edits that the limit with it allows
     edits = lambda n: F.ceil(F.greatest((F.ceil(n * (1 + t / 2) / (1 - t)) + n / 2) * t, F.lit(0.0)) + 1e-9).cast("int") - 1
-    parts = lambda n: 2 * (spoil * edits(n) + 1)
+    need = lambda n: spoil * edits(n) + 1
+    ways = lambda n: F.explode(F.array_distinct(F.array(2 * need(n), F.greatest(2 * need(n), F.ceil(n / 2).cast("int")))))
     bound = lambda n, m, i: F.floor(i * n / m).cast("int")
+    at = ["n", "m", "i", "w"]
     sized = values.where(F.length("s") > 0).select("k", "s", F.length("s").alias("n"))
-    cut = sized.withColumns({"m": parts(F.col("n"))}).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    cut = sized.withColumn("m", ways(F.col("n"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     cut = cut.withColumn("from", bound(F.col("n"), F.col("m"), F.col("i")))
     cut = cut.withColumn("w", F.substr("s", F.col("from") + 1, bound(F.col("n"), F.col("m"), F.col("i") + 1) - F.col("from")))
-    common = cut.groupBy("n", "i", "w").agg(F.count(F.lit(1)).alias("df"))
-    rare = F.row_number().over(Window.partitionBy("k").orderBy("df", "i"))
-    kept = cut.join(common, ["n", "i", "w"]).withColumn("r", rare).where(F.col("r") <= F.col("m") / 2).select(F.col("k").alias("k1"), "n", "i", "w")
+    common = cut.groupBy(*at).agg(F.count(F.lit(1)).alias("df"))
+    rare = F.row_number().over(Window.partitionBy("k", "m").orderBy("df", "i"))
+    kept = cut.join(common, at).withColumn("r", rare).where(F.col("r") <= need(F.col("n")))
+    best = kept.groupBy("k", "m").agg(F.sum("df").alias("cost")).groupBy("k").agg(F.min_by("m", F.struct("cost", "m")).alias("m"), F.min("cost").alias("cost"))
+    kept = kept.join(best.select("k", "m"), ["k", "m"]).select(F.col("k").alias("k1"), *at)
     shortest = F.greatest(F.floor(F.col("n") * (1 - t) / (1 + t / 2)).cast("int"), F.lit(1))
     look = sized.select("k", "s", F.col("n").alias("own"), F.explode(F.sequence(shortest, F.col("n"))).alias("n"))
-    look = look.withColumns({"m": parts(F.col("n")), "e": edits(F.col("n"))}).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    look = look.withColumn("m", ways(F.col("n"))).withColumn("e", edits(F.col("n"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     look = look.withColumns({"from": bound(F.col("n"), F.col("m"), F.col("i")), "len": bound(F.col("n"), F.col("m"), F.col("i") + 1) - bound(F.col("n"), F.col("m"), F.col("i"))})
     look = look.withColumn("at", F.explode(F.sequence(F.greatest(F.col("from") - F.col("e"), F.lit(0)), F.greatest(F.col("from") - F.col("e"), F.lit(0), F.least(F.col("from") + F.col("e"), F.col("own") - F.col("len"))))))
-    look = look.select(F.col("k").alias("k2"), "n", "i", F.substr("s", F.col("at") + 1, F.col("len")).alias("w")).distinct()
-    return kept.join(look, ["n", "i", "w"]).where("k1 <> k2").select("k1", "k2").distinct()
+    look = look.select(F.col("k").alias("k2"), "n", "m", "i", F.substr("s", F.col("at") + 1, F.col("len")).alias("w")).distinct()
+    return kept.join(look, at).where("k1 <> k2").select("k1", "k2").distinct(), best.select("cost")
 
 
 def edit_duplicates(df: DataFrame, key: str, column: str, threshold: float = 0.1, kind: str = "lm", blocks: int | None = None) -> DataFrame:
@@ -156,13 +161,19 @@ def edit_duplicates(df: DataFrame, key: str, column: str, threshold: float = 0.1
 
     lm and dl below a threshold of 0.4: only pairs that share a rare segment
     are measured. jw, and larger thresholds, bound nothing that could be
-    looked up: there every value asks all, block by block.
+    looked up: there every value asks all, block by block; so it is where the
+    values are so much alike that a look-up would meet a tenth of them anyhow.
     """
     rows = df.select(F.col(key).alias("k"), F.col(column).alias("s")).where("s is not null")
     values = rows.groupBy("s").agg(F.min("k").alias("k"))
     limit = (F.length("a") + F.length("b") / 2) * threshold
+    found, many = None, 0
     if kind in ("lm", "dl") and threshold < 0.4:
-        pair = _edit_candidates(values, threshold, kind).select(F.least("k1", "k2").alias("ka"), F.greatest("k1", "k2").alias("kb")).distinct()
+        found, costs = _edit_candidates(values, threshold, kind)
+        cost, many = costs.agg(F.sum("cost"), F.count(F.lit(1))).first()
+        found = found if (cost or 0) <= 0.1 * many * many or many < 1000 else None
+    if found is not None:
+        pair = found.select(F.least("k1", "k2").alias("ka"), F.greatest("k1", "k2").alias("kb")).distinct()
         near = pair.join(values.select(F.col("k").alias("ka"), F.col("s").alias("a")), "ka").join(values.select(F.col("k").alias("kb"), F.col("s").alias("b")), "kb")
     else:
         nb = blocks or max(1, -(-values.count() // 4096))
@@ -171,6 +182,8 @@ def edit_duplicates(df: DataFrame, key: str, column: str, threshold: float = 0.1
         near = told.join(ask, "_b").where(F.col("ka") < F.col("kb"))
     if kind in ("lm", "dl"):
         near = near.where(F.abs(F.length("a") - F.length("b")) < limit)
+    if kind == "dl":  # a swap is two plain edits, so this rules out before Python is asked
+        near = near.where(F.levenshtein("a", "b") < 2 * limit)
     hit = near.withColumn("_d", distance(kind)).where(F.col("_d") < limit).select("ka", "kb")
     # rows of an equal value are at distance 0 of its first; the first is dropped if it is near an earlier value
     later = hit.select(F.col("kb").alias("k")).distinct().withColumn("_hit", F.lit(True))
