@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import math
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ import __spark_entry__ as entry
 from millwright.data import Roles
 from millwright.functions import knn
 from millwright.functions.graph import components
-from millwright.operators import duplicates, features, models, noise, sampling
+from millwright.operators import duplicates, entities, features, models, noise, sampling
 from millwright.operators import retrieval as R
 from millwright.operators.base import fit
 from millwright.plans import answering, matching, repair, search
@@ -311,3 +312,39 @@ def test_streams_keep_bounded_state(spark, tmp_path):
     assert set(map(tuple, late)) <= set(whole)
     empty = S.read(spark, f"{tmp_path}/e", df.schema).where("event_id < 0")
     assert S.replay(S.first_seen(empty, "user_id"), "n").count() == 0
+
+
+def test_pairs_and_weights_meet_between_classes_of_equal_blocks(spark):
+    rng = np.random.default_rng(3)
+    kinds = [sorted({f"t{k}" for k in rng.integers(0, 7, 3)}) for _ in range(6)]
+    blocks = {i: kinds[rng.integers(0, 6)] for i in range(90)}
+    members = spark.createDataFrame([(i, t) for i, b in blocks.items() for t in b], "rid long, token string")
+    found = entities.edges(members)
+    assert found.classes.count() <= 21  # pairs of 6 kinds, not of 90 records
+    common = {(i, j): len({*blocks[i]} & {*blocks[j]}) for i, j in itertools.combinations(blocks, 2)}
+    common = {p: n for p, n in common.items() if n}
+    assert {(r[0], r[1]): r[2] for r in found.expand().collect()} == common and found.expand().count() == len(common)
+    size = {t: sum(t in b for b in blocks.values()) for t in {t for b in kinds for t in b}}
+    held = len({t for b in blocks.values() for t in b})
+    want = {
+        "cbs": lambda i, j: common[i, j],
+        "arcs": lambda i, j: sum(1 / size[t] ** 2 for t in {*blocks[i]} & {*blocks[j]}),
+        "js": lambda i, j: common[i, j] / len({*blocks[i]} | {*blocks[j]}),
+        "ecbs": lambda i, j: common[i, j] * math.log2(held / len(blocks[i])) * math.log2(held / len(blocks[j])),
+    }
+    for scheme, f in want.items():
+        got = {(r[0], r[1]): r[2] for r in entities.weights(members, scheme).collect()}
+        assert got.keys() == common.keys() and all(abs(got[p] - f(*p)) < 1e-9 for p in got)
+    even, odd = members.where("rid % 2 = 0"), members.where("rid % 2 = 1")
+    got = {(r[0], r[1]): r[2] for r in entities.pairs(even, odd).collect()}
+    assert got == {(i, j): len({*blocks[i]} & {*blocks[j]}) for i in blocks for j in blocks if i % 2 == 0 and j % 2 == 1 and {*blocks[i]} & {*blocks[j]}}
+
+
+def test_edges_are_pruned_before_pairs_are_listed(spark):
+    members = spark.createDataFrame([(i, t) for i in range(60) for t in (f"a{i % 3}", f"b{i % 4}")], "rid long, token string")
+    weight = {(i, j): (i % 3 == j % 3) + (i % 4 == j % 4) for i, j in itertools.combinations(range(60), 2)}
+    weight = {p: w for p, w in weight.items() if w}
+    mean = round(sum(weight.values()) / len(weight), 5)
+    pruned = entities.prune(entities.edges(members, scheme="cbs"))
+    assert pruned.classes.count() == 12
+    assert {(r[0], r[1]) for r in pruned.expand().collect()} == {p for p, w in weight.items() if w >= mean}
