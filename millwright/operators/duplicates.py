@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..data import Roles
+from ..data import Roles, shared_folder
 from .base import Fitted, identity, step
 
 
@@ -156,37 +158,84 @@ def _edit_candidates(values: DataFrame, threshold: float, kind: str) -> tuple[Da
     return kept.join(look, at).where("k1 <> k2").select("k1", "k2").distinct(), best.select("cost")
 
 
+#: Longest value whose near spellings are listed; comparisons that are made without a look-up; share of all comparisons that a look-up may take.
+SPELLED, DIRECT, SHARE = 64, 20_000_000, 0.1
+
+
+def _one_edit(values: DataFrame, kind: str) -> DataFrame:
+    """(ka, kb): for each value (k, s) the smallest earlier key among those that differ by one letter at a place, or by one swap, and every value one letter longer or shorter."""
+    sized = values.withColumn("n", F.length("s")).where(F.col("n").between(1, SPELLED))
+    left_out = F.concat(F.substr("s", F.lit(1), F.col("p") - 1), F.substr("s", F.col("p") + 1, F.col("n")))
+    without = sized.withColumn("p", F.explode(F.sequence(F.lit(1), F.col("n")))).select("k", "n", "p", left_out.alias("w"))
+
+    def earliest(spelled: DataFrame) -> DataFrame:
+        first = F.min("k").over(Window.partitionBy("p", "w"))
+        return spelled.withColumn("ka", first).where("ka < k").select("ka", F.col("k").alias("kb"))
+
+    found = earliest(without)
+    shorter = sized.select(F.col("k").alias("k2"), F.col("s").alias("w"), (F.col("n") + 1).alias("n"))
+    lengths = F.broadcast(shorter.select("n").distinct())  # at most SPELLED numbers
+    longer = without.join(lengths, "n", "left_semi").join(shorter, ["n", "w"])
+    found = found.unionByName(longer.select(F.least("k", "k2").alias("ka"), F.greatest("k", "k2").alias("kb")))
+    if kind != "lm":
+        x, y = F.substr("s", F.col("p"), F.lit(1)), F.substr("s", F.col("p") + 1, F.lit(1))
+        places = sized.where("n > 1").withColumn("p", F.explode(F.sequence(F.lit(1), F.col("n") - 1)))
+        ordered = F.concat(F.substr("s", F.lit(1), F.col("p") - 1), F.least(x, y), F.greatest(x, y), F.substr("s", F.col("p") + 2, F.col("n")))
+        found = found.unionByName(earliest(places.where(x != y).select("k", "p", ordered.alias("w"))))
+    return found.distinct()
+
+
 def edit_duplicates(df: DataFrame, key: str, column: str, threshold: float = 0.1, kind: str = "lm", blocks: int | None = None) -> DataFrame:
     """Keys of rows within (len(a) + len(b) / 2) * threshold of a row a of smaller key; equal values meet first.
 
-    lm and dl below a threshold of 0.4: only pairs that share a rare segment
-    are measured. jw, and larger thresholds, bound nothing that could be
-    looked up: there every value asks all, block by block; so it is where the
-    values are so much alike that a look-up would meet a tenth of them anyhow.
+    A value needs one earlier value near it, so those one edit away are asked
+    first. Where the limit allows one edit only, that is all there is (lm, dl).
+    Else the values still without one ask the others: lm and dl below a
+    threshold of 0.4 where a rare segment is shared; jw, and larger
+    thresholds, bound nothing that could be looked up: there they ask all
+    values, block by block; so do they where they are few, or so much alike
+    that a look-up would meet a tenth of all pairs anyhow.
     """
+    spark = df.sparkSession
     rows = df.select(F.col(key).alias("k"), F.col(column).alias("s")).where("s is not null")
     values = rows.groupBy("s").agg(F.min("k").alias("k"))
     limit = (F.length("a") + F.length("b") / 2) * threshold
-    found, many = None, 0
-    if kind in ("lm", "dl") and threshold < 0.4:
-        found, costs = _edit_candidates(values, threshold, kind)
-        cost, many = costs.agg(F.sum("cost"), F.count(F.lit(1))).first()
-        found = found if (cost or 0) <= 0.1 * many * many or many < 1000 else None
-    if found is not None:
-        pair = found.select(F.least("k1", "k2").alias("ka"), F.greatest("k1", "k2").alias("kb")).distinct()
-        near = pair.join(values.select(F.col("k").alias("ka"), F.col("s").alias("a")), "ka").join(values.select(F.col("k").alias("kb"), F.col("s").alias("b")), "kb")
-    else:
-        nb = blocks or max(1, -(-values.count() // 4096))
-        told = values.select(F.pmod(F.xxhash64("s"), F.lit(nb)).alias("_b"), F.col("k").alias("ka"), F.col("s").alias("a"))
-        ask = values.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nb - 1).cast("long"))).alias("_b"), F.col("k").alias("kb"), F.col("s").alias("b"))
-        near = told.join(ask, "_b").where(F.col("ka") < F.col("kb"))
-    if kind in ("lm", "dl"):
-        near = near.where(F.abs(F.length("a") - F.length("b")) < limit)
-    if kind == "dl":  # a swap is two plain edits, so this rules out before Python is asked
-        near = near.where(F.levenshtein("a", "b") < 2 * limit)
-    hit = near.withColumn("_d", distance(kind)).where(F.col("_d") < limit).select("ka", "kb")
+
+    def measured(near: DataFrame) -> DataFrame:
+        if kind in ("lm", "dl"):
+            near = near.where(F.abs(F.length("a") - F.length("b")) < limit)
+        else:  # no more letters can match than the shorter value has, and a common beginning makes up for two fifths at most
+            near = near.where(0.2 * (1 - F.least(F.length("a"), F.length("b")) / F.greatest(F.length("a"), F.length("b"), F.lit(1))) < limit + 1e-9)
+        if kind == "dl":  # a swap is two plain edits, so this rules out before Python is asked
+            near = near.where(F.levenshtein("a", "b") < 2 * limit)
+        return near.withColumn("_d", distance(kind)).where(F.col("_d") < limit).select(F.col("kb").alias("k")).distinct()
+
+    def spelled(pair: DataFrame) -> DataFrame:
+        return pair.join(values.select(F.col("k").alias("ka"), F.col("s").alias("a")), "ka").join(values.select(F.col("k").alias("kb"), F.col("s").alias("b")), "kb")
+
+    longest, many = values.agg(F.max(F.length("s")), F.count(F.lit(1))).first()
+    folder = f"{shared_folder(spark)}/edits-{uuid.uuid4().hex}"
+    measured(spelled(_one_edit(values, kind))).write.parquet(folder)
+    hit = spark.read.schema(values.select("k").schema).parquet(folder)
+    if kind == "jw" or (longest or 0) > SPELLED or 1.5 * (longest or 0) * threshold > 2:
+        rest = values.join(hit, "k", "left_anti")
+        asking = many - hit.count()
+        found = None
+        if kind in ("lm", "dl") and threshold < 0.4 and blocks is None and asking * many > DIRECT:
+            found, costs = _edit_candidates(values, threshold, kind)
+            cost = costs.agg(F.sum("cost")).first()[0]
+            found = found if (cost or 0) <= SHARE * many * asking else None
+        if found is not None:
+            pair = found.select(F.least("k1", "k2").alias("ka"), F.greatest("k1", "k2").alias("kb")).distinct()
+            near = spelled(pair.join(rest.select(F.col("k").alias("kb")), "kb", "left_semi"))
+        else:
+            nb = blocks or max(1, -(-many // 4096))
+            told = values.select(F.pmod(F.xxhash64("s"), F.lit(nb)).alias("_b"), F.col("k").alias("ka"), F.col("s").alias("a"))
+            ask = rest.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nb - 1).cast("long"))).alias("_b"), F.col("k").alias("kb"), F.col("s").alias("b"))
+            near = told.join(ask, "_b").where(F.col("ka") < F.col("kb"))
+        hit = hit.unionByName(measured(near))
     # rows of an equal value are at distance 0 of its first; the first is dropped if it is near an earlier value
-    later = hit.select(F.col("kb").alias("k")).distinct().withColumn("_hit", F.lit(True))
+    later = hit.withColumn("_hit", F.lit(True))
     same = rows.join(values.select("s", F.col("k").alias("_first")), "s").join(later, "k", "left")
     return same.where(((F.length("s") > 0) & (F.col("k") > F.col("_first"))) | F.col("_hit")).select(F.col("k").alias(key))
 

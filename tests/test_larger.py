@@ -371,3 +371,40 @@ def test_matrices_of_blocks_equal_brute_force(spark, monkeypatch, part):
         hits = {p for p, s in sims.items() if s >= r["theta"]}
         assert (r["tp"], r["fp"], r["tn"], r["fn"]) == (len(hits & truth), len(hits - truth), len({*sims} - hits - truth), len(truth - hits))
     assert {tuple(r) for r in tiles.true_candidates(members, df, "id", ["b"]).collect()} == {*sims} & truth
+
+
+@pytest.mark.parametrize("kind", ["lm", "dl", "jw"])
+def test_numbered_names_need_their_nearest_spellings_only(spark, monkeypatch, kind):
+    def never(*_):
+        raise AssertionError("values were looked up")
+
+    monkeypatch.setattr(duplicates, "_edit_candidates", never)
+    rows = [(i, f"Name#{i:09d}") for i in range(0, 230, 3)] + [(900, "Name#000000000"), (901, "Nome#00000000"), (5000, "Name#000005000"), (70000, "Name#000070000")]
+
+    def plain(a, b):
+        now = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, now = now, [i]
+            for j, y in enumerate(b, 1):
+                now.append(min(last[j] + 1, now[-1] + 1, last[j - 1] + (x != y)))
+        return now[-1]
+
+    measure = {"lm": plain, "dl": duplicates.damerau, "jw": lambda a, b: 1 - duplicates.jaro_winkler(a, b)}[kind]
+    threshold = 0.0015 if kind == "jw" else 0.05
+    got = {r["id"] for r in duplicates.edit_duplicates(spark.createDataFrame(rows, "id long, s string"), "id", "s", threshold, kind).collect()}
+    assert got == {j for (i, a), (j, b) in itertools.combinations(rows, 2) if measure(a, b) < (len(a) + len(b) / 2) * threshold}
+
+
+@pytest.mark.parametrize("kind", ["lm", "dl"])
+def test_values_without_a_near_spelling_are_looked_up(spark, monkeypatch, kind):
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("abc"), rng.integers(8, 25))) for _ in range(40)]
+    for w in list(words):
+        at = int(rng.integers(len(w) - 3))
+        words += [w[:at] + w[at + 2 :], w[:at] + "b" + w[at : at + 3][::-1] + w[at + 3 :]]
+    rows = list(enumerate(words))
+    df = spark.createDataFrame(rows, "id long, s string")
+    direct = {r["id"] for r in duplicates.edit_duplicates(df, "id", "s", 0.2, kind).collect()}
+    monkeypatch.setattr(duplicates, "DIRECT", 0)
+    monkeypatch.setattr(duplicates, "SHARE", 1e9)
+    assert {r["id"] for r in duplicates.edit_duplicates(df, "id", "s", 0.2, kind).collect()} == direct and direct
