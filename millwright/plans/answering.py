@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..data import shared_folder
 from ..operators import retrieval as R
 
 #: Strategies of each step by 1-based place, a name and a depth or budget (fixed values).
@@ -41,17 +43,34 @@ def from_vector(vector: tuple[int, ...], order: tuple[str, ...] = ORDER) -> Answ
     return Answering({s: STRATEGIES[s][min(max(1, v), len(STRATEGIES[s])) - 1] for s, v in zip(order, vector, strict=True)})
 
 
+#: Documents of each ranking that a fusion reads.
+FUSED = 2000
+
+
 class Corpus:
-    """Documents with their two indexes, built when a plan first needs them."""
+    """Documents with their two indexes, built when a plan first needs them, and the rankings that plans share."""
 
     def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", indexes: dict[str, R.Index] | None = None):
         self.docs, self.key, self.text, self.indexes = docs, key, text, dict(indexes or {})
+        self.rankings: list[tuple[str, DataFrame, DataFrame]] = []
 
     def index(self, kind: str) -> R.Index:
         if kind not in self.indexes:
             self.indexes[kind] = R.index(self.docs, self.key, self.text, kind)
         return self.indexes[kind]
 
+    def ranking(self, queries: DataFrame, kind: str) -> DataFrame:
+        """(qid, doc_id, score, rank) of the first FUSED documents, written once for equal queries; shallower plans read its beginning."""
+        for known, asked_, table in self.rankings:
+            if known == kind and asked_.sameSemantics(queries):
+                return table
+        spark = self.docs.sparkSession
+        ranked = R.retrieve(queries, self.index(kind), k=FUSED)
+        path = f"{shared_folder(spark)}/ranking-{uuid.uuid4().hex}"
+        ranked.write.parquet(path)
+        self.rankings.append((kind, queries, spark.read.schema(ranked.schema).parquet(path)))
+        return self.rankings[-1][2]
+
 
 def _depth(strategy: str) -> tuple[str, int]:
     name, _, depth = strategy.partition("@")
@@ -70,9 +89,9 @@ def found(plan: Answering, queries: DataFrame, corpus: Corpus) -> DataFrame:
     if plan.of("lang_retrieval_wrapper") == "rrf":  # whatever the language: both indexes, fused
         kind = "hybrid_rrf"
     if kind == "hybrid_rrf":
-        first = R.fuse(R.retrieve(queries, corpus.index("bm25"), k=2000), R.retrieve(queries, corpus.index("dense"), k=2000), k)
+        first = R.fuse(corpus.ranking(queries, "bm25"), corpus.ranking(queries, "dense"), k)
     else:
-        first = R.retrieve(queries, corpus.index(kind), k=k)
+        first = corpus.ranking(queries, kind).where(F.col("rank") <= k)
     reranker, depth = _depth(plan.of("reranker"))
     return first if reranker == "none" else R.rerank(first, queries, corpus.docs.select(F.col(corpus.key).alias("doc_id"), F.col(corpus.text).alias("text")), min(depth, k))
 

@@ -408,3 +408,21 @@ def test_values_without_a_near_spelling_are_looked_up(spark, monkeypatch, kind):
     monkeypatch.setattr(duplicates, "DIRECT", 0)
     monkeypatch.setattr(duplicates, "SHARE", 1e9)
     assert {r["id"] for r in duplicates.edit_duplicates(df, "id", "s", 0.2, kind).collect()} == direct and direct
+
+
+def test_deep_rankings_are_cut_before_the_shuffle_and_shared_by_plans(spark):
+    docs = spark.createDataFrame([(i, f"alpha beta{i % 5} gamma{i % 7}") for i in range(30)], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "alpha beta1"), (2, "gamma3 alpha")], "qid long, query string")
+    ranked = R.retrieve(queries, docs, "bm25", k=2000)
+    assert ranked._jdf.queryExecution().optimizedPlan().toString().count("WindowGroupLimit") >= 1
+    assert ranked.count() == 60
+    corpus = answering.Corpus(docs)
+    truth = spark.createDataFrame([(1, 1), (2, 3)], "qid long, doc_id long")
+    found = {}
+    for r in ("bm25@10", "dense@10", "hybrid_rrf@10"):
+        plan = answering.Answering({"retriever": r})
+        found[r] = sorted(map(tuple, answering.found(plan, answering.asked(plan, queries), corpus).collect()))
+        answering.utility(plan, queries, corpus, truth)
+    assert len(corpus.rankings) == 2
+    assert found["bm25@10"] == sorted(map(tuple, R.retrieve(queries, docs, "bm25", k=10).collect()))
+    assert found["hybrid_rrf@10"] == sorted(map(tuple, R.fuse(ranked, R.retrieve(queries, docs, "dense", k=2000), 10).collect()))
