@@ -27,12 +27,17 @@ def blocks(df: DataFrame, key: str, column: str, q: int = 0) -> DataFrame:
     return df.select(F.col(key).alias("rid"), F.explode(qgrams(column, q) if q > 0 else tokens(column)).alias("token"))
 
 
+def _number(members: DataFrame) -> Column:
+    """Records of a group of members: a member stands for n records if there is a column n, or for one."""
+    return F.sum("n") if "n" in members.columns else F.count(F.lit(1))
+
+
 def block_sizes(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
     """(token, size): the number of comparisons of a block, the product of its sides (or of itself)."""
-    a = left.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    a = left.groupBy("token").agg(_number(left).alias("n"))
     if right is None:
         return a.select("token", (F.col("n") * F.col("n")).alias("size"))
-    b = right.groupBy("token").agg(F.count(F.lit(1)).alias("m"))
+    b = right.groupBy("token").agg(_number(right).alias("m"))
     return a.join(b, "token").select("token", (F.col("n") * F.col("m")).alias("size"))
 
 
@@ -44,12 +49,12 @@ def purge(sizes: DataFrame, theta: float) -> DataFrame:
 
 def filter_blocks(members: DataFrame, theta: float) -> DataFrame:
     """Each record stays in its smallest blocks: those of rank r with r - 1 <= (1 - theta) * its blocks; blocks of one record go."""
-    size = members.groupBy("token").agg(F.count(F.lit(1)).alias("size"))
+    size = members.groupBy("token").agg(_number(members).alias("size"))
     sized = members.join(size, "token")
     own = Window.partitionBy("rid")
-    kept = sized.withColumns({"r": F.row_number().over(own.orderBy("size", "token")), "n": F.count(F.lit(1)).over(own)})
-    kept = kept.where(F.col("r") - 1 <= F.col("n") * F.lit(1 - theta)).select("rid", "token")
-    many = kept.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
+    kept = sized.withColumns({"_r": F.row_number().over(own.orderBy("size", "token")), "_b": F.count(F.lit(1)).over(own)})
+    kept = kept.where(F.col("_r") - 1 <= F.col("_b") * F.lit(1 - theta)).select(members.columns)
+    many = kept.groupBy("token").agg(_number(kept).alias("k")).where("k > 1").select("token")
     return kept.join(many, "token", "left_semi")
 
 
@@ -84,20 +89,20 @@ class Edges:
         return every.where((F.col("c1") < F.col("c2")) | own).select(F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2"), *rest)
 
 
-def _classed(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(cls, tokens, n) of the records with equal blocks, and (cls, rids) in lists of about CHUNK; both are written tables."""
-    spark = members.sparkSession
-    folder = f"{shared_folder(spark)}/blocks-{uuid.uuid4().hex}"
+def written(df: DataFrame) -> DataFrame:
+    """The frame as a table in the shared folder."""
+    path = f"{shared_folder(df.sparkSession)}/blocks-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    def written(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
-    own = written(members.groupBy("rid").agg(F.array_sort(F.collect_list("token")).alias("tokens")), "records")
-    classes = written(own.groupBy("tokens").agg(F.min("rid").alias("cls"), F.count(F.lit(1)).alias("n")), "classes")
+def _classed(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cls, tokens, n) of the records with equal blocks, and (cls, rids) in lists of about CHUNK; both are written tables."""
+    own = written(members.groupBy("rid").agg(F.array_sort(F.collect_list("token")).alias("tokens")))
+    classes = written(own.groupBy("tokens").agg(F.min("rid").alias("cls"), F.count(F.lit(1)).alias("n")))
     part = F.pmod(F.xxhash64("rid"), F.ceil(F.col("n") / CHUNK))
     lists = own.join(classes, "tokens").groupBy("cls", part.alias("part")).agg(F.collect_list("rid").alias("rids")).select("cls", "rids")
-    return classes, written(lists, "lists")
+    return classes, written(lists)
 
 
 def edges(left: DataFrame, right: DataFrame | None = None, scheme: str = "common", with_self: bool = False) -> Edges:
@@ -109,11 +114,19 @@ def edges(left: DataFrame, right: DataFrame | None = None, scheme: str = "common
     one = right is None
     kinds1, lists1 = _classed(left)
     kinds2, lists2 = (kinds1, lists1) if one else _classed(right)
+    return Edges(class_edges(kinds1, None if one else kinds2, scheme, with_self), lists1, lists2, one, with_self)
+
+
+def class_edges(left: DataFrame, right: DataFrame | None = None, scheme: str = "common", with_self: bool = False) -> DataFrame:
+    """(c1, c2, pairs, weight or common) between classes (cls, tokens, n) of n records each."""
+    one = right is None
+    kinds1, kinds2 = left, left if one else right
+    blocks1, blocks2 = (x.select("n", F.explode("tokens").alias("token")) for x in (kinds1, kinds2))
     a = kinds1.select(F.col("cls").alias("c1"), F.col("n").alias("n1"), F.size("tokens").alias("b1"), F.explode("tokens").alias("token"))
     b = kinds2.select(F.col("cls").alias("c2"), F.col("n").alias("n2"), F.size("tokens").alias("b2"), F.explode("tokens").alias("token"))
     n, value = F.count(F.lit(1)), F.lit(0.0)
     if scheme == "arcs":
-        a, value = a.join(block_sizes(left, right), "token"), F.sum(1 / F.col("size"))
+        a, value = a.join(block_sizes(blocks1, None if one else blocks2), "token"), F.sum(1 / F.col("size"))
     both = a.join(b, "token")
     if one:
         both = both.where(F.col("c1") <= F.col("c2"))
@@ -124,9 +137,9 @@ def edges(left: DataFrame, right: DataFrame | None = None, scheme: str = "common
     else:
         met = met.withColumn("pairs", F.col("n1") * F.col("n2"))
     if scheme == "common":
-        return Edges(met.select("c1", "c2", "pairs", "common"), lists1, lists2, one, with_self)
+        return met.select("c1", "c2", "pairs", "common")
     if scheme == "ecbs":
-        total = left.select("token").distinct().count() if one else left.unionByName(right).select("token").distinct().count()
+        total = blocks1.unionByName(blocks2).select("token").distinct().count()
         w = F.col("common") * F.log2(F.lit(float(total)) / F.col("b1")) * F.log2(F.lit(float(total)) / F.col("b2"))
     elif scheme == "js":
         w = F.col("common") / (F.col("b1") + F.col("b2") - F.col("common"))
@@ -134,7 +147,7 @@ def edges(left: DataFrame, right: DataFrame | None = None, scheme: str = "common
         w = F.col("common" if scheme == "cbs" else "weight")
     else:
         raise ValueError(f"unknown scheme {scheme}")
-    return Edges(met.select("c1", "c2", "pairs", w.cast("double").alias("weight")), lists1, lists2, one, with_self)
+    return met.select("c1", "c2", "pairs", w.cast("double").alias("weight"))
 
 
 def pairs(left: DataFrame, right: DataFrame | None = None, with_self: bool = False) -> DataFrame:
@@ -149,9 +162,12 @@ def weights(members: DataFrame, scheme: str, right: DataFrame | None = None) ->
 
 def prune(found: Edges) -> Edges:
     """prune_edges() before pairs are listed: a class pair counts as often as it has pairs of records."""
-    mean = found.classes.agg(F.round(F.sum(F.col("weight") * F.col("pairs")) / F.sum("pairs"), 5).alias("m"))
-    kept = found.classes.crossJoin(F.broadcast(mean)).where(F.round("weight", 5) >= F.col("m")).drop("m")  # one row
-    return replace(found, classes=kept)
+    return replace(found, classes=prune_classes(found.classes))
+
+
+def prune_classes(classes: DataFrame) -> DataFrame:
+    mean = classes.agg(F.round(F.sum(F.col("weight") * F.col("pairs")) / F.sum("pairs"), 5).alias("m"))
+    return classes.crossJoin(F.broadcast(mean)).where(F.round("weight", 5) >= F.col("m")).drop("m")  # one row
 
 
 def prune_edges(edges: DataFrame) -> DataFrame:

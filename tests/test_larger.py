@@ -426,3 +426,19 @@ def test_deep_rankings_are_cut_before_the_shuffle_and_shared_by_plans(spark):
     assert len(corpus.rankings) == 2
     assert found["bm25@10"] == sorted(map(tuple, R.retrieve(queries, docs, "bm25", k=10).collect()))
     assert found["hybrid_rrf@10"] == sorted(map(tuple, R.fuse(ranked, R.retrieve(queries, docs, "dense", k=2000), 10).collect()))
+
+
+@pytest.mark.parametrize("two", [False, True])
+def test_scores_of_kinds_are_those_of_listed_pairs(spark, two):
+    rng = np.random.default_rng(3)
+    text = lambda n: None if rng.random() < 0.1 else " ".join(rng.choice(["red", "blue,", "blue", "ring", "rod"], rng.integers(1, n + 1)))
+    df = spark.createDataFrame([(i, text(3), text(2), text(2), int(i % 7)) for i in range(60)], "id long, title string, brand string, kind string, same int")
+    sides = [df.where("id % 2 = 0"), df.where("id % 2 = 1")] if two else [df]
+    twin = sides[-1].select(F.col("id").alias("id2"), "same")
+    truth = sides[0].select(F.col("id").alias("id1"), "same").join(twin, "same").where("true" if two else "id1 < id2")
+    columns, thetas = ["title", "brand", "kind"], [0.0, 0.25, 1 / 3, 0.5, 1.0]
+    right = lambda frames: frames[1] if two else None
+    known = [x.fillna("") for x in sides]  # a missing text has no words
+    want = entities.confusion(matching.Matcher(known[0], truth, "id", columns, right=right(known)).scored(False, 0.5, "js"), truth, thetas).collect()
+    got = matching.Matcher(sides[0], truth if two else ["same"], "id", columns, right=right(sides))
+    assert got.confusion(False, 0.5, "js", thetas).collect() == want
