@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 
@@ -113,6 +114,11 @@ class Executor:
         self.prefixes: dict[tuple, DataFrame] = {(): df}
         self.utilities: dict[tuple, float] = {}
 
+    @cached_property
+    def size(self) -> int:
+        """Rows of the frame before any step."""
+        return self.df.count()
+
     def frame(self, steps: tuple[tuple[str, str], ...], parameters: dict) -> DataFrame:
         steps = tuple(s for s in steps if s[0] != LAST)
         if steps not in self.prefixes:

@@ -20,7 +20,7 @@ def prepared_profile(run: Executor, plan: Plan) -> dict[str, float]:
     frame = run.run(plan)
     out = {k: 0.0 if v is None or math.isnan(v) else float(v) for k, v in populate(frame, Roles(target=run.roles.target, row_id=run.roles.row_id, exclude=run.roles.exclude)).items()}
     rows = frame.count()
-    return out | {"rows_kept": round(rows / max(1, run.df.count()), 4)}
+    return out | {"rows_kept": round(rows / max(1, run.size), 4)}
 
 
 def write_history(spark: SparkSession, run: Executor, names: list[str], n: int, path: str | None = None, seed: int = 42, strategies: dict[str, tuple[str, ...]] | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ import __spark_entry__ as entry
 from millwright.data import Roles
 from millwright.functions import knn
 from millwright.functions.graph import components
+from millwright.functions.profile import utility
 from millwright.operators import duplicates, entities, features, models, noise, sampling, tiles
 from millwright.operators import retrieval as R
 from millwright.operators.base import fit
@@ -442,3 +443,16 @@ def test_scores_of_kinds_are_those_of_listed_pairs(spark, two):
     want = entities.confusion(matching.Matcher(known[0], truth, "id", columns, right=right(known)).scored(False, 0.5, "js"), truth, thetas).collect()
     got = matching.Matcher(sides[0], truth if two else ["same"], "id", columns, right=right(sides))
     assert got.confusion(False, 0.5, "js", thetas).collect() == want
+
+
+def test_a_plan_is_judged_by_one_pass_over_its_rows(spark):
+    rows = [(float(i % 9), float(i * i % 5), int(i * i % 9 + i % 4 > 6), int(i % 3 == 0)) for i in range(400)]
+    read = spark.sparkContext.accumulator(0)
+    df = spark.createDataFrame(rows, "a double, b double, y int, s int").repartition(2)
+    seen = df.withColumn("a", F.udf(lambda x: (read.add(1), x)[1], "double").asNondeterministic()("a"))
+    roles = Roles(target="y", sensitive="s")
+    models.evaluate(seen, roles, "lr")
+    assert read.value == len(rows)
+    predicted = models.predict(df, roles, "lr").cache()
+    for name in ("accuracy_score", "sp", "f-1", "mae", "rmse", "equalized_odds"):
+        assert models.evaluate(df, roles, "lr", name) == pytest.approx(utility(predicted, name, "y", "prediction", "s"), abs=1e-12)
