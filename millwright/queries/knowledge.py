@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..data import table
 from ..operators import retrieval as R
+from ..operators.entities import written
 from ..operators.text import STOP_WORDS
 from ..plans import answering
 from .registry import query
@@ -181,6 +182,6 @@ def _(spark, d):
 @query("rag_plan_utilities")
 def _(spark, d):
     q, corpus = _queries(spark, d), answering.Corpus(_docs(spark, d), indexes={k: _index(spark, d, k) for k in ("bm25", "dense")})
-    truth = R.quoting(_docs(spark, d), q)
+    truth = written(R.quoting(_docs(spark, d), q))  # for all plans
     rows = [(r, n, answering.utility(answering.Answering({"retriever": r, "translator_rewriter": n}), q, corpus, truth)) for r in ("bm25@10", "dense@10", "hybrid_rrf@10") for n in ("none", "dual")]
     return spark.createDataFrame(rows, "retriever string, rewriter string, utility double")
